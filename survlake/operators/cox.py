@@ -21,15 +21,15 @@ of expanding the data (see :mod:`.finegray`).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import cross_product, time_sums
 from .risk import resolve_splits
 from .scan import running, tie_sums
 from ..sources.io import materialize
@@ -179,80 +179,80 @@ class _Fit:
 
     def scored(self, beta) -> DataFrame:
         """Rows with ``_lp`` and the weighted risk score ``_r``."""
-        lp = F.lit(0.0)
-        for b, x in zip(beta, self.xs):
-            lp = lp + F.lit(float(b)) * F.col(x)
-        lp = F.least(F.greatest(lp, F.lit(-CLAMP)), F.lit(CLAMP))
-        return self.z.withColumn("_lp", lp).withColumn("_r", F.col("_w") * F.exp("_lp"))
+        lp = " + ".join(["0D", *[f"{float(b)!r}D * {x}" for b, x in zip(beta, self.xs)]])
+        return (self.z.selectExpr("*", f"least(greatest({lp}, {-CLAMP}D), {CLAMP}D) AS _lp")
+                .selectExpr("*", "_w * exp(_lp) AS _r"))
 
     def hazard(self, beta, residual_terms: bool = False) -> DataFrame:
-        """Per (stratum, time): risk-set sums, hazard increments and their running sums."""
-        xs = self.xs
-        rows = self.scored(beta)
-        tail = self.tail_weights is not None
-        ends = F.array(F.struct(F.col("_stop").alias("time"), F.lit(1).alias("sign")))
+        """Per (stratum, time): risk-set sums, hazard increments and their running sums.
+
+        Columns: ``s, s_x`` sums over the risk set, ``e, e_x`` over tied events,
+        ``d`` events (weighted), ``m`` tied rows, ``A`` cumulative hazard, ``B``
+        the hazard still to come for tail rows.
+        """
+        xs, efron, tail = self.xs, self.ties == "efron", self.tail_weights is not None
+        key = ["_stratum", "time"]
+        ends = ["named_struct('time', _stop, 'sign', 1)"]
         if self.has_start:
-            ends = F.array(F.struct(F.col("_stop").alias("time"), F.lit(1).alias("sign")),
-                           F.struct(F.col("_start").alias("time"), F.lit(-1).alias("sign")))
-        flat = rows.withColumn("_e", F.explode(ends)).select("*", "_e.time", "_e.sign")
-        hit = F.when((F.col("sign") > 0) & (F.col("_delta") == 1), 1.0).otherwise(0.0)
-        sr = F.col("sign") * F.col("_r")
-        sums = {"a": sr, **{f"a_{x}": sr * F.col(x) for x in xs},
-                "d": hit * F.col("_w"), "m": hit, "lpd": hit * F.col("_w") * F.col("_lp")}
-        if self.ties == "efron":
-            sums.update({"e": hit * F.col("_r"), **{f"e_{x}": hit * F.col("_r") * F.col(x) for x in xs}})
-        if tail:
-            late = F.when(F.col("sign") > 0, F.col("_tail") * F.exp("_lp")).otherwise(0.0)
-            sums.update({"q": late, **{f"q_{x}": late * F.col(x) for x in xs}})
-        grid = flat.groupBy("_stratum", "time").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+            ends.append("named_struct('time', _start, 'sign', -1)")
+        flat = self.scored(beta).selectExpr("*", f"inline(array({', '.join(ends)}))").selectExpr(
+            "*", "sign * _r AS sr", "if(sign > 0 AND _delta = 1, 1D, 0D) AS hit",
+            *(["if(sign > 0, _tail * exp(_lp), 0D) AS late"] if tail else []))
+
+        def sums(name, factor):
+            return [f"sum({factor}) AS {name}", *[f"sum({factor} * {x}) AS {name}_{x}" for x in xs]]
 
-        scans = {"s": ("sum_from", "a"), **{f"s_{x}": ("sum_from", f"a_{x}") for x in xs}}
+        wanted = [*sums("a", "sr"), "sum(hit * _w) AS d", "sum(hit) AS m", "sum(hit * _w * _lp) AS lpd"]
+        wanted += sums("e", "hit * _r") if efron else []
+        wanted += sums("q", "late") if tail else []
+        grid = flat.groupBy(*key).agg(*[F.expr(w) for w in wanted])
+
+        each = ["", *[f"_{x}" for x in xs]]
+        scans = {f"s{x}": ("sum_from", f"a{x}") for x in each}
         if tail:
-            scans.update({"k": ("sum_before", "q"), **{f"k_{x}": ("sum_before", f"q_{x}") for x in xs}})
+            scans.update({f"k{x}": ("sum_before", f"q{x}") for x in each})
         grid = running(grid, ["_stratum"], "time", scans, self.splits)
+        keep = [*key, "d", "m", "lpd", *([f"e{x}" for x in each] if efron else [])]
         if tail:
-            g = self.tail_weights.select("time", F.col("g_before").alias("g"))
-            grid = grid.join(g, "time", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
-            grid = grid.withColumns({
-                "s": F.col("s") + F.col("g") * F.col("k"),
-                **{f"s_{x}": F.col(f"s_{x}") + F.col("g") * F.col(f"k_{x}") for x in xs}})
-
-        live = F.col("d") > 0
-        if self.ties == "efron":
-            sums = tie_sums(grid, ["_stratum", "time"], "m", "s", "e")
-            grid = grid.join(sums, ["_stratum", "time"], "left").withColumns({
-                "f": F.when(live, F.col("d") / F.col("m")).otherwise(0.0),
-                **{c: F.coalesce(c, F.lit(0.0)) for c in ("b0", "b1", "a0", "a1", "a2", "lq")}})
+            g = self.tail_weights.selectExpr("time", "g_before AS g")
+            grid = grid.join(g, "time", "left").selectExpr(
+                *keep, "coalesce(g, 0D) AS g",
+                *[f"s{x} + coalesce(g, 0D) * k{x} AS s{x}" for x in each])
+            keep = [*keep, "g"]
         else:
-            grid = grid.withColumns({
-                "f": F.when(live, F.col("d")).otherwise(0.0),
-                "b0": F.when(live, 1 / F.col("s")).otherwise(0.0),
-                "a0": F.when(live, 1 / (F.col("s") * F.col("s"))).otherwise(0.0),
-                "lq": F.when(live, F.log("s")).otherwise(0.0)})
-        efron = self.ties == "efron"
-        grid = grid.withColumn("phi", F.col("f") * F.col("b0"))
+            grid = grid.select(*keep, *[f"s{x}" for x in each])
+        keep += [f"s{x}" for x in each]
+
         if efron:
-            grid = grid.withColumn("psi", F.col("f") * F.col("b1"))
+            tied = tie_sums(grid, key, "m", "s", "e")
+            grid = grid.join(tied, key, "left").selectExpr(
+                *keep, "if(d > 0, d / m, 0D) AS f",
+                *[f"coalesce({c}, 0D) AS {c}" for c in ("b0", "b1", "a0", "a1", "a2", "lq")])
+        else:
+            grid = grid.selectExpr(
+                *keep, "if(d > 0, d, 0D) AS f", "if(d > 0, 1 / s, 0D) AS b0",
+                "if(d > 0, 1 / (s * s), 0D) AS a0", "if(d > 0, ln(s), 0D) AS lq",
+                "0D AS b1", "0D AS a1", "0D AS a2")
+
+        more = ["f * b0 AS phi"]
         scans = {"A": ("sum", "phi")}
+        if efron:
+            more.append("f * b1 AS psi")
         if tail:
-            grid = grid.withColumn("gphi", F.col("g") * F.col("phi"))
+            more.append("g * f * b0 AS gphi")
             scans["B"] = ("sum_after", "gphi")
         if residual_terms:
-            more = {}
             for x in xs:
-                s = F.col(f"s_{x}")
-                e = F.col(f"e_{x}") if efron else F.lit(0.0)
-                b1, a1, a2 = (F.col("b1"), F.col("a1"), F.col("a2")) if efron else (F.lit(0.0),) * 3
-                more[f"bar_{x}"] = F.when(live, F.col("f") / F.col("d") * (s * F.col("b0") - e * b1)).otherwise(0.0)
-                more[f"phi_{x}"] = F.col("f") * (s * F.col("a0") - e * a1)
-                if efron:
-                    more[f"psi_{x}"] = F.col("f") * (s * a1 - e * a2)
+                e = f"e_{x}" if efron else "0D"
+                phi = f"f * (s_{x} * a0 - {e} * a1)"
+                more += [f"if(d > 0, f / d * (s_{x} * b0 - {e} * b1), 0D) AS bar_{x}", f"{phi} AS phi_{x}"]
                 scans[f"A_{x}"] = ("sum", f"phi_{x}")
-            grid = grid.withColumns(more)
-            if tail:
-                grid = grid.withColumns({f"gphi_{x}": F.col("g") * F.col(f"phi_{x}") for x in xs})
-                scans.update({f"B_{x}": ("sum_after", f"gphi_{x}") for x in xs})
-        return running(grid, ["_stratum"], "time", scans, self.splits)
+                if efron:
+                    more.append(f"f * (s_{x} * a1 - {e} * a2) AS psi_{x}")
+                if tail:
+                    more.append(f"g * {phi} AS gphi_{x}")
+                    scans[f"B_{x}"] = ("sum_after", f"gphi_{x}")
+        return running(grid.selectExpr("*", *more), ["_stratum"], "time", scans, self.splits)
 
     def at_ends(self, rows, grid, at_stop, at_start) -> DataFrame:
         """Attach grid columns at each row's stop (suffix 1) and start (suffix 0)."""
@@ -273,25 +273,25 @@ class _Fit:
 
     def step_sums(self, beta):
         """Log-likelihood, score and information at ``beta``, in one job."""
-        p, xs, efron = self.p, self.xs, self.ties == "efron"
+        p, xs, efron, tail = self.p, self.xs, self.ties == "efron", self.tail_weights is not None
         grid = self.hazard(beta).persist()
         try:
             by_time = grid.where(F.col("d") > 0).select(
                 "f", "b0", "a0", "lq", "lpd",
                 *([F.col(c) for c in ("b1", "a1", "a2")] if efron else []),
                 *[f"s_{x}" for x in xs], *([f"e_{x}" for x in xs] if efron else []))
-            out = by_time.mapInArrow(_time_sums(p, efron), "i int, v double")
+            out = by_time.mapInArrow(time_sums(p, efron), "i int, v double")
             if p:
                 rows = self.at_ends(self.scored(beta), grid,
-                                    ["A", *(["psi"] if efron else []), *(["B"] if self.tail_weights is not None else [])],
+                                    ["A", *(["psi"] if efron else []), *(["B"] if tail else [])],
                                     ["A"])
-                h = F.col("_r") * (F.col("A1") - F.col("A0"))
+                h = "_r * (A1 - A0)"
                 if efron:
-                    h = h - F.when(F.col("_delta") == 1, F.col("_r") * F.col("psi1")).otherwise(0.0)
-                if self.tail_weights is not None:
-                    h = h + F.col("_tail") * F.exp("_lp") * F.col("B1")
-                crossed = rows.select(h.alias("_h"), *xs).mapInArrow(
-                    _cross_product(p, 1 + p), "i int, v double")
+                    h += " - if(_delta = 1, _r * psi1, 0D)"
+                if tail:
+                    h += " + _tail * exp(_lp) * B1"
+                crossed = rows.selectExpr(f"{h} AS _h", *xs).mapInArrow(
+                    cross_product(p, 1 + p), "i int, v double")
                 out = out.unionAll(crossed)
             total = np.zeros(1 + p + p * p)
             for i, v in out.groupBy("i").agg(F.sum("v")).collect():
@@ -346,24 +346,21 @@ class _Fit:
             if tail:
                 at_stop += ["B", *[f"B_{x}" for x in xs]]
             rows = self.at_ends(self.scored(beta), grid, at_stop, ["A", *[f"A_{x}" for x in xs]])
-            parts = {}
-            hit = F.when(F.col("_delta") == 1, 1.0).otherwise(0.0)
+            parts = []
             for x in xs:
-                v = F.col(x)
-                part = (F.col("_w") * hit * (v - F.col(f"bar_{x}1"))
-                        - F.col("_r") * (v * (F.col("A1") - F.col("A0"))
-                                         - (F.col(f"A_{x}1") - F.col(f"A_{x}0"))))
+                part = (f"if(_delta = 1, _w * ({x} - bar_{x}1), 0D)"
+                        f" - _r * ({x} * (A1 - A0) - (A_{x}1 - A_{x}0))")
                 if efron:
-                    part = part + hit * F.col("_r") * (v * F.col("psi1") - F.col(f"psi_{x}1"))
+                    part += f" + if(_delta = 1, _r * ({x} * psi1 - psi_{x}1), 0D)"
                 if tail:
-                    part = part - F.col("_tail") * F.exp("_lp") * (v * F.col("B1") - F.col(f"B_{x}1"))
-                parts[x] = part
+                    part += f" - _tail * exp(_lp) * ({x} * B1 - B_{x}1)"
+                parts.append(part)
             if clustered:
-                res = rows.groupBy("_cluster").agg(*[F.sum(v).alias(x) for x, v in parts.items()])
+                res = rows.groupBy("_cluster").agg(*[F.expr(f"sum({v}) AS {x}") for x, v in zip(xs, parts)])
             else:
-                res = rows.select(*[v.alias(x) for x, v in parts.items()])
+                res = rows.selectExpr(*[f"{v} AS {x}" for x, v in zip(xs, parts)])
             sums = (res.select(F.lit(1.0).alias("_h"), *xs)
-                    .mapInArrow(_cross_product(self.p, 0), "i int, v double")
+                    .mapInArrow(cross_product(self.p, 0), "i int, v double")
                     .groupBy("i").agg(F.sum("v")).collect())
         finally:
             grid.unpersist()
@@ -381,53 +378,6 @@ def _unpack(strata: Sequence[str]) -> list[Column]:
     return [F.col(f"_stratum.{s}").alias(s) for s in strata]
 
 
-# --- numpy kernels inside tasks -------------------------------------------
-
-
-def _emit(total: np.ndarray, offset: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(offset, offset + len(total)), pa.int32()), pa.array(total, pa.float64())],
-        ["i", "v"])
-
-
-def _matrix(batch: pa.RecordBatch, first: int, p: int) -> np.ndarray:
-    return np.column_stack([batch.column(first + j).to_numpy(zero_copy_only=False) for j in range(p)]) \
-        if p else np.zeros((batch.num_rows, 0))
-
-
-def _cross_product(p: int, offset: int):
-    """Σ h x xᵀ over the rows of a task; input columns ``_h, x0 …``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p, p))
-        for b in batches:
-            x = _matrix(b, 1, p)
-            total += (x * b.column(0).to_numpy(zero_copy_only=False)[:, None]).T @ x
-        yield _emit(total.ravel(), offset)
-    return run
-
-
-def _time_sums(p: int, efron: bool):
-    """Log-likelihood, Σ d·x̄ and the outer-product part of the information."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ll, mean, outer = 0.0, np.zeros(p), np.zeros((p, p))
-        for b in batches:
-            f, b0, a0, lq, lpd = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            ll += float(np.sum(lpd - f * lq))
-            if not p:
-                continue
-            s = _matrix(b, 8 if efron else 5, p)
-            mean += (f * b0) @ s
-            outer += (s * (f * a0)[:, None]).T @ s
-            if efron:
-                b1, a1, a2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
-                e = _matrix(b, 8 + p, p)
-                mean -= (f * b1) @ e
-                mixed = (s * (f * a1)[:, None]).T @ e
-                outer += (e * (f * a2)[:, None]).T @ e - mixed - mixed.T
-        yield _emit(np.concatenate([[ll], mean, -outer.ravel()]), 0)
-    return run
-
-
 # --- driver-side p×p algebra ----------------------------------------------
 
 

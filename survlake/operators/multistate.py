@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cox import CoxModel, cox_fit
+from .kernels import step_products
 from .longitudinal import next_state
 from .risk import nelson_aalen, survival_response
 from .scan import TIMES_PER_CHUNK, split_chunk, time_splits
@@ -69,13 +69,13 @@ def transition_probabilities(hazards: DataFrame, states: Mapping[str, Sequence[s
         splits = time_splits(steps, "time", TIMES_PER_CHUNK) if splits == "auto" else list(splits or [])
         steps = steps.withColumn("chunk", split_chunk("time", splits))
         cells = ", ".join(f"p{c} double" for c in range(k * k))
-        ends = steps.groupBy("chunk").applyInPandas(_products(k, None), f"chunk int, {cells}").collect()
+        ends = steps.groupBy("chunk").applyInPandas(step_products(k, None), f"chunk int, {cells}").collect()
         prefixes, run = {}, np.eye(k)
         for row in sorted(ends):
             prefixes[row[0]] = run
             run = run @ np.array(row[1:]).reshape(k, k)
         time_type = hazards.schema["time"].dataType.simpleString()
-        path = steps.groupBy("chunk").applyInPandas(_products(k, prefixes), f"time {time_type}, {cells}")
+        path = steps.groupBy("chunk").applyInPandas(step_products(k, prefixes), f"time {time_type}, {cells}")
         return path.select("time", F.explode(F.array(*[
             F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"p{i * k + j}").alias("prob"))
             for i, a in enumerate(names) for j, b in enumerate(names)])).alias("_s")).select("time", "_s.*")
@@ -87,25 +87,6 @@ def _position(col: str, pos: Mapping[str, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in pos.items() for x in kv]), F.col(col))
 
 
-def _products(k: int, prefixes):
-    """Ordered products in one chunk: the last one, or all of them after a prefix."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
-        steps = np.zeros((len(times), k, k))
-        steps[at, pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["da"].to_numpy()
-        steps[:, range(k), range(k)] = 1 - steps.sum(axis=2)
-        out = np.empty_like(steps)
-        p = np.eye(k) if prefixes is None else prefixes[key[0]]
-        for n in range(len(times)):
-            p = p @ steps[n]
-            out[n] = p
-        cells = {f"p{c}": out.reshape(len(times), -1)[:, c] for c in range(k * k)}
-        if prefixes is None:
-            return pd.DataFrame({"chunk": key[0], **{n: v[-1:] for n, v in cells.items()}})
-        return pd.DataFrame({"time": times, **cells})
-    return run
-
-
 def probabilities_long(probs: DataFrame, outcomes: Sequence[str], sources: Sequence[str],
                        labels: Mapping[str, str] | None = None) -> DataFrame:
     """Probabilities of the chosen outcomes: ``(time, prob, from, outcome)``, labelled by state."""

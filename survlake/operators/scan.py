@@ -68,19 +68,17 @@ def running(df: DataFrame, by: Sequence[str], order: str,
     ``sum_from`` (this row and all later ones) and ``sum_after`` (later rows only).
     """
     if not splits:
-        return df.withColumns({
-            out: _scan(kind, col, _frame(kind, list(by), order)) for out, (kind, col) in outputs.items()})
+        return _scan_all(df, by, order, outputs)
 
     keys = [*by, "_chunk"]
     chunked = df.withColumn("_chunk", split_chunk(order, splits))
-    local = chunked.withColumns({
-        out: _scan(kind, col, _frame(kind, keys, order)) for out, (kind, col) in outputs.items()})
+    local = _scan_all(chunked, keys, order, outputs)
     totals = chunked.groupBy(*keys).agg(*[
         (F.product(F.col(col)) if kind.startswith("product") else F.sum(col)).alias(f"_t_{out}")
         for out, (kind, col) in outputs.items()])
-    carry = totals.select(*keys, *[
-        _scan(_carry_kind(kind), f"_t_{out}", _frame(_carry_kind(kind), list(by), "_chunk"))
-        .alias(f"_c_{out}") for out, (kind, _) in outputs.items()])
+    carry = _scan_all(totals, by, "_chunk", {
+        f"_c_{out}": (_carry_kind(kind), f"_t_{out}") for out, (kind, _) in outputs.items()})
+    carry = carry.select(*keys, *[f"_c_{out}" for out in outputs])
     done = local.join(carry, keys)
     done = done.withColumns({
         out: (F.col(out) * F.col(f"_c_{out}") if kind.startswith("product")
@@ -95,6 +93,11 @@ def _carry_kind(kind: str) -> str:
     return kind.split("_")[0] + "_before"
 
 
+def _scan_all(df, by, order, outputs):
+    frames = {kind: _frame(kind, list(by), order) for kind in {k for k, _ in outputs.values()}}
+    return df.withColumns({out: _scan(kind, col, frames[kind]) for out, (kind, col) in outputs.items()})
+
+
 def _frame(kind: str, by: Sequence[str], order: str):
     w = Window.partitionBy(*by)
     if kind in ("sum_from", "sum_after"):

@@ -3,7 +3,7 @@
 from .functions.columns import (
     any_flag, apply_labels, first_set, flag_when, gt_missing_low, le_missing_low,
     lt_missing_low, nullify, override, recode, rename_all, round_even,
-    select_numbered, select_prefix, try_number,
+    select_numbered, select_prefix, try_number, wall_micros,
 )
 from .operators.cox import CoxModel, complete_cases, cox_fit
 from .operators.describe import (

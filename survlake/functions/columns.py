@@ -128,3 +128,10 @@ def first_set(choices: Mapping[str, Column]) -> Column:
 def round_even(col: str | Column, digits: int) -> Column:
     """Round with ties to even."""
     return F.bround(_col(col), digits)
+
+
+def wall_micros(col: str | Column) -> Column:
+    """Microseconds since 1970 of the clock reading; no time zone is involved."""
+    c = _col(col)
+    seconds = F.unix_date(F.to_date(c)).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")

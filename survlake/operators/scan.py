@@ -22,13 +22,13 @@ MAX_CHUNKS = 1024
 
 
 def day_chunk(col: str, days: int = 365) -> Column:
-    """Chunk key of a date column: ``days``-wide pieces of the calendar."""
-    return F.floor(F.unix_date(F.col(col)) / F.lit(days)).cast("int")
+    """Chunk key of a date or timestamp column: ``days``-wide pieces of the calendar."""
+    return F.floor(F.unix_date(F.to_date(col)) / F.lit(days)).cast("int")
 
 
-def seconds_chunk(col: str, seconds: int = 86_400) -> Column:
-    """Chunk key of a timestamp column."""
-    return F.floor(F.unix_micros(F.col(col)) / F.lit(seconds * 1_000_000)).cast("long")
+def hour_chunk(col: str, hours: int = 1) -> Column:
+    """Chunk key of a timestamp column, for keys with very many rows per day."""
+    return F.floor((F.unix_date(F.to_date(col)) * 24 + F.hour(col)) / F.lit(hours)).cast("long")
 
 
 def time_splits(df: DataFrame, col: str, per_chunk: int = TIMES_PER_CHUNK) -> list:

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import wall_micros
 from ..operators.longitudinal import baseline_rows, counting_process, locf
+from ..operators.scan import hour_chunk, next_value
 from ..sources.io import read_table
 
 # fixed values of the fixture
@@ -53,7 +55,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select(
         "id", "visitdt", key.alias("visit_key"),
         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("code"),
-        F.when(key % 7 != 0, F.round(F.col("o_totalprice") / 100000, 4)).alias("marker"),
+        F.when(key % 7 != 0, F.floor(F.col("o_totalprice") / 10) / 10000).alias("marker"),
         F.when(key % 11 == 0, PULSE_UNKNOWN).otherwise((key % 97).cast("int")).alias("pulse"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"))
 
@@ -64,7 +66,7 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         F.col("c_custkey").alias("id"),
         F.when(F.col("c_nationkey") % 2 == 0, "A").otherwise("B").alias("cohort"),
-        F.round(F.col("c_acctbal") / 100, 2).alias("age"),
+        (F.floor("c_acctbal") / 100).alias("age"),
         (F.col("c_nationkey") % 2).alias("sex"),
         *[(F.col("c_mktsegment") == v).cast("int").alias(f"seg_{k}") for k, v in seg.items()])
 
@@ -120,15 +122,14 @@ def vials(spark: SparkSession, sf_dir: str, event_type: str, out: str) -> DataFr
 def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps between a user's events in microseconds; the event is a purchase at the end.
 
-    Users are few and their events many, so neighbours are found in day chunks.
+    Users are few and their events many, so neighbours are found in hour chunks.
     """
-    from ..operators.scan import next_value, seconds_chunk
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     e = next_value(e, "user_id", ["ts", "event_id"], {"next_ts": "ts", "next_type": "event_type"},
-                   seconds_chunk("ts"))
+                   hour_chunk("ts"))
     return e.where(F.col("next_ts").isNotNull()).select(
         F.col("user_id").alias("id"), "event_type",
-        F.unix_micros("ts").alias("start"), F.unix_micros("next_ts").alias("stop"),
+        wall_micros("ts").alias("start"), wall_micros("next_ts").alias("stop"),
         (F.col("next_type") == "purchase").cast("int").alias("status")).where(F.col("start") < F.col("stop"))
 
 
@@ -138,7 +139,7 @@ _VIEWS = {
     "visits": """
   SELECT o.o_custkey AS id, k.visitdt, o.o_orderkey AS visit_key,
          CASE o.o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 0 END AS code,
-         CASE WHEN o.o_orderkey % 7 <> 0 THEN round(o.o_totalprice / 100000, 4) END AS marker,
+         CASE WHEN o.o_orderkey % 7 <> 0 THEN floor(o.o_totalprice / 10) / 10000 END AS marker,
          CASE WHEN o.o_orderkey % 11 = 0 THEN -99 ELSE o.o_orderkey % 97 END AS pulse,
          CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS prio
   FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS visitdt, min(o_orderkey) AS k
@@ -146,7 +147,7 @@ _VIEWS = {
   JOIN orders o ON o.o_orderkey = k.k AND o.o_custkey = k.o_custkey""",
     "subjects": """
   SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS cohort,
-         round(c_acctbal / 100, 2) AS age, c_nationkey % 2 AS sex,
+         floor(c_acctbal) / 100 AS age, c_nationkey % 2 AS sex,
          CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS seg_b, CAST(c_mktsegment = 'FURNITURE' AS INTEGER) AS seg_f,
          CAST(c_mktsegment = 'HOUSEHOLD' AS INTEGER) AS seg_h, CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS seg_m
   FROM customer""",

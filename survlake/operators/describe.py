@@ -60,20 +60,23 @@ def describe_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.col("_edges")[2 * i].alias("_lo"), F.col("_edges")[2 * i + 1].alias("_hi"))
         for i, (name, q) in enumerate(QUARTILES.items())])).alias("_b")).select(
             "variable", "_k", "_b.*")
-    values = long.where(F.col("value").isNotNull())
-    seen = (values.join(F.broadcast(bands), "variable")
-            .where(F.col("value") <= F.col("_hi"))
-            .withColumn("value", F.when(F.col("value") >= F.col("_lo"), F.col("value")))
-            .groupBy("variable", "_q", "_p", "_k", "value").agg(F.count(F.lit(1)).alias("_m")))
-    # null value = everything below the band; it sorts first and only adds to the rank
-    up_to = Window.partitionBy("variable", "_q").orderBy(F.col("value").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # inside the band every value keeps its own count; all below (above) share one
+    # row, which stands for the largest (smallest) of them: the wanted ranks can
+    # miss the band by one position at most
+    v, below, above = F.col("value"), F.lit(float("-inf")), F.lit(float("inf"))
+    slot = F.when(v < F.col("_lo"), below).when(v > F.col("_hi"), above).otherwise(v)
+    seen = (long.where(v.isNotNull()).join(F.broadcast(bands), "variable")
+            .withColumn("_slot", slot).groupBy("variable", "_q", "_p", "_k", "_slot")
+            .agg(F.count(F.lit(1)).alias("_m"), F.max("value").alias("_top"), F.min("value").alias("_bottom")))
+    up_to = Window.partitionBy("variable", "_q").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     h = (F.col("_k") - 1) * F.col("_p")
-    ranked = seen.withColumn("_upto", F.sum("_m").over(up_to)).withColumns({
+    ranked = seen.withColumns({
+        "_upto": F.sum("_m").over(up_to),
+        "_value": F.when(F.col("_slot") == below, F.col("_top")).otherwise(F.col("_bottom")),
         "_low": F.floor(h), "_high": F.ceil(h), "_frac": h - F.floor(h)})
     found = ranked.groupBy("variable", "_q").agg(
-        F.min(F.when(F.col("_upto") > F.col("_low"), F.col("value"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.col("_high"), F.col("value"))).alias("_z"),
+        F.min(F.when(F.col("_upto") > F.col("_low"), F.col("_value"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.col("_high"), F.col("_value"))).alias("_z"),
         F.max("_frac").alias("_f"))
     quart = found.groupBy("variable").pivot("_q", list(QUARTILES)).agg(
         F.max(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")))

@@ -157,7 +157,6 @@ class _Fit:
         self.xs = [f"x{j}" for j in range(p)]
         first = rows.agg(
             F.count(F.lit(1)).alias("n"), F.sum("_delta").alias("d"),
-            F.approx_count_distinct(F.struct("_stratum", "_stop")).alias("t"),
             *[F.avg(x).alias(f"m_{x}") for x in self.xs],
             *[F.stddev_pop(x).alias(f"s_{x}") for x in self.xs],
             *[F.sum(F.col("_w") * F.col("_delta") * F.col(x)).alias(f"e_{x}") for x in self.xs],
@@ -169,7 +168,9 @@ class _Fit:
         self.scale = np.array([first[f"s_{x}"] or 1.0 for x in self.xs])
         self.s = np.array([(first[f"e_{x}"] - first["wd"] * self.means[j]) / self.scale[j]
                            for j, x in enumerate(self.xs)])
-        self.times = 2 * first["t"] if has_start else first["t"]
+        stops, self.max_ties = rows.groupBy("_stratum", "_stop").agg(F.sum("_delta").alias("m")).agg(
+            F.count(F.lit(1)), F.max("m")).first()
+        self.times = 2 * stops if has_start else stops      # starts add at most as many again
         # every step works on centred, scaled covariates
         self.z = rows.withColumns({
             x: (F.col(x) - F.lit(float(self.means[j]))) / F.lit(float(self.scale[j]))
@@ -215,7 +216,7 @@ class _Fit:
         keep = [*key, "d", "m", "lpd", *([f"e{x}" for x in each] if efron else [])]
         if tail:
             g = self.tail_weights.selectExpr("time", "g_before AS g")
-            grid = grid.join(g, "time", "left").selectExpr(
+            grid = grid.join(self._small(g), "time", "left").selectExpr(
                 *keep, "coalesce(g, 0D) AS g",
                 *[f"s{x} + coalesce(g, 0D) * k{x} AS s{x}" for x in each])
             keep = [*keep, "g"]
@@ -224,10 +225,8 @@ class _Fit:
         keep += [f"s{x}" for x in each]
 
         if efron:
-            tied = tie_sums(grid, key, "m", "s", "e")
-            grid = grid.join(tied, key, "left").selectExpr(
-                *keep, "if(d > 0, d / m, 0D) AS f",
-                *[f"coalesce({c}, 0D) AS {c}" for c in ("b0", "b1", "a0", "a1", "a2", "lq")])
+            grid = tie_sums(grid, key, "m", "s", "e", self.max_ties).selectExpr(
+                "*", "if(d > 0, d / m, 0D) AS f")
         else:
             grid = grid.selectExpr(
                 *keep, "if(d > 0, d, 0D) AS f", "if(d > 0, 1 / s, 0D) AS b0",
@@ -266,8 +265,8 @@ class _Fit:
         return out.withColumns({c + "0": F.lit(0.0) for c in at_start})
 
     def _small(self, side: DataFrame) -> DataFrame:
-        """Broadcast only after the size check; ``times`` comes from a count (±5 %)."""
-        if 1.2 * self.times * 8 * (len(side.columns) + 2) <= BROADCAST_BYTES:
+        """Broadcast only after the size check; the number of times was counted."""
+        if self.times * 8 * (len(side.columns) + 2) <= BROADCAST_BYTES:
             return F.broadcast(side)
         return side
 

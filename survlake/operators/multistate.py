@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import materialize
 from .cox import CoxModel, cox_fit
 from .kernels import step_products
 from .longitudinal import next_state
-from .risk import nelson_aalen, survival_response
-from .scan import TIMES_PER_CHUNK, split_chunk, time_splits
+from .risk import nelson_aalen, resolve_splits, survival_response
+from .scan import split_chunk
 
 
 def transition_matrix(spark: SparkSession, states: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -64,23 +65,22 @@ def transition_probabilities(hazards: DataFrame, states: Mapping[str, Sequence[s
     pos = {s: i for i, s in enumerate(names)}
     steps = hazards.where((F.col("n_event") > 0) & (F.col("time") > from_time)).select(
         "time", _position("from", pos).alias("i"), _position("to", pos).alias("j"),
-        (F.col("n_event") / F.col("n_risk")).alias("da")).persist()
-    try:
-        splits = time_splits(steps, "time", TIMES_PER_CHUNK) if splits == "auto" else list(splits or [])
-        steps = steps.withColumn("chunk", split_chunk("time", splits))
-        cells = ", ".join(f"p{c} double" for c in range(k * k))
+        (F.col("n_event") / F.col("n_risk")).alias("da"))
+    steps, _ = materialize(steps)        # distinct times only; read again when the result is
+    splits = resolve_splits(steps, "time", splits)
+    steps = steps.withColumn("chunk", split_chunk("time", splits))
+    cells = ", ".join(f"p{c} double" for c in range(k * k))
+    prefixes, run = {0: np.eye(k)}, np.eye(k)
+    if splits:
         ends = steps.groupBy("chunk").applyInPandas(step_products(k, None), f"chunk int, {cells}").collect()
-        prefixes, run = {}, np.eye(k)
         for row in sorted(ends):
             prefixes[row[0]] = run
             run = run @ np.array(row[1:]).reshape(k, k)
-        time_type = hazards.schema["time"].dataType.simpleString()
-        path = steps.groupBy("chunk").applyInPandas(step_products(k, prefixes), f"time {time_type}, {cells}")
-        return path.select("time", F.explode(F.array(*[
-            F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"p{i * k + j}").alias("prob"))
-            for i, a in enumerate(names) for j, b in enumerate(names)])).alias("_s")).select("time", "_s.*")
-    finally:
-        steps.unpersist()
+    time_type = hazards.schema["time"].dataType.simpleString()
+    path = steps.groupBy("chunk").applyInPandas(step_products(k, prefixes), f"time {time_type}, {cells}")
+    return path.select("time", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"p{i * k + j}").alias("prob"))
+        for i, a in enumerate(names) for j, b in enumerate(names)])).alias("_s")).select("time", "_s.*")
 
 
 def _position(col: str, pos: Mapping[str, int]) -> Column:

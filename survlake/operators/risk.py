@@ -125,10 +125,9 @@ def nelson_aalen(resp: DataFrame, strata: Sequence[str] = (), weight: str | None
     strata = list(strata)
     rt = risk_table(resp, strata, weight, splits=splits)
     if ties == "efron":
-        sums = tie_sums(rt, [*strata, "time"], "n_tied", "n_risk", "n_event")
-        rt = rt.join(sums.select(*strata, "time", "b0"), [*strata, "time"], "left")
-        rt = rt.withColumn("_h", F.coalesce(F.col("n_event") / F.col("n_tied") * F.col("b0"), F.lit(0.0))
-                           if weight is not None else F.coalesce("b0", F.lit(0.0)))
+        rt = tie_sums(rt, [*strata, "time"], "n_tied", "n_risk", "n_event")
+        rt = rt.withColumn("_h", F.when(F.col("n_tied") > 0, F.col("n_event") / F.col("n_tied") * F.col("b0"))
+                           .otherwise(0.0))
     elif ties == "breslow":
         rt = rt.withColumn("_h", F.col("n_event") / F.col("n_risk"))
     else:

@@ -38,14 +38,13 @@ def time_splits(df: DataFrame, col: str, per_chunk: int = TIMES_PER_CHUNK) -> li
     the driver. The approximate quantiles only choose where to cut, so results
     stay exact whatever they are.
     """
-    n = df.agg(F.approx_count_distinct(col)).first()[0]
+    at = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
+    n, cuts = df.select(col).distinct().agg(
+        F.count(col), F.percentile_approx(col, at, 10 * MAX_CHUNKS)).first()
     chunks = min(MAX_CHUNKS, -(-n // per_chunk))
     if chunks <= 1:
         return []
-    at = [i / chunks for i in range(1, chunks)]
-    cuts = (df.groupBy(col).count()
-            .agg(F.percentile_approx(col, at, 10 * MAX_CHUNKS)).first()[0])
-    return sorted(set(cuts))
+    return sorted({cuts[round(i * MAX_CHUNKS / chunks) - 1] for i in range(1, chunks)})
 
 
 def split_chunk(col: str | Column, splits: Sequence) -> Column:
@@ -176,28 +175,40 @@ def carry_forward(df: DataFrame, id: str, order: Sequence[str], cols: Sequence[s
 # --- tied events -----------------------------------------------------------
 
 TIES_PER_BLOCK = 4096
+_TIE_SUMS = {
+    "b0": "1 / x.q", "b1": "x.c / x.q", "a0": "1 / (x.q * x.q)", "a1": "x.c / (x.q * x.q)",
+    "a2": "x.c * x.c / (x.q * x.q)", "lq": "ln(x.q)",
+}
 
 
-def tie_sums(df: DataFrame, keys: Sequence[str], m: str, s0: str, e0: str) -> DataFrame:
-    """Sums over the ``m`` tied events of a time, with ``q_l = s0 - (l/m)·e0``.
+def tie_sums(df: DataFrame, keys: Sequence[str], m: str, s0: str, e0: str,
+             max_ties: int | None = None) -> DataFrame:
+    """Sums over the ``m`` tied events of a time, with ``q_l = s0 - (l/m)·e0`` and ``c = l/m``.
 
-    Adds ``b0, b1`` (sums of ``c/q`` powers ``c^0, c^1``), ``a0, a1, a2`` (sums
-    of ``c^k/q²``) and ``lq`` (sum of ``ln q``), ``c = l/m``. Ties are unrolled
-    in blocks and added up by a partial aggregate, so the work equals the number
-    of events and a time with very many ties never becomes one long array.
+    Adds ``b0, b1`` (sums of ``c^k/q``), ``a0, a1, a2`` (sums of ``c^k/q²``) and
+    ``lq`` (sum of ``ln q``); 0 where nothing is tied. With few ties (a known
+    ``max_ties``) they are summed within the row. Otherwise they are unrolled in
+    blocks and added up by a combining aggregate: the work equals the number of
+    events, and a time with very many never becomes one long array.
     """
-    last = F.col(m) - 1
-    blocks = df.where(F.col(m) > 0).select(
-        *keys, m, s0, e0, F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"),
-                                               F.lit(TIES_PER_BLOCK).cast("long"))).alias("_lo"))
-    rows = blocks.select(
-        *keys, m, s0, e0,
-        F.explode(F.sequence("_lo", F.least(F.col("_lo") + TIES_PER_BLOCK - 1, last.cast("long"))))
-        .alias("_l"))
-    rows = rows.select(*keys, (F.col("_l") / F.col(m)).alias("_c"),
-                       (F.col(s0) - F.col("_l") / F.col(m) * F.col(e0)).alias("_q"))
-    c, q = F.col("_c"), F.col("_q")
-    return rows.groupBy(*keys).agg(
-        F.sum(1 / q).alias("b0"), F.sum(c / q).alias("b1"),
-        F.sum(1 / (q * q)).alias("a0"), F.sum(c / (q * q)).alias("a1"),
-        F.sum(c * c / (q * q)).alias("a2"), F.sum(F.log(q)).alias("lq"))
+    if max_ties is not None and max_ties <= TIES_PER_BLOCK:
+        zero = ", ".join(f"'{k}', 0D" for k in _TIE_SUMS)
+        add = ", ".join(f"'{k}', z.{k} + {v}" for k, v in _TIE_SUMS.items())
+        total = (f"aggregate(transform(sequence(0L, cast({m} AS bigint) - 1), "
+                 f"l -> named_struct('c', l / {m}, 'q', {s0} - l / {m} * {e0})), "
+                 f"named_struct({zero}), (z, x) -> named_struct({add}))")
+        df = df.selectExpr("*", f"if({m} > 0, {total}, NULL) AS _tied")
+        return df.selectExpr(*[f"`{c}`" for c in df.columns if c != "_tied"],
+                             *[f"coalesce(_tied.{k}, 0D) AS {k}" for k in _TIE_SUMS])
+
+    last = f"cast({m} AS bigint) - 1"
+    blocks = df.where(F.col(m) > 0).selectExpr(
+        *keys, f"{m} AS _m", f"{s0} AS _s", f"{e0} AS _e",
+        f"explode(sequence(0L, {last}, {TIES_PER_BLOCK}L)) AS _lo")
+    ties = blocks.selectExpr(
+        *keys, "_m", "_s", "_e",
+        f"explode(sequence(_lo, least(_lo + {TIES_PER_BLOCK - 1}, cast(_m AS bigint) - 1))) AS _l")
+    ties = ties.selectExpr(*keys, "named_struct('c', _l / _m, 'q', _s - _l / _m * _e) AS x")
+    sums = ties.groupBy(*keys).agg(*[F.expr(f"sum({v})").alias(k) for k, v in _TIE_SUMS.items()])
+    return df.join(sums, list(keys), "left").selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"coalesce({k}, 0D) AS {k}" for k in _TIE_SUMS])

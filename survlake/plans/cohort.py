@@ -10,7 +10,7 @@ from .. import (
     freq_percent, kaplan_meier, longitudinal_points, missing_profile, nelson_aalen, relevel_event, risk_table,
     survival_response,
 )
-from ..operators.scan import day_chunk
+from ..operators.scan import time_splits
 from . import fixtures as fx
 from .fixtures import sql_with
 from .registry import query
@@ -24,8 +24,7 @@ _CP_COLS = """id, CAST(visitdt AS VARCHAR) AS visitdt, CAST(post_date AS VARCHAR
 
 @query("counting_process", sql_with("cp") + f"SELECT {_CP_COLS} FROM cp")
 def cp_query(spark, sf_dir):
-    cp = counting_process(fx.analysis(spark, sf_dir), "id", "visitdt", "origin", "final", "status",
-                          chunk=day_chunk("visitdt"))
+    cp = counting_process(fx.analysis(spark, sf_dir), "id", "visitdt", "origin", "final", "status")
     return cp.select("id", "visitdt", "post_date", "time", "start_time", "end_time", "event_numeric", "response")
 
 
@@ -215,7 +214,6 @@ def na_spells(spark, sf_dir):
     """Microsecond times: nearly every row is its own time, so the axis is scanned in chunks."""
     s = fx.spells(spark, sf_dir).withColumns({"begin": F.col("start"), "finish": F.col("stop")})
     resp = survival_response(s, "finish", "status", 1, start="begin")
-    from ..operators.scan import time_splits
     return nelson_aalen(resp, splits=time_splits(resp, "surv_stop", per_chunk=5_000))
 
 

@@ -7,7 +7,7 @@ oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import wall_micros
@@ -42,22 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per subject and day, the smallest order key wins.
 
-    ``min_by`` combines before the shuffle, so a subject with very many orders
-    sends one row per day and map task.
+    ``min_by`` on numbers is a hash aggregate that combines before the shuffle:
+    a subject with very many orders sends one row per day and map task, and at
+    most one row per day is left.
     """
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("visitdt"),
-        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    picked = o.groupBy("id", "visitdt").agg(F.min(F.struct(
-        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).alias("o")).select(
-            "id", "visitdt", "o.*")
     key = F.col("o_orderkey")
-    return picked.select(
-        "id", "visitdt", key.alias("visit_key"),
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("visitdt"), key, "o_totalprice",
         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("code"),
-        F.when(key % 7 != 0, F.floor(F.col("o_totalprice") / 10) / 10000).alias("marker"),
-        F.when(key % 11 == 0, PULSE_UNKNOWN).otherwise((key % 97).cast("int")).alias("pulse"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"))
+    picked = o.groupBy("id", "visitdt").agg(F.min(key).alias("visit_key"), *[
+        F.min_by(c, key).alias(c) for c in ("code", "prio", "o_totalprice")])
+    key = F.col("visit_key")
+    return picked.select(
+        "id", "visitdt", "visit_key", "code",
+        F.when(key % 7 != 0, F.floor(F.col("o_totalprice") / 10) / 10000).alias("marker"),
+        F.when(key % 11 == 0, PULSE_UNKNOWN).otherwise((key % 97).cast("int")).alias("pulse"), "prio")
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +75,13 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits after carry-forward, with origin, final date and final status."""
     v = visits(spark, sf_dir)
     v = locf(v, "id", ["visitdt"], ["marker", "pulse"], sentinels={"pulse": [PULSE_UNKNOWN]})
-    ends = v.groupBy("id").agg(
-        F.min("visitdt").alias("origin"), F.max("visitdt").alias("final"),
-        F.max_by("code", "visitdt").alias("status"))
-    out = v.join(ends, "id").withColumns({
+    # same partitioning and order as the carry-forward: no further shuffle
+    whole = Window.partitionBy("id").orderBy("visitdt").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    out = v.withColumns({
+        "origin": F.first("visitdt").over(whole), "final": F.last("visitdt").over(whole),
+        "status": F.last("code").over(whole)})
+    out = out.withColumns({
         "response": (F.col("marker") < THRESHOLD).cast("int"),
         "urgent": (F.col("prio") <= 2).cast("int")})
     return out.join(subjects(spark, sf_dir), "id", "left")

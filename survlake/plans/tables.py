@@ -14,7 +14,7 @@ from .. import (
     response_label, round_even, select_numbered, select_prefix, try_number, union_cohorts,
     visit_sequence, wide_to_long, write_table,
 )
-from ..operators.scan import day_chunk, hour_chunk
+from ..operators.scan import hour_chunk
 from . import fixtures as fx
 from .fixtures import sql_with, table
 from .registry import query
@@ -449,8 +449,7 @@ def gather_query(spark, sf_dir):
 SELECT id, CAST(visitdt AS VARCHAR) AS visitdt, round(marker, 6) AS marker, CAST(pulse AS BIGINT) AS pulse FROM filled
 """)
 def locf_query(spark, sf_dir):
-    v = locf(fx.visits(spark, sf_dir), "id", ["visitdt"], ["marker", "pulse"], sentinels={"pulse": [-99]},
-             chunk=day_chunk("visitdt"))
+    v = locf(fx.visits(spark, sf_dir), "id", ["visitdt"], ["marker", "pulse"], sentinels={"pulse": [-99]})
     return v.select("id", "visitdt", "marker", "pulse")
 
 

@@ -86,31 +86,33 @@ def running(df: DataFrame, by: Sequence[str], order: str,
     return done.select(*df.columns, *outputs)
 
 
+def _scan_all(df, by, order, outputs):
+    # sums as SQL text: one call each, however many columns a model has
+    sums = [f"coalesce(sum(`{col}`) OVER ({_frame_sql(kind, by, order)}), 0) AS `{out}`"
+            for out, (kind, col) in outputs.items() if kind.startswith("sum")]
+    df = df.selectExpr("*", *sums) if sums else df
+    products = {out: (kind, col) for out, (kind, col) in outputs.items() if kind.startswith("product")}
+    return df.withColumns({
+        out: F.coalesce(F.product(F.col(col)).over(_frame(kind, by, order)), F.lit(1.0))
+        for out, (kind, col) in products.items()}) if products else df
+
+
 def _carry_kind(kind: str) -> str:
     if kind in ("sum_from", "sum_after"):
         return "sum_after"
     return kind.split("_")[0] + "_before"
 
 
-def _scan_all(df, by, order, outputs):
-    frames = {kind: _frame(kind, list(by), order) for kind in {k for k, _ in outputs.values()}}
-    return df.withColumns({out: _scan(kind, col, frames[kind]) for out, (kind, col) in outputs.items()})
+def _frame_sql(kind: str, by: Sequence[str], order: str) -> str:
+    part = f"PARTITION BY {', '.join(f'`{c}`' for c in by)} " if by else ""
+    back = " DESC" if kind in ("sum_from", "sum_after") else ""
+    last = "1 PRECEDING" if kind.endswith(("_before", "_after")) else "CURRENT ROW"
+    return f"{part}ORDER BY `{order}`{back} ROWS BETWEEN UNBOUNDED PRECEDING AND {last}"
 
 
 def _frame(kind: str, by: Sequence[str], order: str):
-    w = Window.partitionBy(*by)
-    if kind in ("sum_from", "sum_after"):
-        w = w.orderBy(F.col(order).desc())
-    else:
-        w = w.orderBy(F.col(order))
-    last = -1 if kind.endswith(("_before", "_after")) else Window.currentRow
-    return w.rowsBetween(Window.unboundedPreceding, last)
-
-
-def _scan(kind: str, col: str, w) -> Column:
-    if kind.startswith("product"):
-        return F.coalesce(F.product(F.col(col)).over(w), F.lit(1.0))
-    return F.coalesce(F.sum(col).over(w), F.lit(0))
+    last = -1 if kind.endswith("_before") else Window.currentRow
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
 
 
 # --- neighbours and carry-forward -----------------------------------------
@@ -144,13 +146,19 @@ def _shift(df, id, order, outputs, chunk, forward):
     ends = chunked.groupBy(id, "_chunk").agg(
         (F.min_by(pack, key) if forward else F.max_by(pack, key)).alias("_end"))
     over_chunks = Window.partitionBy(id).orderBy("_chunk")
-    ends = ends.select(id, "_chunk", step("_end").over(over_chunks).alias("_carry"))
-    done = local.join(ends, [id, "_chunk"])
+    ends = ends.withColumn("_carry", step("_end").over(over_chunks))
+    done = _per_chunk(local, ends, id, ["_carry"])
     return done.withColumns({
         out: F.when(F.col("_edge"), F.col(f"_carry.{out}")).otherwise(F.col(out))
         for out in outputs}).select(*df.columns, *outputs)
 
 
+def _per_chunk(rows, ends, id, cols):
+    """Attach a chunk's carried state to its rows; null keys are keys like any other."""
+    side = ends.select(F.col(id).alias("_id_c"), F.col("_chunk").alias("_chunk_c"), *cols)
+    return rows.join(side, rows[id].eqNullSafe(side["_id_c"]) & rows["_chunk"].eqNullSafe(side["_chunk_c"]))
+
+
 def carry_forward(df: DataFrame, id: str, order: Sequence[str], cols: Sequence[str],
                   chunk: Column | None = None) -> DataFrame:
     """Last non-null value so far per ``id``, for each of ``cols``."""
@@ -165,9 +173,9 @@ def carry_forward(df: DataFrame, id: str, order: Sequence[str], cols: Sequence[s
     ends = chunked.groupBy(id, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_end_{c}") for c in cols])
     before = Window.partitionBy(id).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(id, "_chunk", *[
-        F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_end_{c}") for c in cols])
-    done = local.join(ends, [id, "_chunk"])
+    ends = ends.withColumns({
+        f"_end_{c}": F.last(f"_end_{c}", ignorenulls=True).over(before) for c in cols})
+    done = _per_chunk(local, ends, id, [f"_end_{c}" for c in cols])
     return done.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_end_{c}")) for c in cols}).select(*df.columns)
 

@@ -55,10 +55,10 @@ def materialize(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Fix ``df`` for repeated passes; returns it and a function that frees it.
 
     Where the cluster names a shared checkpoint folder the rows are written
-    there, so a lost executor costs no recomputation of what led to them.
-    Otherwise they are kept in memory and on disk and can be recomputed.
+    there first, so blocks lost with an executor are read back instead of
+    being recomputed from the sources. The cached copy serves the passes.
     """
     if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint(eager=True), lambda: None
+        df = df.checkpoint()
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     return kept, lambda: kept.unpersist()

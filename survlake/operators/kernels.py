@@ -62,7 +62,7 @@ def time_sums(p: int, efron: bool):
 
 def step_products(k: int, prefixes):
     """Ordered products in one chunk: the last one, or all of them after a prefix."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
         steps = np.zeros((len(times), k, k))
         steps[at, pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["da"].to_numpy()

@@ -193,7 +193,7 @@ def na_query(spark, sf_dir):
 
 @query("nelson_aalen_efron", sql_with("basal", more=_RISK) + f"""
 SELECT time, n AS n_risk, d AS n_event,
-       round(sum(list_sum(list_transform(range(0, d), lambda l: 1.0::DOUBLE / (n - l)))) {_W}, 6) AS hazard
+       round(sum(coalesce(list_sum(list_transform(range(0, d), lambda l: 1.0::DOUBLE / (n - l))), 0)) {_W}, 6) AS hazard
 FROM risk
 """)
 def na_efron(spark, sf_dir):

@@ -5,7 +5,7 @@ from .functions.columns import (
     lt_missing_low, nullify, override, recode, rename_all, round_even,
     select_numbered, select_prefix, try_number, wall_micros,
 )
-from .operators.cox import CoxModel, complete_cases, cox_fit
+from .operators.cox import CoxModel, complete_cases, cox_fit, fit_together
 from .operators.describe import (
     daily_counts, daily_prevalence, describe_categorical, describe_continuous,
     freq, freq_percent, longitudinal_points, missing_profile,

@@ -21,11 +21,13 @@ of expanding the data (see :mod:`.finegray`).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
             start: str | None = None, ties: str = "efron", strata: Sequence[str] = (),
             cluster: str | None = None, weight: str | None = None, robust: bool | None = None,
             splits="auto", tail: str | None = None, tail_weights: DataFrame | None = None,
-            tol: float = 1e-8) -> CoxModel:
+            tol: float = 1e-10) -> CoxModel:
     """Fit ``hazard ~ terms``.
 
     ``status`` is a 0/1 column (or condition). ``strata`` get their own baseline.
@@ -144,6 +146,20 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
         release()
 
 
+def fit_together(fits: Mapping[str, Callable[[], CoxModel]], at_once: int = 4) -> dict[str, CoxModel]:
+    """Run several fits side by side.
+
+    The steps of one fit wait for each other and end in small jobs; those of
+    another fit fill the executors meanwhile.
+    """
+    if not fits:
+        return {}
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(at_once) as pool:
+        running_fits = {name: pool.submit(inheritable_thread_target(spark)(fit)) for name, fit in fits.items()}
+        return {name: f.result() for name, f in running_fits.items()}
+
+
 def _pack(strata: Sequence[str]) -> Column:
     if not strata:
         return F.lit(0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import materialize
-from .cox import CoxModel, cox_fit
+from .cox import CoxModel, cox_fit, fit_together
 from .kernels import step_products
 from .longitudinal import next_state
 from .risk import nelson_aalen, resolve_splits, survival_response
@@ -99,5 +99,7 @@ def probabilities_long(probs: DataFrame, outcomes: Sequence[str], sources: Seque
 def transition_cox(rows: DataFrame, terms: Sequence[str], transitions: Sequence[int],
                    start: str = "start_time", stop: str = "end_time", **options) -> dict[int, CoxModel]:
     """Cox model per transition number, Breslow ties, on the rows at risk for it."""
-    return {t: cox_fit(rows.where(F.col("trans") == t), stop, "status", terms, start=start,
-                       ties="breslow", **options) for t in transitions}
+    def fit(trans):
+        return lambda: cox_fit(rows.where(F.col("trans") == trans), stop, "status", terms, start=start,
+                               ties="breslow", **options)
+    return fit_together({t: fit(t) for t in transitions})

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import (
     all_models_table, asof_join, assign_states, combined_endpoint, cox_fit, endpoint_table, expand_transitions,
-    finegray_expand, finegray_fit, landmark_counts, landmark_cut, landmark_grid, landmark_supermodel,
+    finegray_expand, finegray_fit, fit_together, landmark_counts, landmark_cut, landmark_grid, landmark_supermodel,
     probabilities_long, significance_mark, transition_cox, transition_hazards, transition_matrix,
     transition_probabilities,
 )
 from ..sources.io import materialize
 from . import fixtures as fx
+from .cox_sql import G_CTE, fit_sql, rounded
 from .fixtures import BASE_TERMS, CAUSES, LABELS, MODEL_TERMS, STATES, sql_with
 from .registry import query
 
@@ -67,13 +68,7 @@ res AS (SELECT rw.id, CASE WHEN rw.d = 1 THEN rw.x - any_value(own.n1 * exp(f.b)
 meat AS (SELECT sum(s * s) AS v FROM (SELECT id, sum(l) AS s FROM res GROUP BY id))
 """
 _Z = "1.959963984540054"
-_G_SQL = """
-ends AS (SELECT time, count(*) AS n_all, count(*) FILTER (event_numeric <> 0) AS d, count(*) FILTER (event_numeric = 0) AS c
-         FROM basal GROUP BY time),
-gr AS (SELECT e.*, (SELECT sum(n_all) FROM ends x WHERE x.time >= e.time) AS n FROM ends e),
-g AS MATERIALIZED (SELECT time, coalesce(product(CASE WHEN c > 0 THEN 1 - c / (n - d) ELSE 1.0 END)
-       OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS g_before FROM gr),
-"""
+_G_SQL = G_CTE + ","
 
 
 def _cox_sql(views, rows: str, term: str, ties: str = "breslow", cluster=False, tail=False) -> str:
@@ -88,6 +83,21 @@ FROM fin{', meat' if cluster else ''}
 """
 
 
+def _fit(terms, d, ties, source="cp", a="start_time", b="end_time", st="0", rival="FALSE", views=("cp",),
+         pre="", robust=False, tail=False, select=None) -> str:
+    """Statement for a fit with many terms; ``select`` is what to take from ``out``."""
+    rows = (f"SELECT {st} AS st, {a} AS a, {b} AS b, CAST({d} AS INTEGER) AS d, id, {rival} AS rival, "
+            + ", ".join(f"CAST({t} AS DOUBLE) AS x{j}" for j, t in enumerate(terms, 1))
+            + f" FROM {source} WHERE " + " AND ".join(f"{t} IS NOT NULL" for t in terms))
+    more = ",\n".join(part.strip() for part in (pre, G_CTE if tail else "", fit_sql(rows, terms, ties, tail, robust)) if part)
+    return sql_with(*views, recursive=True, more=more) + f"SELECT {select or rounded()} FROM out"
+
+
+def _fine_gray(terms, cause, ties, source="basal", a="0", b="time", event="event_numeric", **more) -> str:
+    return _fit(terms, f"{event} = {cause}", ties, source=source, a=a, b=b, views=("cp", "basal"),
+                rival=f"({event} NOT IN (0, {cause}))", robust=True, tail=True, **more)
+
+
 def _rows(source, x, d, a="start_time", b="end_time", st="0", rival=""):
     return (f"SELECT {st} AS st, {a} AS a, {b} AS b, CAST({d} AS INTEGER) AS d, {x} AS x, id"
             f"{', ' + rival + ' AS rival' if rival else ''} FROM {source} WHERE {x} IS NOT NULL")
@@ -145,19 +155,19 @@ def cox_spells(spark, sf_dir):
     return cox_fit(s, "stop", "status", ["after_error"], start="start", ties="breslow").summary().select(*_SHORT)
 
 
-@query("cox_multi")
+@query("cox_multi", _fit(MODEL_TERMS, "event_numeric = 1", "efron"))
 def cox_multi(spark, sf_dir):
     return cox_fit(fx.cp(spark, sf_dir), "end_time", F.col("event_numeric") == 1, MODEL_TERMS,
                    start="start_time").summary()
 
 
-@query("cox_cluster")
+@query("cox_cluster", _fit(MODEL_TERMS, "event_numeric > 0", "breslow", robust=True))
 def cox_cluster(spark, sf_dir):
     return cox_fit(fx.cp(spark, sf_dir), "end_time", F.col("event_numeric") > 0, MODEL_TERMS, start="start_time",
                    ties="breslow", cluster="id").summary()
 
 
-@query("cox_weighted")
+@query("cox_weighted", _fine_gray(["age", "sex", "marker"], 1, "efron"))
 def cox_weighted(spark, sf_dir):
     """The expanded Fine-Gray table, fitted as an ordinary weighted model."""
     b = fx.basal(spark, sf_dir)
@@ -198,13 +208,14 @@ def finegray_timevarying_binary(spark, sf_dir):
                         final="time", robust=False).summary().select(*_SHORT)
 
 
-@query("finegray_fit")
+@query("finegray_fit", _fine_gray(BASE_TERMS, 1, "breslow"))
 def finegray_query(spark, sf_dir):
     return finegray_fit(fx.basal(spark, sf_dir), "time", "event_numeric", 1, BASE_TERMS, id="id",
                         ties="breslow").summary()
 
 
-@query("finegray_fit_timevarying")
+@query("finegray_fit_timevarying", _fine_gray(
+    MODEL_TERMS, 1, "efron", source="cp", a="start_time", b="end_time"))
 def finegray_timevarying(spark, sf_dir):
     return finegray_fit(fx.cp(spark, sf_dir), "end_time", "event_numeric", 1, MODEL_TERMS, start="start_time",
                         final="time", id="id").summary()
@@ -232,12 +243,18 @@ def subdistribution_hazard(spark, sf_dir):
 
 _STACK_SQL = f"""
 lm AS (SELECT unnest(range({_GRID[0]}, {_GRID[-1] + 1}, {_GRID[1] - _GRID[0]})) AS "LM"),
-stack AS MATERIALIZED (SELECT "LM", id, start_time, response, least(time, "LM" + {_HORIZON}) AS time,
+stack AS MATERIALIZED (SELECT "LM", "LM" AS "LM1", "LM" * "LM" AS "LM2", id, start_time,
+    {', '.join(MODEL_TERMS)}, least(time, "LM" + {_HORIZON}) AS time,
     CASE WHEN time > "LM" + {_HORIZON} THEN 0 ELSE status END AS status
   FROM cp JOIN lm ON start_time < "LM" AND "LM" <= end_time AND time > "LM")
 """
 
 
+_LM_FIT = {"source": "stack", "a": '"LM"', "b": "time", "pre": _STACK_SQL, "robust": True}
+_LM_STRATA = {"terms": MODEL_TERMS, "d": "status = 1", "ties": "breslow", "st": '"LM"', **_LM_FIT}
+_LM_POLY = {"terms": [*MODEL_TERMS, "LM1", "LM2"], "d": "status = 1", "ties": "breslow", **_LM_FIT}
+
+
 def _stack(spark, sf_dir):
     return landmark_cut(fx.cp(spark, sf_dir), _GRID, _HORIZON, "status")
 
@@ -286,12 +303,12 @@ def landmark_binary(spark, sf_dir):
         *_SHORT, "robust_se")
 
 
-@query("landmark_supermodel")
+@query("landmark_supermodel", _fit(**_LM_STRATA))
 def supermodel_query(spark, sf_dir):
     return landmark_supermodel(_stack(spark, sf_dir), MODEL_TERMS, F.col("status") == 1, "id").summary()
 
 
-@query("landmark_supermodel_poly")
+@query("landmark_supermodel_poly", _fit(**_LM_POLY))
 def supermodel_poly(spark, sf_dir):
     return landmark_supermodel(_stack(spark, sf_dir), MODEL_TERMS, F.col("status") == 1, "id", form="poly").summary()
 
@@ -376,7 +393,12 @@ def transition_cox_binary(spark, sf_dir):
     return transition_cox(_multistate(spark, sf_dir), ["sex"], [1])[1].summary().select(*_SHORT)
 
 
-@query("transition_cox")
+def _transition_fit(trans, **more) -> str:
+    return _fit(BASE_TERMS, "status2 = 1", "breslow", source=f"(SELECT * FROM ms WHERE trans = {trans})", pre=_STATE_SQL, **more)
+
+
+@query("transition_cox", " UNION ALL ".join(
+    f"SELECT {t}::BIGINT AS trans, * FROM ({_transition_fit(t)})" for t in (3, 6, 2, 5, 1)))
 def transition_cox_query(spark, sf_dir):
     """Models of the five reported transitions."""
     rows, release = materialize(_multistate(spark, sf_dir))
@@ -392,35 +414,76 @@ def transition_cox_query(spark, sf_dir):
 # --- reports ---------------------------------------------------------------------------------------
 
 
-@query("endpoint_table")
+def _side_by_side(blocks: dict[str, str]) -> str:
+    cols = ", ".join(f"max({c}) FILTER (ep = '{ep}') AS {ep}_{c}" for ep in blocks for c in ("hr", "lower", "upper"))
+    stacked = " UNION ALL ".join(f"SELECT '{ep}' AS ep, * FROM ({sql})" for ep, sql in blocks.items())
+    return f"SELECT term, {cols} FROM ({stacked}) GROUP BY term"
+
+
+@query("endpoint_table", _side_by_side({
+    ep: _fit(MODEL_TERMS, d, "efron") for ep, d in {
+        "death": "event_numeric = 1", "transplant": "event_numeric = 2", "either": "event_numeric > 0"}.items()}))
 def endpoint_query(spark, sf_dir):
     """Cause-specific time-varying models of the three endpoints, side by side."""
     cp, release = materialize(fx.cp(spark, sf_dir))
-    models = {name: cox_fit(cp, "end_time", hit, MODEL_TERMS, start="start_time") for name, hit in {
-        "death": F.col("event_numeric") == 1, "transplant": F.col("event_numeric") == 2,
-        "either": F.col("event_numeric") > 0}.items()}
+    event = F.col("event_numeric")
+
+    def fit(hit):
+        return lambda: cox_fit(cp, "end_time", hit, MODEL_TERMS, start="start_time")
+
+    models = fit_together({"death": fit(event == 1), "transplant": fit(event == 2), "either": fit(event > 0)})
     release()
     return endpoint_table(models)
 
 
-@query("endpoint_table_finegray")
+@query("endpoint_table_finegray", _side_by_side({
+    "death": _fine_gray(BASE_TERMS, 1, "breslow"), "transplant": _fine_gray(BASE_TERMS, 2, "breslow"),
+    "either": _fine_gray(BASE_TERMS, 1, "breslow", event="CAST(event_numeric > 0 AS INTEGER)")}))
 def endpoint_finegray(spark, sf_dir):
     """Subdistribution models of the three endpoints on first-visit covariates."""
     b, release = materialize(combined_endpoint(fx.basal(spark, sf_dir), "event_numeric", [1, 2], "either"))
-    models = {name: finegray_fit(b, "time", event, cause, BASE_TERMS, id="id", ties="breslow")
-              for name, event, cause in (("death", "event_numeric", 1), ("transplant", "event_numeric", 2),
-                                         ("either", "either", 1))}
+
+    def fit(event, cause):
+        return lambda: finegray_fit(b, "time", event, cause, BASE_TERMS, id="id", ties="breslow")
+
+    models = fit_together({"death": fit("event_numeric", 1), "transplant": fit("event_numeric", 2),
+                           "either": fit("either", 1)})
     release()
     return endpoint_table(models)
 
 
-@query("significance_mark")
+_TEXT = "printf('%.2f', round_even(hr, 2)) || CASE WHEN p < 0.05 THEN '*' ELSE '' END"
+
+
+@query("significance_mark", _fit(
+    BASE_TERMS, "event_numeric = 1", "efron", source="basal", a="0", b="time", views=("basal",),
+    select=f"term, round(hr, 6) AS hr, round(p, 6) AS p, CAST(p < 0.05 AS BIGINT) AS significant, {_TEXT} AS text"))
 def significance_query(spark, sf_dir):
     s = cox_fit(fx.basal(spark, sf_dir), "time", F.col("event_numeric") == 1, BASE_TERMS).summary()
     return significance_mark(s).select("term", "hr", "p", "significant", "text")
 
 
-@query("all_models_table")
+def _all_models_sql() -> str:
+    pick = f"term, {_TEXT} AS text"
+    blocks = {
+        "basal_subdistribution": _fine_gray(BASE_TERMS, 1, "breslow", select=pick),
+        "basal_cause_specific": _fit(BASE_TERMS, "event_numeric = 1", "efron", source="basal", a="0", b="time",
+                                     views=("basal",), select=pick),
+        "varying_subdistribution": _fine_gray(MODEL_TERMS, 1, "efron", source="cp", a="start_time", b="end_time",
+                                              select=pick),
+        "varying_cause_specific": _fit(MODEL_TERMS, "event_numeric = 1", "efron", select=pick),
+        "landmark_1": _fit(**_LM_STRATA, select=pick),
+        "landmark_2": _fit(**_LM_POLY, select=pick),
+        "from_non_responding": _transition_fit(3, select=pick),
+        "from_responding": _transition_fit(6, select=pick),
+    }
+    cols = ", ".join(f"coalesce(max(text) FILTER (model = '{m}'), '') AS {m}" for m in blocks)
+    stacked = " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({sql})" for m, sql in blocks.items())
+    label = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
+    return f"SELECT term, CASE term {label} ELSE term END AS label, {cols} FROM ({stacked}) GROUP BY term"
+
+
+@query("all_models_table", _all_models_sql())
 def all_models(spark, sf_dir):
     """Every model of the first outcome, one row per term; the cohort is built once."""
     cp, release = materialize(fx.cp(spark, sf_dir))
@@ -431,17 +494,21 @@ def all_models(spark, sf_dir):
         F.col("marker") < fx.THRESHOLD, "Responding")
     end = F.when(death, CAUSES[1]).when(F.col("event_numeric") == 2, CAUSES[2])
     multi = expand_transitions(assign_states(cp, state, "id", ["start_time"], end), transition_matrix(spark, STATES))
-    multi = transition_cox(multi, BASE_TERMS, [3, 6])
-    models = {
-        "basal_subdistribution": finegray_fit(basal, "time", "status", 1, BASE_TERMS, id="id", ties="breslow"),
-        "basal_cause_specific": cox_fit(basal, "time", F.col("status") == 1, BASE_TERMS),
-        "varying_subdistribution": finegray_fit(cp, "end_time", "event_numeric", 1, MODEL_TERMS,
-                                                start="start_time", final="time", id="id"),
-        "varying_cause_specific": cox_fit(cp, "end_time", death, MODEL_TERMS, start="start_time"),
-        "landmark_1": landmark_supermodel(stack, MODEL_TERMS, F.col("status") == 1, "id"),
-        "landmark_2": landmark_supermodel(stack, MODEL_TERMS, F.col("status") == 1, "id", form="poly"),
-        "from_non_responding": multi[3],
-        "from_responding": multi[6],
-    }
+
+    def transition(number):
+        return lambda: transition_cox(multi, BASE_TERMS, [number])[number]
+
+    models = fit_together({
+        "basal_subdistribution": lambda: finegray_fit(
+            basal, "time", "status", 1, BASE_TERMS, id="id", ties="breslow"),
+        "basal_cause_specific": lambda: cox_fit(basal, "time", F.col("status") == 1, BASE_TERMS),
+        "varying_subdistribution": lambda: finegray_fit(
+            cp, "end_time", "event_numeric", 1, MODEL_TERMS, start="start_time", final="time", id="id"),
+        "varying_cause_specific": lambda: cox_fit(cp, "end_time", death, MODEL_TERMS, start="start_time"),
+        "landmark_1": lambda: landmark_supermodel(stack, MODEL_TERMS, F.col("status") == 1, "id"),
+        "landmark_2": lambda: landmark_supermodel(stack, MODEL_TERMS, F.col("status") == 1, "id", form="poly"),
+        "from_non_responding": transition(3),
+        "from_responding": transition(6),
+    })
     release()
     return all_models_table(models, labels=LABELS)

@@ -43,6 +43,11 @@ MAX_STEPS = 30
 CLAMP = 200.0
 
 
+def fits_broadcast(rows: int, columns: int) -> bool:
+    """Is a table with this counted number of rows small enough to send to every task?"""
+    return rows * columns * 8 <= BROADCAST_BYTES
+
+
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which none of ``cols`` is null."""
     return df.dropna(subset=list(cols))
@@ -50,7 +55,7 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 @dataclass
 class CoxModel:
-    """A fitted model; ``hazard_table`` (distinct times) is the only data it keeps."""
+    """A fitted model; ``hazard_table`` (distinct event times) is the only data it may keep."""
 
     spark: SparkSession
     terms: list[str]
@@ -95,6 +100,8 @@ class CoxModel:
 
     def baseline_hazard(self) -> DataFrame:
         """Cumulative baseline hazard ``(strata…, time, hazard)`` at the mean covariates."""
+        if self.hazard_table is None:
+            raise ValueError("fit with baseline=True to keep the baseline hazard")
         return self.hazard_table
 
 
@@ -102,7 +109,7 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
             start: str | None = None, ties: str = "efron", strata: Sequence[str] = (),
             cluster: str | None = None, weight: str | None = None, robust: bool | None = None,
             splits="auto", tail: str | None = None, tail_weights: DataFrame | None = None,
-            tol: float = 1e-10) -> CoxModel:
+            baseline: bool | None = None, tol: float = 1e-10) -> CoxModel:
     """Fit ``hazard ~ terms``.
 
     ``status`` is a 0/1 column (or condition). ``strata`` get their own baseline.
@@ -110,6 +117,8 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
     cluster it is computed by row, and ``robust=False`` turns it off. Rows with
     a null in any used column are left out.
 
+    ``baseline`` keeps the cumulative baseline hazard (default: only without terms).
+
     ``tail`` is a row weight after ``stop`` (0 for ordinary rows) and
     ``tail_weights`` the table ``(time, g_before)`` it is multiplied with.
     """
@@ -141,7 +150,8 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
     rows, release = materialize(rows)
     try:
         fit = _Fit(rows, p, ties, start is not None, tail_weights, resolve_splits(rows, "_stop", splits))
-        return fit.run(df.sparkSession, terms, strata, cluster is not None, robust, tol)
+        keep = not terms if baseline is None else baseline
+        return fit.run(df.sparkSession, terms, strata, cluster is not None, robust, keep, tol)
     finally:
         release()
 
@@ -170,23 +180,25 @@ class _Fit:
     def __init__(self, rows, p, ties, has_start, tail_weights, splits):
         self.rows, self.p, self.ties = rows, p, ties
         self.has_start, self.tail_weights, self.splits = has_start, tail_weights, splits
+        self.tail_rows = 0 if tail_weights is None else tail_weights.count()
         self.xs = [f"x{j}" for j in range(p)]
-        first = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_delta").alias("d"),
-            *[F.avg(x).alias(f"m_{x}") for x in self.xs],
-            *[F.stddev_pop(x).alias(f"s_{x}") for x in self.xs],
-            *[F.sum(F.col("_w") * F.col("_delta") * F.col(x)).alias(f"e_{x}") for x in self.xs],
-            F.sum(F.col("_w") * F.col("_delta")).alias("wd")).first()
+        # one job: sums per (stratum, stop), then over all of them
+        each = [f"sum({v}) AS {n}_{x}" for x in self.xs
+                for n, v in (("s", x), ("q", f"{x} * {x}"), ("e", f"_w * _delta * {x}"))]
+        by_stop = rows.groupBy("_stratum", "_stop").agg(*[F.expr(e) for e in (
+            "count(1) AS n", "sum(_delta) AS d", "sum(_w * _delta) AS wd", *each)])
+        first = by_stop.agg(*[F.expr(e) for e in (
+            "count(1) AS stops", "max(d) AS ties", "sum(n) AS n", "sum(d) AS d", "sum(wd) AS wd",
+            *[f"sum({n}_{x}) AS {n}_{x}" for x in self.xs for n in "sqe"])]).first()
         if not first["n"] or not first["d"]:
             raise ValueError("no complete rows with an event")
-        self.n, self.d = first["n"], first["d"]
-        self.means = np.array([first[f"m_{x}"] for x in self.xs])
-        self.scale = np.array([first[f"s_{x}"] or 1.0 for x in self.xs])
-        self.s = np.array([(first[f"e_{x}"] - first["wd"] * self.means[j]) / self.scale[j]
-                           for j, x in enumerate(self.xs)])
-        stops, self.max_ties = rows.groupBy("_stratum", "_stop").agg(F.sum("_delta").alias("m")).agg(
-            F.count(F.lit(1)), F.max("m")).first()
-        self.times = 2 * stops if has_start else stops      # starts add at most as many again
+        self.n, self.d, self.max_ties = first["n"], first["d"], first["ties"]
+        self.times = first["stops"] * (2 if has_start else 1)   # starts add at most as many again
+        self.means = np.array([first[f"s_{x}"] / self.n for x in self.xs])
+        spread = np.array([first[f"q_{x}"] / self.n for x in self.xs]) - self.means ** 2
+        self.scale = np.where(spread > 1e-12 * self.means ** 2, np.sqrt(np.maximum(spread, 0)), 1.0)
+        self.s = np.array([first[f"e_{x}"] for x in self.xs])
+        self.s = (self.s - first["wd"] * self.means) / self.scale
         # every step works on centred, scaled covariates
         self.z = rows.withColumns({
             x: (F.col(x) - F.lit(float(self.means[j]))) / F.lit(float(self.scale[j]))
@@ -232,7 +244,8 @@ class _Fit:
         keep = [*key, "d", "m", "lpd", *([f"e{x}" for x in each] if efron else [])]
         if tail:
             g = self.tail_weights.selectExpr("time", "g_before AS g")
-            grid = grid.join(self._small(g), "time", "left").selectExpr(
+            g = F.broadcast(g) if fits_broadcast(self.tail_rows, 2) else g
+            grid = grid.join(g, "time", "left").selectExpr(
                 *keep, "coalesce(g, 0D) AS g",
                 *[f"s{x} + coalesce(g, 0D) * k{x} AS s{x}" for x in each])
             keep = [*keep, "g"]
@@ -271,20 +284,18 @@ class _Fit:
 
     def at_ends(self, rows, grid, at_stop, at_start) -> DataFrame:
         """Attach grid columns at each row's stop (suffix 1) and start (suffix 0)."""
-        side = grid.select("_stratum", F.col("time").alias("_stop"),
-                           *[F.col(c).alias(c + "1") for c in at_stop])
-        out = rows.join(self._small(side), ["_stratum", "_stop"])
-        if self.has_start:
-            side = grid.select("_stratum", F.col("time").alias("_start"),
-                               *[F.col(c).alias(c + "0") for c in at_start])
-            return out.join(self._small(side), ["_stratum", "_start"])
-        return out.withColumns({c + "0": F.lit(0.0) for c in at_start})
+        small = fits_broadcast(self.times, len(at_stop) + 2)
+        if small:
+            at_start = at_stop      # the same side twice: Spark broadcasts it once
+
+        def side(key, cols, suffix):
+            part = grid.select("_stratum", F.col("time").alias(key), *[F.col(c).alias(c + suffix) for c in cols])
+            return F.broadcast(part) if small else part
 
-    def _small(self, side: DataFrame) -> DataFrame:
-        """Broadcast only after the size check; the number of times was counted."""
-        if self.times * 8 * (len(side.columns) + 2) <= BROADCAST_BYTES:
-            return F.broadcast(side)
-        return side
+        out = rows.join(side("_stop", at_stop, "1"), ["_stratum", "_stop"])
+        if self.has_start:
+            return out.join(side("_start", at_start, "0"), ["_stratum", "_start"])
+        return out.selectExpr("*", *[f"0D AS {c}0" for c in at_start])
 
     def step_sums(self, beta):
         """Log-likelihood, score and information at ``beta``, in one job."""
@@ -317,7 +328,7 @@ class _Fit:
 
     # -- Newton ------------------------------------------------------------
 
-    def run(self, spark, terms, strata, clustered, robust, tol) -> CoxModel:
+    def run(self, spark, terms, strata, clustered, robust, baseline, tol) -> CoxModel:
         p = self.p
         beta = np.zeros(p)
         ll, u, info = self.step_sums(beta)
@@ -343,8 +354,11 @@ class _Fit:
         var = _inverse(info) if p else np.zeros((0, 0))
         rvar = self.sandwich(beta, var, clustered) if robust and p else None
         to_raw = np.outer(1 / self.scale, 1 / self.scale) if p else 1.0
-        table = self.hazard(beta).where(F.col("d") > 0).select(
-            *_unpack(strata), "time", F.col("A").alias("hazard"))
+        table = None
+        if baseline:
+            table, _ = materialize(self.hazard(beta).where(F.col("d") > 0).select(
+                *_unpack(strata), "time", F.col("A").alias("hazard")))
+            table.count()       # evaluated now: the rows behind it are freed after the fit
         return CoxModel(
             spark, terms, beta / self.scale, var * to_raw, None if rvar is None else rvar * to_raw,
             (null_ll, ll), self.n, self.d, steps, converged,

@@ -19,10 +19,12 @@ def freq(df: DataFrame, *cols: str) -> DataFrame:
 def freq_percent(df: DataFrame, *cols: str, digits: int = 2) -> DataFrame:
     """Rows and share of all rows per value.
 
-    The total is a window over the few aggregated rows, not a second scan.
+    The total is a scalar subquery over the aggregated rows, not a second scan
+    and not a window that would gather every value in one task.
     """
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return freq(df, *cols).withColumn("percent", F.bround(F.col("n") / total * 100, digits))
+    counts = freq(df, *cols)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("percent", F.bround(F.col("n") / total * 100, digits))
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str], scale: float = 1.0) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cox import CoxModel, cox_fit
+from .cox import CoxModel, cox_fit, fits_broadcast
 from .risk import censoring_weights, resolve_splits
 from .scan import running
 
@@ -93,6 +93,7 @@ def finegray_fit(df: DataFrame, stop: str, event: str, cause: int, terms: Sequen
     g = g.persist()
     try:
         at = g.select(F.col("time").alias("_u"), F.col("g_before").alias("_gu"))
+        at = F.broadcast(at) if fits_broadcast(g.count(), 2) else at
         rival = ~F.col(event).isin(0, cause)
         rows = df.withColumn("_u", F.col(stop)).join(at, "_u", "left").withColumn(
             "_late", F.when(rival, 1.0 / F.col("_gu")).otherwise(0.0)).drop("_u", "_gu")

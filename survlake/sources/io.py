@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -54,11 +55,24 @@ def drop_work(spark: SparkSession, *views: str) -> None:
 def materialize(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Fix ``df`` for repeated passes; returns it and a function that frees it.
 
-    Where the cluster names a shared checkpoint folder the rows are written
-    there first, so blocks lost with an executor are read back instead of
-    being recomputed from the sources. The cached copy serves the passes.
+    Where the cluster names a shared folder (``spark.checkpoint.dir``) the rows
+    are written there as a table first, so blocks lost with an executor are read
+    back instead of being recomputed from the sources. The cached copy serves
+    the passes. Freeing drops both, so do it only when no result still to be
+    evaluated reads ``df``.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        df = df.checkpoint()
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{shared}/rows-{uuid.uuid4().hex}" if shared else None
+    if path:
+        df.write.parquet(path)
+        df = spark.read.schema(df.schema).parquet(path)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return kept, lambda: kept.unpersist()
+
+    def release() -> None:
+        kept.unpersist()
+        if path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    return kept, release

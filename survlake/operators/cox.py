@@ -33,21 +33,13 @@ from pyspark.sql import functions as F
 
 from .kernels import cross_product, time_sums
 from .risk import resolve_splits
-from .scan import running, tie_sums
+from .scan import fits_broadcast, running, tie_sums
 from ..sources.io import materialize
 
-#: A table of distinct times up to this many bytes is broadcast; beyond it the
-#: join is left to Spark (sort-merge with adaptive skew handling).
-BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_STEPS = 30
 CLAMP = 200.0
 
 
-def fits_broadcast(rows: int, columns: int) -> bool:
-    """Is a table with this counted number of rows small enough to send to every task?"""
-    return rows * columns * 8 <= BROADCAST_BYTES
-
-
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which none of ``cols`` is null."""
     return df.dropna(subset=list(cols))
@@ -240,8 +232,8 @@ class _Fit:
         scans = {f"s{x}": ("sum_from", f"a{x}") for x in each}
         if tail:
             scans.update({f"k{x}": ("sum_before", f"q{x}") for x in each})
-        grid = running(grid, ["_stratum"], "time", scans, self.splits)
-        keep = [*key, "d", "m", "lpd", *([f"e{x}" for x in each] if efron else [])]
+        grid = running(grid, ["_stratum"], "time", scans, self.splits, keep_chunk=True)
+        keep = [*key, *(["_chunk"] if self.splits else []), "d", "m", "lpd", *([f"e{x}" for x in each] if efron else [])]
         if tail:
             g = self.tail_weights.selectExpr("time", "g_before AS g")
             g = F.broadcast(g) if fits_broadcast(self.tail_rows, 2) else g

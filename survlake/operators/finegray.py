@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cox import CoxModel, cox_fit, fits_broadcast
+from .cox import CoxModel, cox_fit
 from .risk import censoring_weights, resolve_splits
-from .scan import running
+from .scan import fits_broadcast, running
 
 
 def finegray_expand(df: DataFrame, cause: int, event: str, stop: str, start: str | None = None,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gt_missing_low, nullify
-from .scan import carry_forward, next_value, previous_value
+from .scan import adjacent_values, carry_forward, next_value
 
 
 def locf(df: DataFrame, id: str, order_by: Sequence[str], cols: Sequence[str],
@@ -41,8 +41,8 @@ def locf(df: DataFrame, id: str, order_by: Sequence[str], cols: Sequence[str],
 def neighbor_visits(df: DataFrame, id: str, order_by: Sequence[str], cols: Sequence[str],
                     chunk: Column | None = None) -> DataFrame:
     """Add ``prev_<col>`` and ``post_<col>`` of the adjacent visits."""
-    df = previous_value(df, id, order_by, {f"prev_{c}": c for c in cols}, chunk)
-    return next_value(df, id, order_by, {f"post_{c}": c for c in cols}, chunk)
+    return adjacent_values(df, id, order_by, before={f"prev_{c}": c for c in cols},
+                           after={f"post_{c}": c for c in cols}, chunk=chunk)
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order_by: Sequence) -> DataFrame:

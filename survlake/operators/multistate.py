@@ -68,7 +68,7 @@ def transition_probabilities(hazards: DataFrame, states: Mapping[str, Sequence[s
         (F.col("n_event") / F.col("n_risk")).alias("da"))
     steps, _ = materialize(steps)        # distinct times only; read again when the result is
     splits = resolve_splits(steps, "time", splits)
-    steps = steps.withColumn("chunk", split_chunk("time", splits))
+    steps = split_chunk(steps, "time", splits, "chunk")
     cells = ", ".join(f"p{c} double" for c in range(k * k))
     prefixes, run = {0: np.eye(k)}, np.eye(k)
     if splits:

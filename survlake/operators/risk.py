@@ -72,7 +72,11 @@ def risk_table(resp: DataFrame, strata: Sequence[str] = (), weight: str | None =
     subject; only those can be censored (default: every row).
     """
     splits = resolve_splits(resp, STOP, splits)
-    strata = list(strata)
+    return _risk_grid(resp, list(strata), weight, causes, last, splits).drop("_chunk")
+
+
+def _risk_grid(resp, strata, weight, causes, last, splits) -> DataFrame:
+    """The risk table, with the scan's chunk column where the time axis is cut."""
     if strata:
         resp = resp.dropna(subset=strata)
     if weight is not None:
@@ -99,8 +103,9 @@ def risk_table(resp: DataFrame, strata: Sequence[str] = (), weight: str | None =
     flat = resp.select(*strata, F.explode(F.array(*entries)).alias("_e")).select(*strata, "_e.*")
     measures = [c for c in flat.columns if c not in (*strata, "time")]
     grid = flat.groupBy(*strata, "time").agg(*[F.sum(c).alias(c) for c in measures])
-    grid = running(grid, strata, "time", {"n_risk": ("sum_from", "_n")}, splits)
+    grid = running(grid, strata, "time", {"n_risk": ("sum_from", "_n")}, splits, keep_chunk=True)
     keep = [c for c in measures if not c.startswith("_")]
+    keep += ["_chunk"] if splits else []
     return grid.where(F.col("_stop") > 0).select(*strata, "time", "n_risk", *keep)
 
 
@@ -109,7 +114,7 @@ def kaplan_meier(resp: DataFrame, strata: Sequence[str] = (), weight: str | None
                  splits="auto") -> DataFrame:
     """``(strata, time, n_risk, n_event, n_censor, surv)``."""
     splits = resolve_splits(resp, STOP, splits)
-    rt = risk_table(resp, strata, weight, splits=splits)
+    rt = _risk_grid(resp, list(strata), weight, None, None, splits)
     rt = rt.withColumn("_f", 1 - F.col("n_event") / F.col("n_risk"))
     out = running(rt, list(strata), "time", {"surv": ("product", "_f")}, splits)
     return out.drop("_f", "n_tied")
@@ -123,7 +128,7 @@ def nelson_aalen(resp: DataFrame, strata: Sequence[str] = (), weight: str | None
     """
     splits = resolve_splits(resp, STOP, splits)
     strata = list(strata)
-    rt = risk_table(resp, strata, weight, splits=splits)
+    rt = _risk_grid(resp, strata, weight, None, None, splits)
     if ties == "efron":
         rt = tie_sums(rt, [*strata, "time"], "n_tied", "n_risk", "n_event")
         rt = rt.withColumn("_h", F.when(F.col("n_tied") > 0, F.col("n_event") / F.col("n_tied") * F.col("b0"))
@@ -142,9 +147,9 @@ def cumulative_incidence(df: DataFrame, time: str, cause: str, causes: Sequence[
     resp = survival_response(df, time, cause)
     splits = resolve_splits(resp, STOP, splits)
     strata = list(strata)
-    rt = risk_table(resp, strata, causes=causes, splits=splits)
+    rt = _risk_grid(resp, strata, None, causes, None, splits)
     rt = rt.withColumn("_f", 1 - F.col("n_event") / F.col("n_risk"))
-    rt = running(rt, strata, "time", {"_before": ("product_before", "_f")}, splits)
+    rt = running(rt, strata, "time", {"_before": ("product_before", "_f")}, splits, keep_chunk=True)
     rt = rt.withColumns({
         f"_i_{k}": F.col("_before") * F.col(f"n_event_{k}") / F.col("n_risk") for k in causes})
     rt = running(rt, strata, "time", {f"_c_{k}": ("sum", f"_i_{k}") for k in causes}, splits)
@@ -163,13 +168,13 @@ def compare_km_cif(df: DataFrame, time: str, cause: str, labels: Mapping[int, st
     codes = list(labels)
     resp = survival_response(df, time, cause)
     splits = resolve_splits(resp, STOP, splits)
-    rt = risk_table(resp, causes=codes, splits=splits)
+    rt = _risk_grid(resp, [], None, codes, None, splits)
     rt = rt.withColumns({
         "_f": 1 - F.col("n_event") / F.col("n_risk"),
         **{f"_f_{k}": 1 - F.col(f"n_event_{k}") / F.col("n_risk") for k in codes}})
     rt = running(rt, [], "time", {
         "_before": ("product_before", "_f"), "_km": ("product", "_f"),
-        **{f"_km_{k}": ("product", f"_f_{k}") for k in codes}}, splits)
+        **{f"_km_{k}": ("product", f"_f_{k}") for k in codes}}, splits, keep_chunk=True)
     rt = rt.withColumns({
         "_i": F.col("_before") * F.col("n_event") / F.col("n_risk"),
         **{f"_i_{k}": F.col("_before") * F.col(f"n_event_{k}") / F.col("n_risk") for k in codes}})
@@ -198,7 +203,7 @@ def censoring_weights(df: DataFrame, time: str, cause: str, start: str | None =
     resp = survival_response(df, time, cause, start=start)
     splits = resolve_splits(resp, STOP, splits)
     last = None if final is None else F.col(final) == F.col(STOP)
-    rt = risk_table(resp, strata, last=last, splits=splits)
+    rt = _risk_grid(resp, list(strata), None, None, last, splits)
     rt = rt.withColumn("_f", F.when(
         F.col("n_censor") > 0, 1 - F.col("n_censor") / (F.col("n_risk") - F.col("n_event"))).otherwise(1.0))
     out = running(rt, list(strata), "time", {

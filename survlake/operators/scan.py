@@ -4,19 +4,29 @@ A plain ``Window.partitionBy(key).orderBy(t)`` puts a whole key into one task.
 Everything here has a second form: the key is cut into ordered chunks, each
 chunk is scanned on its own, and the chunks' totals (one small row each) carry
 the running state across. The big side is shuffled once, by ``(key, chunk)``.
+Which form runs is decided by counting: only keys and time axes that are too
+large for one task are cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A counted table up to this many bytes is broadcast; beyond it the join is left
+#: to Spark (sort-merge with adaptive skew handling).
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 #: Distinct times per scan chunk; above this a time axis is cut into chunks.
 TIMES_PER_CHUNK = 50_000
 MAX_CHUNKS = 1024
 
+#: Keys with more rows than this are scanned in chunks.
+ROWS_PER_KEY = 1_000_000
+
 
 # --- chunk keys ------------------------------------------------------------
 
@@ -31,6 +41,28 @@ def hour_chunk(col: str, hours: int = 1) -> Column:
     return F.floor((F.unix_date(F.to_date(col)) * 24 + F.hour(col)) / F.lit(hours)).cast("long")
 
 
+def chunk_hot_keys(df: DataFrame, id: str, chunk: Column) -> DataFrame | None:
+    """``df`` with ``_chunk`` set for the keys that hold too many rows for one task.
+
+    Only those keys pay for chunks; null elsewhere. None when there is no such
+    key, so that a plain window does. One counting pass over the key column.
+    """
+    hot = (df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_KEY)
+           .select(F.col(id).alias("_hot"), F.lit(True).alias("_is_hot"))).persist()
+    n = hot.count()
+    if n == 0:
+        hot.unpersist()
+        return None
+    side = F.broadcast(hot) if fits_broadcast(n, 2) else hot
+    return (df.join(side, df[id] == side["_hot"], "left")
+            .withColumn("_chunk", F.when(F.col("_is_hot"), chunk)).drop("_hot", "_is_hot"))
+
+
+def fits_broadcast(rows: int, columns: int) -> bool:
+    """Is a table with this counted number of rows small enough to send to every task?"""
+    return rows * columns * 8 <= BROADCAST_BYTES
+
+
 def time_splits(df: DataFrame, col: str, per_chunk: int = TIMES_PER_CHUNK) -> list:
     """Cut points that balance the distinct values of ``col``, empty when few.
 
@@ -47,30 +79,35 @@ def time_splits(df: DataFrame, col: str, per_chunk: int = TIMES_PER_CHUNK) -> li
     return sorted({cuts[round(i * MAX_CHUNKS / chunks) - 1] for i in range(1, chunks)})
 
 
-def split_chunk(col: str | Column, splits: Sequence) -> Column:
-    """Index of the piece that holds ``col``: the number of cut points at or below it."""
-    col = F.col(col) if isinstance(col, str) else col
+def split_chunk(df: DataFrame, col: str, splits: Sequence, out: str = "_chunk") -> DataFrame:
+    """Add the index of the piece that holds the (numeric) column: cut points at or below it."""
     if not splits:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= col))
+        return df.withColumn(out, F.lit(0))
+    edges = [float("-inf"), *sorted({float(s) for s in splits}), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_at", outputCol="_piece")      # binary search per row
+    return cut.transform(df.withColumn("_at", F.col(col).cast("double"))).withColumn(
+        out, F.col("_piece").cast("int")).drop("_at", "_piece")
 
 
 # --- running totals --------------------------------------------------------
 
 
 def running(df: DataFrame, by: Sequence[str], order: str,
-            outputs: Mapping[str, tuple], splits: Sequence = ()) -> DataFrame:
+            outputs: Mapping[str, tuple], splits: Sequence = (), keep_chunk: bool = False) -> DataFrame:
     """Running sums and products along ``order`` (unique within ``by``).
 
     ``outputs`` maps a new column to ``(kind, column)``; kinds are ``sum``,
     ``product``, ``sum_before`` / ``product_before`` (strictly earlier rows),
     ``sum_from`` (this row and all later ones) and ``sum_after`` (later rows only).
+
+    ``keep_chunk`` leaves the chunk column in; a later scan of the result uses it
+    and finds the rows already partitioned.
     """
     if not splits:
         return _scan_all(df, by, order, outputs)
 
     keys = [*by, "_chunk"]
-    chunked = df.withColumn("_chunk", split_chunk(order, splits))
+    chunked = df if "_chunk" in df.columns else split_chunk(df, order, splits)
     local = _scan_all(chunked, keys, order, outputs)
     totals = chunked.groupBy(*keys).agg(*[
         (F.product(F.col(col)) if kind.startswith("product") else F.sum(col)).alias(f"_t_{out}")
@@ -83,7 +120,8 @@ def running(df: DataFrame, by: Sequence[str], order: str,
         out: (F.col(out) * F.col(f"_c_{out}") if kind.startswith("product")
               else F.col(out) + F.col(f"_c_{out}"))
         for out, (kind, _) in outputs.items()})
-    return done.select(*df.columns, *outputs)
+    done = done.select(*chunked.columns, *outputs)
+    return done if keep_chunk else done.drop("_chunk")
 
 
 def _scan_all(df, by, order, outputs):
@@ -121,61 +159,65 @@ def _frame(kind: str, by: Sequence[str], order: str):
 def next_value(df: DataFrame, id: str, order: Sequence[str], outputs: Mapping[str, str],
                chunk: Column | None = None) -> DataFrame:
     """Values of the following row per ``id``: ``{new column: source column}``."""
-    return _shift(df, id, order, outputs, chunk, forward=True)
+    return adjacent_values(df, id, order, after=outputs, chunk=chunk)
 
 
 def previous_value(df: DataFrame, id: str, order: Sequence[str], outputs: Mapping[str, str],
                    chunk: Column | None = None) -> DataFrame:
     """Values of the preceding row per ``id``."""
-    return _shift(df, id, order, outputs, chunk, forward=False)
+    return adjacent_values(df, id, order, before=outputs, chunk=chunk)
 
 
-def _shift(df, id, order, outputs, chunk, forward):
-    step = F.lead if forward else F.lag
-    if chunk is None:
-        w = Window.partitionBy(id).orderBy(*order)
-        return df.withColumns({out: step(col).over(w) for out, col in outputs.items()})
+def adjacent_values(df: DataFrame, id: str, order: Sequence[str], before: Mapping[str, str] = {},
+                    after: Mapping[str, str] = {}, chunk: Column | None = None) -> DataFrame:
+    """Values of the preceding and of the following row per ``id``, in one scan."""
+    def moved(w):
+        return {**{out: F.lag(c).over(w) for out, c in before.items()},
+                **{out: F.lead(c).over(w) for out, c in after.items()}}
+
+    chunked = None if chunk is None else chunk_hot_keys(df, id, chunk)
+    if chunked is None:
+        return df.withColumns(moved(Window.partitionBy(id).orderBy(*order)))
 
-    chunked = df.withColumn("_chunk", chunk)
     w = Window.partitionBy(id, "_chunk").orderBy(*order)
-    edge = F.lead(F.lit(1)).over(w) if forward else F.lag(F.lit(1)).over(w)
-    local = chunked.withColumns(
-        {**{out: step(col).over(w) for out, col in outputs.items()}, "_edge": edge.isNull()})
-    key = F.struct(*order)
-    pack = F.struct(*[F.col(col).alias(out) for out, col in outputs.items()])
-    ends = chunked.groupBy(id, "_chunk").agg(
-        (F.min_by(pack, key) if forward else F.max_by(pack, key)).alias("_end"))
-    over_chunks = Window.partitionBy(id).orderBy("_chunk")
-    ends = ends.withColumn("_carry", step("_end").over(over_chunks))
-    done = _per_chunk(local, ends, id, ["_carry"])
+    local = chunked.withColumns({
+        **moved(w), "_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()})
+
+    def pack(outputs):
+        return F.struct(F.lit(1).alias("_one"), *[F.col(c).alias(out) for out, c in outputs.items()])
+
+    key, along = F.struct(*order), Window.partitionBy(id).orderBy("_chunk")
+    ends = chunked.where(F.col("_chunk").isNotNull()).groupBy(id, "_chunk").agg(
+        F.max_by(pack(before), key).alias("_tail"), F.min_by(pack(after), key).alias("_head"))
+    ends = ends.select(id, "_chunk", F.lag("_tail").over(along).alias("_before"),
+                       F.lead("_head").over(along).alias("_after"))
+    # keys without chunks find nothing here and keep their own values
+    done = local.join(ends, [id, "_chunk"], "left")
     return done.withColumns({
-        out: F.when(F.col("_edge"), F.col(f"_carry.{out}")).otherwise(F.col(out))
-        for out in outputs}).select(*df.columns, *outputs)
-
-
-def _per_chunk(rows, ends, id, cols):
-    """Attach a chunk's carried state to its rows; null keys are keys like any other."""
-    side = ends.select(F.col(id).alias("_id_c"), F.col("_chunk").alias("_chunk_c"), *cols)
-    return rows.join(side, rows[id].eqNullSafe(side["_id_c"]) & rows["_chunk"].eqNullSafe(side["_chunk_c"]))
+        **{o: F.when(F.col("_first"), F.col(f"_before.{o}")).otherwise(F.col(o)) for o in before},
+        **{o: F.when(F.col("_last"), F.col(f"_after.{o}")).otherwise(F.col(o)) for o in after},
+    }).select(*df.columns, *before, *after)
 
 
 def carry_forward(df: DataFrame, id: str, order: Sequence[str], cols: Sequence[str],
                   chunk: Column | None = None) -> DataFrame:
     """Last non-null value so far per ``id``, for each of ``cols``."""
-    if chunk is None:
-        w = Window.partitionBy(id).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    def carried(w):
+        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return {c: F.last(c, ignorenulls=True).over(w) for c in cols}
+
+    chunked = None if chunk is None else chunk_hot_keys(df, id, chunk)
+    if chunked is None:
+        return df.withColumns(carried(Window.partitionBy(id)))
 
-    chunked = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(id, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = chunked.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    local = chunked.withColumns(carried(Window.partitionBy(id, "_chunk")))
     key = F.struct(*order)
-    ends = chunked.groupBy(id, "_chunk").agg(
+    ends = chunked.where(F.col("_chunk").isNotNull()).groupBy(id, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_end_{c}") for c in cols])
-    before = Window.partitionBy(id).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumns({
-        f"_end_{c}": F.last(f"_end_{c}", ignorenulls=True).over(before) for c in cols})
-    done = _per_chunk(local, ends, id, [f"_end_{c}" for c in cols])
+    earlier = Window.partitionBy(id).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(id, "_chunk", *[
+        F.last(f"_end_{c}", ignorenulls=True).over(earlier).alias(f"_end_{c}") for c in cols])
+    done = local.join(ends, [id, "_chunk"], "left")
     return done.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_end_{c}")) for c in cols}).select(*df.columns)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import brute
 from survlake import cox_fit, finegray_expand, finegray_fit, kaplan_meier, nelson_aalen, survival_response
-from survlake.operators import cox as cox_module
+from survlake.operators import scan as scan_module
 
 
 def _data(n=160, seed=3, horizon=30):
@@ -80,7 +80,7 @@ def test_splitting_intervals_changes_nothing(sdf):
 
 def test_chunked_time_axis_and_shuffle_join_give_the_same_fit(sdf, monkeypatch):
     plain = cox_fit(sdf, "t1", F.col("ev") == 1, X, start="t0", cluster="id")
-    monkeypatch.setattr(cox_module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(scan_module, "BROADCAST_BYTES", 0)
     chunked = cox_fit(sdf.repartition(7), "t1", F.col("ev") == 1, X, start="t0", cluster="id", splits=[5, 11, 20])
     np.testing.assert_allclose(plain.coef, chunked.coef, atol=1e-9)
     np.testing.assert_allclose(plain.robust_var, chunked.robust_var, atol=1e-9)

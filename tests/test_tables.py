@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import survlake as sv
+from survlake.operators import scan
 from survlake.operators.scan import carry_forward, day_chunk, next_value, previous_value, running, time_splits
 
 D = dt.date
@@ -169,7 +170,8 @@ def _visits(spark):
 
 
 @pytest.mark.parametrize("chunk", [None, "year"])
-def test_locf_and_sentinels(spark, chunk):
+def test_locf_and_sentinels(spark, chunk, monkeypatch):
+    monkeypatch.setattr(scan, "ROWS_PER_KEY", 2)
     key = None if chunk is None else day_chunk("d", 90)
     df = _visits(spark)
     got = rows(sv.locf(df, "id", ["d"], ["m", "hr"], {"hr": [-99]}, chunk=key).where("id is not null"), "id", "d", "m", "hr")
@@ -181,8 +183,11 @@ def test_locf_and_sentinels(spark, chunk):
     assert sv.locf(df, "id", ["d"], ["m"], chunk=key).where("id is null").agg(F.sum("m")).first()[0] == 8.0
 
 
-def test_chunked_scans_equal_plain_windows(spark):
-    # one subject holds most rows
+@pytest.mark.parametrize("limit, hint", [(100, 2 ** 20), (0, 2 ** 20), (100, 0)])
+def test_chunked_scans_equal_plain_windows(spark, monkeypatch, limit, hint):
+    # one subject holds most rows; limit 0 makes every subject "hot", hint 0 forbids the broadcast
+    monkeypatch.setattr(scan, "ROWS_PER_KEY", limit)
+    monkeypatch.setattr(scan, "BROADCAST_BYTES", hint)
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 != 0, 0).otherwise(F.col("id") % 11).cast("int").alias("who"),
         F.col("id").alias("k"), F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") * 7 % 1501).cast("int")).alias("d"),

@@ -2,8 +2,8 @@
 
 Everything is spelled out in one statement: risk-set sums by window, the
 information matrix at 0 and its inverse by elimination, Newton steps with that
-fixed inverse as a recursive query, then the information and, if wanted, the
-score residuals at the solution.
+fixed inverse as a recursive query, the same again from where they end, then the
+information and, if wanted, the score residuals at the solution.
 
 ``rows`` must yield ``(st, a, b, d, id, rival, x1 … xp)``: stratum, start, stop,
 event, cluster, competing event, terms; complete cases only. With ``tail`` a CTE
@@ -12,7 +12,7 @@ event, cluster, competing event, terms; complete cases only. With ``tail`` a CTE
 
 from __future__ import annotations
 
-STEPS = 25
+STEPS = 12        # per inverse; the second half starts next to the solution
 Z_95 = "1.959963984540054"
 
 G_CTE = """
@@ -82,6 +82,15 @@ def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust:
   FROM {name}_gj WHERE k <= {p}),
 {name} AS MATERIALIZED (SELECT list_transform(m, lambda row: row[{p + 1}:]) AS v FROM {name}_gj WHERE k = {p + 1})"""
 
+    def chord(name, source, inv):
+        """Newton steps from ``source`` with a fixed inverse."""
+        moves = ", ".join(f"b{j} + list_dot_product({inv}.v[{j}], [{', '.join(f'u{i}' for i in js)}])" for j in js)
+        at = untied(collapse(f"(SELECT * FROM {name} WHERE k < {STEPS})", False))
+        return f"""{name}(k, {bs}) AS (
+  SELECT * FROM {source}
+  UNION ALL
+  SELECT k + 1, {moves} FROM (SELECT k, {bs}, {', '.join(score)} FROM ({at}) GROUP BY k, {bs}), {inv})"""
+
     means = ", ".join(f"avg(x{j}) AS m{j}" for j in js)
     centred = ", ".join(f"x{j} - m{j} AS x{j}" for j in js)
     late = "coalesce(CASE WHEN rival THEN 1 / g.g_before END, 0.0)" if tail else "0.0::DOUBLE"
@@ -93,12 +102,11 @@ def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust:
         f"ent AS MATERIALIZED (SELECT st, b AS t, 1 AS sg, d, tl, {x} FROM zz UNION ALL SELECT st, a, -1, 0, 0.0, {x} FROM zz)",
         f"zero AS (SELECT 0 AS k, {', '.join(f'0.0::DOUBLE AS b{j}' for j in js)})",
         hessian("h0", "zero"), inverse("v0", "h0"),
-        f"""it(k, {bs}) AS (
-  SELECT * FROM zero
-  UNION ALL
-  SELECT k + 1, {', '.join(f'b{j} + list_dot_product(v0.v[{j}], [{", ".join(f"u{i}" for i in js)}])' for j in js)}
-  FROM (SELECT k, {bs}, {', '.join(score)} FROM ({untied(collapse(f'(SELECT * FROM it WHERE k < {STEPS})', False))}) GROUP BY k, {bs}), v0)""",
-        f"fin AS MATERIALIZED (SELECT 0 AS k, {bs} FROM it WHERE k = {STEPS})",
+        chord("it", "zero", "v0"),
+        f"mid AS MATERIALIZED (SELECT 0 AS k, {bs} FROM it WHERE k = {STEPS})",
+        hessian("hm", "mid"), inverse("vm", "hm"),
+        chord("it2", "mid", "vm"),
+        f"fin AS MATERIALIZED (SELECT 0 AS k, {bs} FROM it2 WHERE k = {STEPS})",
         hessian("h1", "fin"), inverse("v1", "h1"),
     ]
     rse = "NULL::DOUBLE"

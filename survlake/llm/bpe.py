@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from survlake.llm.tables import ship
+
 # White space as the tokenizer file's pattern engine has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -197,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     ``path`` is read by each worker: a file that every executor has.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from survlake.llm.tables import ship
+
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n((?:(?!<\|im_(?:start|end)\|>).)*)<\|im_end\|>\n", re.S)
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -115,6 +117,7 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iter
 def _ordered(rows: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
+    ship(rows.sparkSession)
     cols = rows.select("conv_id", role.alias("role"), text.alias("text"), "turn")
     return cols.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from survlake.llm.tables import ship
+
 WINDOW, WIDTHS = 128, (2, 3, 4)
 
 
@@ -146,6 +148,7 @@ def fit(docs: DataFrame, docs_per_lang: int = 800, windows_per_doc: int = 3, ste
 
 def identify(docs: DataFrame, network: Network | None, key: str = "doc_id") -> DataFrame:
     """key, held_out, lang_pred, score of every whole text."""
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     rows = docs.select(key, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from survlake.llm import bpe, chat, decontam, language
+from survlake.llm import bpe, chat, decontam, language, quality
 from survlake.llm.tables import read
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
@@ -38,6 +38,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -78,6 +82,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op8_bpe": op8_bpe,
     "op10_language": op10_language,

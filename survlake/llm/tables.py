@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    gc.collect()  # what the finished job shuffled is no longer needed: let Spark's cleaner see that now
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

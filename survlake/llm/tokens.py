@@ -38,7 +38,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["p"], _tables["q"]
 
 
-def text_blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 50_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for runs of rows of about ``max_bytes``; a longer text stands alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -54,6 +54,7 @@ def text_blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[in
     row = 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offs, offs[row] + max_bytes, "right")) - 1)
+        end = min(end, row + max_rows)
         yield row, end, data[offs[row]:offs[end]], offs[row:end + 1] - offs[row]
         row = end
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from survlake.llm import bpe, chat, decontam, jaccard, language, quality, suffixes
+from survlake.llm import bpe, brown, chat, decontam, jaccard, language, quality, suffixes
 from survlake.llm.tables import read
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
@@ -42,6 +42,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -91,6 +95,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
+    "op3_brown": op3_brown,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
     "op7_jaccard": op7_jaccard,

@@ -60,10 +60,10 @@ def text_blocks(column: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 50_0
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text, first byte of each word)."""
+    """(hash of each word, number of words of each text, last two bytes of each word as a number)."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.uint16)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     low = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
     inner = offsets[:-1][offsets[:-1] < n]
@@ -80,4 +80,5 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
     h = (sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     counts = np.diff(np.searchsorted(start, offsets))
-    return mix(h), counts, start
+    tail = np.where(end - start > 1, low[end - 2], 0).astype(np.uint16) << np.uint16(8) | low[end - 1]
+    return mix(h), counts, tail

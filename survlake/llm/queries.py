@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from survlake.llm import bpe, brown, chat, decontam, jaccard, language, quality, suffixes
+from survlake.llm import bpe, brown, chat, decontam, iblt, jaccard, language, quality, suffixes
 from survlake.llm.tables import read
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
@@ -84,6 +84,10 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op3_brown": op3_brown,
     "op4_decontaminate": op4_decontaminate,
     "op5_suffixes": op5_suffixes,
+    "op6_iblt": op6_iblt,
     "op7_jaccard": op7_jaccard,
     "op8_bpe": op8_bpe,
     "op10_language": op10_language,

@@ -146,12 +146,20 @@ def fit(docs: DataFrame, docs_per_lang: int = 800, windows_per_doc: int = 3, ste
     return train(np.concatenate([cut(part)[:1] for _, part in pairs]), np.array([k for k, _ in pairs]), langs, steps)
 
 
-def identify(docs: DataFrame, network: Network | None, key: str = "doc_id") -> DataFrame:
-    """key, held_out, lang_pred, score of every whole text."""
+def accepted(docs: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, that are in a known language with at least that score."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    judged = identify(rows, network, extra="_row")
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+
+
+def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", extra: str | None = None) -> DataFrame:
+    """key, held_out, lang_pred, score of every whole text, and the column ``extra``."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    rows = docs.select(key, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
+    rows = docs.select(key, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text",
+                       *[extra] * bool(extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +178,8 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id") -> D
                 for (i, _), m in zip(part, mean):
                     k = int(m.argmax())
                     lang[i], score[i] = network.langs[k], min(1.0, float(m[k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[key, "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                                              *b.columns[4:]], names=[key, "held_out", "lang_pred", "score", *[extra] * bool(extra)])
 
-    return rows.mapInArrow(run, f"{key} {kind}, held_out boolean, lang_pred string, score double")
+    more = f", {extra} {docs.schema[extra].dataType.simpleString()}" if extra else ""
+    return rows.mapInArrow(run, f"{key} {kind}, held_out boolean, lang_pred string, score double{more}")

@@ -46,7 +46,7 @@ from survlake.llm.tokens import text_blocks
 
 SPAN, GRAM = 50, 24
 REACH = SPAN - GRAM  # largest offset of an anchor in its window
-PIECE = 1 << 20
+PIECE = 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -100,21 +100,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, bytes, offsets, byte of the text where the piece begins); long texts in overlapping pieces."""
+    """(first row, bytes, offsets, where the piece begins in all texts together); long texts in overlapping pieces."""
+    base = 0
     for lo, hi, data, offs in text_blocks(column, PIECE):
         if len(data) <= 2 * PIECE or hi - lo > 1:
-            yield lo, data, offs, 0
+            yield lo, data, offs, base
         else:
             for at in range(0, len(data) - SPAN + 1, PIECE):
                 part = data[at:at + PIECE + SPAN - 1]
-                yield lo, part, np.array([0, len(part)]), at
+                yield lo, part, np.array([0, len(part)]), base + at
+        base += len(data)
 
 
 def _matrix(data: np.ndarray, at: np.ndarray, length: np.ndarray, width: int, back: bool = False) -> np.ndarray:
     """Rows of ``width`` bytes from each position on (or backwards from the one before), zero after ``length``."""
-    j = np.arange(width)
-    where = (at[:, None] - 1 - j) if back else (at[:, None] + j)
-    return np.where(j < length[:, None], data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
+    j = np.arange(width, dtype=np.int32)
+    out = np.empty((len(at), width), np.uint8)
+    for lo in range(0, len(at), 20_000):
+        a = at[lo:lo + 20_000, None].astype(np.int32)
+        where = (a - 1 - j) if back else (a + j)
+        out[lo:lo + 20_000] = np.where(j < length[lo:lo + 20_000, None], data[np.clip(where, 0, len(data) - 1)], 0)
+    return out
 
 
 def _numbers(rows: np.ndarray) -> np.ndarray:
@@ -139,9 +145,9 @@ class Chunk:
     def __init__(self, column: pa.Array, buckets: int):
         self.parts = []
         hashes = []
-        for row, data, offs, shift in _pieces(column):
+        for row, data, offs, base in _pieces(column):
             a, lo, hi, owner, h = anchors(data, offs)
-            self.parts.append((row, data, offs, shift, a, lo, hi, owner))
+            self.parts.append((row, data, base, a, lo, hi, owner))
             hashes.append(h)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         code = (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
@@ -149,9 +155,9 @@ class Chunk:
 
     def run(self, state: np.ndarray, ids: np.ndarray) -> None:
         """Entries of the anchors with state 1 (one for the anchor) and 2 (one for each window), sorted, equal ones once."""
-        right, left, rl, ll, doc, hot, where = [], [], [], [], [], [], []
+        right, left, rl, ll, doc, hot, where, decided = [], [], [], [], [], [], [], []
         at = 0
-        for p, (row, data, _, _, a, lo, hi, owner) in enumerate(self.parts):
+        for row, data, base, a, lo, hi, owner in self.parts:
             s = state[at:at + len(a)]
             at += len(a)
             for kind in (1, 2):
@@ -164,6 +170,17 @@ class Chunk:
                     n = hi[e] - lo[e] + 1
                     e = np.repeat(e, n)
                     pos = lo[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+                    # of equal windows in a piece the smallest document's stays; the others are decided
+                    own = ids[row + owner[e]]
+                    cols = _numbers(_matrix(data, pos, np.full(len(pos), SPAN), SPAN)).T
+                    by = np.lexsort([own, *cols[::-1]])
+                    new = np.ones(len(by), bool)
+                    new[1:] = np.logical_or.reduce([c[by][1:] != c[by][:-1] for c in cols])
+                    least = own[by][new][np.cumsum(new) - 1]
+                    over = by[own[by] > least]
+                    decided.append(np.stack([base + pos[over], np.zeros_like(over), np.zeros_like(over)]))
+                    stay = by[own[by] == least]
+                    e, pos = e[stay], pos[stay]
                     first = end = pos
                 r, l = end + SPAN - pos, pos - first
                 right.append(_matrix(data, pos, r, SPAN))
@@ -172,9 +189,9 @@ class Chunk:
                 ll.append(l)
                 doc.append(ids[row + owner[e]])
                 hot.append(np.full(len(e), kind == 2))
-                where.append(np.stack([np.full(len(e), p), pos, first, end]))
+                where.append(np.stack([base + pos, l, end - first]))
+        self.where, self.place, self.entries = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), 0
         if not right:
-            self.entries = 0
             return
         right, left = np.concatenate(right), np.concatenate(left)
         rl, ll, doc, hot = (np.concatenate(x) for x in (rl, ll, doc, hot))
@@ -188,8 +205,12 @@ class Chunk:
             same[1:] &= c[1:] == c[:-1]
         group = np.cumsum(~same) - 1
         head = by[~same]
-        self.group, self.order = group, by  # of the sorted entries
-        self.doc, self.least = doc[by], doc[head][group]
+        # per entry: its place in the run, or -1 where a smaller document of this chunk has all of it
+        self.place = np.empty(len(by), np.int64)
+        self.place[by] = np.where(doc[by] > doc[head][group], -1, group)
+        if decided:
+            self.where = np.concatenate([self.where, *decided], axis=1)
+            self.place = np.append(self.place, np.full(self.where.shape[1] - len(by), -1))
         self.right, self.left, self.rl, self.ll, self.heads, self.hot = right[head], left[head], rl[head], ll[head], doc[head], hot[head]
         self.entries = len(head)
 
@@ -343,6 +364,15 @@ def verdicts(blocks: list[bytes]) -> list[np.ndarray]:
     return [out[b:b + n] for b, n in zip(base, size)]
 
 
+def _encoded(texts: pa.Array) -> Iterator[bytes]:
+    return ((x.as_py() or "").encode("utf-8", "surrogatepass") for x in texts)
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """Rows of a chunk in the same order whenever it is read: a shuffle hands them over in any."""
+    return table.take(np.lexsort((table["_tie"].to_numpy(), table["_rank"].to_numpy())))
+
+
 def _count(table: pa.Table) -> pa.Table:
     """How often the grams of a bucket occur in all chunks (up to 65,535), back to each chunk."""
     low = [np.frombuffer(x, np.uint32) for x in table["low"].to_pylist()]
@@ -386,7 +416,7 @@ def _sample(docs: DataFrame, rows: int, wanted: int) -> np.ndarray:
     return np.array(got, f"S{SPAN}")
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool = False, chunk_bytes: int = 8 << 20,
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool = False, chunk_bytes: int = 4 << 20,
                    hot: int = 2048, most_ranges: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also the spans and the kept text.
 
@@ -402,7 +432,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool
     cuts = np.unique(sample[np.arange(1, n_ranges) * len(sample) // n_ranges]) if len(sample) else sample
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_chunks)).cast("int")
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
-    dealt = docs.select(chunk.alias("_chunk"), rank.alias("_rank"), "doc_id", F.col("text").alias("_text"),
+    dealt = docs.select(chunk.alias("_chunk"), rank.alias("_rank"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tie"), "doc_id", F.col("text").alias("_text"),
                         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]).repartition("_chunk")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -427,75 +457,66 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool
         if not left.num_rows:
             return pa.table({"chunk": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
         me = left["_chunk"][0].as_py()
+        left = _in_order(left)
         c = Chunk(left["_text"], n_chunks)
         back = right["freq"].to_pylist()
         freq = np.frombuffer(b"".join([back[i] for i in np.argsort(right["bucket"].to_numpy(), kind="stable")]), np.uint16)[c.which]
         state = (freq > 1).astype(np.uint8) + (freq >= hot)
-        out = [(me, -1 - me, state.tobytes())]
         c.run(state, left["_rank"].to_numpy())
+        out = []
+        slot = c.place
         if c.entries:
             part, by = c.ranges(cuts, slices)
             p = part[by]
+            turn = np.empty(c.entries, np.int64)
+            turn[by] = np.arange(c.entries)
+            slot = np.where(slot < 0, -1, turn[slot])
             edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]]))
             for lo, hi in zip(edge[:-1], edge[1:]):
                 e = by[lo:hi]
                 out.append((me, int(p[lo]), pack(c.right[e], c.left[e], c.rl[e], c.ll[e], c.heads[e])))
+        # what the chunk has to know when the verdicts come back
+        raw = (c.where[0].astype(np.int64).tobytes() + c.where[1].astype(np.uint8).tobytes()
+               + c.where[2].astype(np.uint8).tobytes() + slot.astype(np.int32).tobytes())
+        out.append((me, -1 - me, len(slot).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)))
         cols = list(zip(*out))
         return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=names)
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        c = Chunk(left["_text"], n_chunks)
-        part, block = right["part"].to_numpy(), right["block"].to_pylist()
-        own = {int(p): b for p, b in zip(part, block)}
-        state = np.frombuffer(own[-1 - left["_chunk"][0].as_py()], np.uint8)
-        c.run(state, left["_rank"].to_numpy())
-        gone: dict[int, np.ndarray] = {}
-        if c.entries:
-            p, by = c.ranges(cuts, slices)
-            bits = np.empty(c.entries, np.uint32)
-            bits[by] = np.frombuffer(b"".join(own[int(x)] for x in np.unique(p)), np.uint32)
-            mine = np.where(c.doc > c.least, np.uint32(0xFFFFFFFF), bits[c.group])
-            piece, pos, first, end = c.where[:, c.order]
-            for o in range(REACH + 1):
-                at = pos - o
-                hit = ((mine >> np.uint32(o)) & np.uint32(1)).astype(bool) & (at >= first) & (at <= end)
-                for q in np.unique(piece[hit]):
-                    gone.setdefault(int(q), np.zeros(len(c.parts[q][1]), bool))[at[hit & (piece == q)]] = True
-        n_rows = left.num_rows
+        left = _in_order(left)
+        me = left["_chunk"][0].as_py()
+        blocks = dict(zip(right["part"].to_pylist(), right["block"].to_pylist()))
+        own = blocks.pop(-1 - me)
+        n = int.from_bytes(own[:4], "little")
+        raw = pa.decompress(own[4:], 14 * n, "zstd", asbytes=True)
+        pos = np.frombuffer(raw, np.int64, n)
+        before, more = (np.frombuffer(raw, np.uint8, n, (8 + i) * n).astype(np.int64) for i in range(2))
+        slot = np.frombuffer(raw, np.int32, n, 10 * n)
+        bits = np.frombuffer(b"".join([blocks[k] for k in sorted(blocks)]) + b"\xff\xff\xff\xff", np.uint32)
+        mine = bits[slot]  # the last one, all bits, for what was decided at once
         texts = left["_text"].combine_chunks() if isinstance(left["_text"], pa.ChunkedArray) else left["_text"]
-        cover: dict[int, list] = {}
-        for q, starts in gone.items():
-            row, data, offs, shift = c.parts[q][:4]
-            s = np.concatenate([[0], np.cumsum(starts)])
-            i = np.arange(len(data))
-            covered = s[i + 1] > s[np.maximum(i + 1 - SPAN, 0)]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-            for lo, hi in zip(edge[0::2], edge[1::2]):
-                # neighbouring texts may be covered up to their borders
-                d = int(np.searchsorted(offs, lo, "right")) - 1
-                while lo < hi:
-                    stop = min(int(hi), int(offs[d + 1]))
-                    if stop > lo:
-                        cover.setdefault(row + d, []).append([shift + int(lo - offs[d]), shift + int(stop - offs[d])])
-                    lo, d = max(int(lo), stop), d + 1
+        length = np.array([len(d) for d in _encoded(texts)], np.int64)
+        offs = np.concatenate([[0], np.cumsum(length)])
+        gone = np.zeros(int(offs[-1]) + SPAN, bool)
+        for o in range(REACH + 1):
+            hit = ((mine >> np.uint32(o)) & np.uint32(1)).astype(bool) & (o <= before) & (o >= before - more)
+            gone[pos[hit] - o] = True
+        s = np.concatenate([np.zeros(SPAN, np.int32), np.cumsum(gone, dtype=np.int32)])
+        covered = s[SPAN:] > s[:-SPAN]
+        total = np.concatenate([[0], np.cumsum(covered, dtype=np.int64)])
+        removed = total[offs[1:]] - total[offs[:-1]]
         out = []
-        for r in range(n_rows):
-            data = (texts[r].as_py() or "").encode("utf-8", "surrogatepass")
-            spans: list[list[int]] = []
-            for lo, hi in sorted(cover.get(r, ())):  # pieces of one text overlap
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
-            at, kept = 0, []
-            for lo, hi in spans:
-                kept.append(data[at:lo])
-                at = hi
-            kept = b"".join([*kept, data[at:]])
-            out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                        [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore")))
+        for r, data in enumerate(_encoded(texts)):
+            kept, spans = data, []
+            if removed[r]:
+                c = covered[offs[r]:offs[r + 1]]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], c.view(np.int8), [0]])))
+                spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[0::2], edge[1::2])]
+                kept = np.frombuffer(data, np.uint8)[~c].tobytes()
+            row = (len(data), int(removed[r]), len(spans), hashlib.sha256(kept).hexdigest())
+            out.append(row + (spans, kept.decode("utf-8", "ignore")) if with_text else row)
         cols = [list(x) for x in zip(*out)]
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_text
         made = {n: pa.array(v, arrow.field(n).type) for n, v in zip(names, cols)}

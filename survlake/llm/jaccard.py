@@ -16,9 +16,10 @@ common passage gives to many documents are the first to be left out.
 Steps, all on Spark: documents are dealt into chunks; each chunk sends its signatures
 (packed) to be counted and gets their frequencies back; signatures that are given and not
 unique go to buckets, where sets that share one form a group. No group is expanded into
-pairs: first each set is verified against the smallest set of the group that it shares
-most signatures with; then, between the components this leaves, the pairs of a group
-that are still in different components. Verified links are closed into components.
+pairs: first each set is verified against the hub (the most connected member of a group)
+that it shares most signatures with; then, between the components this leaves, those pairs
+of the groups with one hub that sizes and parity sketches (whose distance never exceeds that of the sets)
+do not rule out: the closest pair of any two components, and after that all. Verified links are closed into components.
 Equal sets are one node all along. Links between sets of one component are not all
 listed; no link between different components is left out.
 
@@ -251,7 +252,7 @@ def _groups(table: pa.Table) -> pa.Table:
     g = some[one]
     n = many[g]
     at = np.repeat(head[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return pa.table({"gid": np.repeat(gid, n), "first": fp[np.repeat(head[g], n)], "fp": fp[at], "n": size[at].astype(np.int64),
+    return pa.table({"gid": np.repeat(gid, n), "fp": fp[at], "n": size[at].astype(np.int64),
                      "weight": np.repeat(times, n).astype(np.int64)})
 
 
@@ -284,29 +285,140 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_linked(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20) -> DataFrame:
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles at each of a power of two of bits, at least twice as many as shingles.
+
+    Two sketches differ in no more bits than their sets differ in elements.
+    """
+    bits = 256
+    while bits < 2 * len(shingles):
+        bits *= 2
+    at = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(_wide(x)) for x in b.column(1).to_pylist()], pa.binary())],
+                                         names=["fp", "sketch"])
+
+
+def _near(fp: np.ndarray, n: np.ndarray, label: np.ndarray, sketches: list[bytes], side: np.ndarray, percent: int,
+          closest: bool) -> list[np.ndarray]:
+    """Pairs of a group in different components that sizes and sketches don't rule out; across sides where there are two.
+
+    ``closest``: only the pair with the closest sketches for each two components.
+    """
+    words_ = np.array([len(x) // 8 for x in sketches])
+    by = np.argsort(-words_, kind="stable")
+    fp, n, label, side, words_ = fp[by], n[by], label[by], side[by], words_[by]
+    # at each width the sketches of that width and, folded, the wider ones, which stand before them
+    folded = {}
+    for w in np.unique(words_).tolist():
+        upto = int((words_ >= w).sum())
+        folded[w] = (int((words_ > w).sum()), upto, np.stack([
+            np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, w), axis=0) for i in by[:upto]]))
+    two = side.min() != side.max()
+    out = []
+    for i in range(len(fp) - 1):
+        for lo, hi, rows in folded.values():
+            lo = max(lo, i + 1)
+            if lo >= hi:
+                continue
+            rest = slice(lo, hi)
+            small, large = np.minimum(n[i], n[rest]), np.maximum(n[i], n[rest])
+            ok = (label[rest] != label[i]) & (small * 100 >= large * percent)
+            if two:
+                ok &= side[rest] != side[i]
+            j = np.flatnonzero(ok) + lo
+            if not len(j):
+                continue
+            differ = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            j = j[ok]
+            out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), np.minimum(label[i], label[j]),
+                                 np.maximum(label[i], label[j]), differ[ok] * 1000 // (n[i] + n[j])]))
+    if not out:
+        return out
+    pairs = np.concatenate(out, axis=1)
+    if closest and pairs.shape[1]:
+        pairs = pairs[:, np.lexsort(pairs[[1, 0, 4, 3, 2]])]
+        pairs = pairs[:, np.concatenate([[True], (pairs[2:4, 1:] != pairs[2:4, :-1]).any(axis=0)])]
+    return [pairs[:2]]
+
+
+def _open_pairs(groups: DataFrame, label: DataFrame, short: DataFrame, percent: int, block: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) still to be verified: in one group, in different components, not ruled out.
+
+    Only they leave the tasks. A group of more than ``block`` sets is compared in pieces of
+    that size, one pair of pieces at a time.
+    """
+    placed = groups.join(label, groups["fp"] == label["node"], "left").select("gid", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    open_ = (placed.groupBy("gid").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("m"))
+             .where("l <> h").select("gid", F.ceil(F.col("m") / block).cast("int").alias("pieces")))
+    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    rows = (placed.join(open_, "gid").join(short, "fp").withColumn("side", piece)
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+            .select("gid", F.least("side", "with").alias("p"), F.greatest("side", "with").alias("q"), "side", "fp", "n", "label", "sketch"))
+    rows = rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> Iterator[np.ndarray]:
+            gid, p, q, side, fp, n, lab = (t[c].to_numpy() for c in ("gid", "p", "q", "side", "fp", "n", "label"))
+            sk = t["sketch"].to_pylist()
+            cut = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]), [True]]))
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if hi - lo > 1 and not (p[lo] != q[lo] and side[lo:hi].min() == side[lo:hi].max()):
+                    yield from _near(fp[lo:hi], n[lo:hi], lab[lo:hi], sk[lo:hi], side[lo:hi], percent, closest)
+
+        def emit(t: pa.Table) -> pa.RecordBatch:
+            found = list(pairs(t))
+            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key = [t[c].to_numpy() for c in ("gid", "p", "q")]
+            same = np.logical_and.reduce([k == k[-1] for k in key])
+            start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if start:
+                yield emit(t.slice(0, start))
+            held = t.slice(start)
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, block: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     ship(docs.sparkSession)
     table = candidate_tables(docs, k, percent, chunk_bytes)
     groups = stored(table.where("kind = 1").select("bucket", "blob").groupBy("bucket")
-                    .applyInArrow(_groups, "gid long, first long, fp long, n long, weight long")
-                    .groupBy("gid", "fp").agg(F.min("first").alias("first"), F.min("n").alias("n"), F.sum("weight").alias("weight")))
+                    .applyInArrow(_groups, "gid long, fp long, n long, weight long")
+                    .groupBy("gid", "fp").agg(F.min("n").alias("n"), F.sum("weight").alias("weight")))
     sets = table.where("kind = 2").groupBy("fp").agg(F.first("blob").alias("blob"))
-    best = (groups.where("fp <> first").groupBy("fp", "first").agg(F.sum("weight").alias("w"))
-            .groupBy("fp").agg(F.max_by("first", F.struct("w", "first")).alias("first")))
-    links = stored(_verify(best.select(F.col("first").alias("a"), F.col("fp").alias("b")), sets, percent))
+    # the hub of a group is the member that shares most signatures with others: of near copies, their original
+    degree = groups.groupBy("fp").agg(F.sum("weight").alias("degree"))
+    hub = groups.join(degree, "fp").groupBy("gid").agg(F.max(F.struct("degree", "fp"))["fp"].alias("hub"))
+    groups = stored(groups.join(hub, "gid"))
+    best = stored(groups.where("fp <> hub").groupBy("fp", "hub").agg(F.sum("weight").alias("w"))
+                  .groupBy("fp").agg(F.max_by("hub", F.struct("w", "hub")).alias("hub"))
+                  .select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct())
+    links = stored(_verify(best, sets, percent))
+    # groups with one hub are compared as one: what shares a group shares its hub
+    groups = stored(groups.groupBy(F.col("hub").alias("gid"), "fp").agg(F.min("n").alias("n")))
+    label = components(links)
+    short = stored(sets.mapInArrow(_sketches, "fp long, sketch binary"))
+    # the closest pair of any two components first: most of what belongs together is joined by it
+    tried = stored(_open_pairs(groups, label, short, percent, block, True).join(best, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(_verify(tried, sets, percent)))
     label = components(links)
-    placed = groups.join(label, groups["fp"] == label["node"], "left").select(
-        "gid", "fp", "n", F.coalesce("label", "fp").alias("label"))
-    open_ = placed.groupBy("gid").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("gid")
-    placed = stored(placed.join(open_, "gid"))
-    a, b = placed.alias("a"), placed.alias("b")
-    apart = (F.col("a.fp") < F.col("b.fp")) & (F.col("a.label") != F.col("b.label"))
-    alike = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    pairs = (a.join(b, (F.col("a.gid") == F.col("b.gid")) & apart & alike)
-             .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-             .join(best.select(F.col("first").alias("a"), F.col("fp").alias("b")), ["a", "b"], "left_anti"))
-    more = stored(_verify(pairs, sets, percent))
+    left = (_open_pairs(groups, label, short, percent, block, False)
+            .join(best.unionByName(tried), ["a", "b"], "left_anti"))
+    more = stored(_verify(left, sets, percent))
     if more.limit(1).count():
         label = components(links.unionByName(more))
     rows = table.where("kind = 0").select("doc_id", "n", "fp")

@@ -40,6 +40,11 @@ MAX_STEPS = 30
 CLAMP = 200.0
 
 
+def _exp(x: float) -> float:
+    """e**x, infinite where a separated term makes it too large for a double."""
+    return math.exp(x) if x < 709 else math.inf
+
+
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows in which none of ``cols`` is null."""
     return df.dropna(subset=list(cols))
@@ -78,7 +83,7 @@ class CoxModel:
             b = float(self.coef[i])
             s = float(use[i])
             z = b / s if s > 0 else float("nan")
-            rows.append((term, b, math.exp(b), math.exp(b - z_crit * s), math.exp(b + z_crit * s),
+            rows.append((term, b, _exp(b), _exp(b - z_crit * s), _exp(b + z_crit * s),
                          float(se[i]), None if rse is None else float(rse[i]), z,
                          math.erfc(abs(z) / math.sqrt(2))))
         return rows

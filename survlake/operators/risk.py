@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DateType, IntegerType, ShortType
 
 from .scan import running, tie_sums, time_splits
 
@@ -51,12 +50,10 @@ def relevel_event(df: DataFrame, event: str, censor_level: str, levels: Sequence
 
 
 def resolve_splits(df: DataFrame, col: str, splits) -> list:
-    """``'auto'``: none for day counts and dates, whose distinct values are few
-    by nature; otherwise measured, so a fine-grained axis is cut into chunks."""
+    """``'auto'``: the distinct values of any axis are measured, and a fine-grained
+    one is cut into chunks; a number's type says nothing about how fine it is."""
     if splits != "auto":
         return list(splits or [])
-    if isinstance(df.schema[col].dataType, (ByteType, ShortType, IntegerType, DateType)):
-        return []
     return time_splits(df, col)
 
 

@@ -44,8 +44,10 @@ def hour_chunk(col: str, hours: int = 1) -> Column:
 def chunk_hot_keys(df: DataFrame, id: str, chunk: Column) -> DataFrame | None:
     """``df`` with ``_chunk`` set for the keys that hold too many rows for one task.
 
-    Only those keys pay for chunks; null elsewhere. None when there is no such
-    key, so that a plain window does. One counting pass over the key column.
+    Only those keys pay for chunks; null elsewhere. Rows of such a key whose chunk
+    is null (a null order value) go to a chunk before all others, where a plain
+    window has them too. None when there is no such key, so that a plain window
+    does. One counting pass over the key column.
     """
     hot = (df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_KEY)
            .select(F.col(id).alias("_hot"), F.lit(True).alias("_is_hot"))).persist()
@@ -55,7 +57,7 @@ def chunk_hot_keys(df: DataFrame, id: str, chunk: Column) -> DataFrame | None:
         return None
     side = F.broadcast(hot) if fits_broadcast(n, 2) else hot
     return (df.join(side, df[id] == side["_hot"], "left")
-            .withColumn("_chunk", F.when(F.col("_is_hot"), chunk)).drop("_hot", "_is_hot"))
+            .withColumn("_chunk", F.when(F.col("_is_hot"), F.coalesce(chunk, F.lit(-(1 << 31))))).drop("_hot", "_is_hot"))
 
 
 def fits_broadcast(rows: int, columns: int) -> bool:

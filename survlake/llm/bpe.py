@@ -24,16 +24,18 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from survlake.llm.tables import ship
+from survlake.llm.tables import ship, tidy
 
 # White space as the tokenizer file's pattern engine has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 SUFFIX = "</w>"
+ROWS = 256  # documents whose ids are held at once
 _MARK = "\n"  # stands for the suffix; it is not among the byte letters
 
 
@@ -205,7 +207,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             n, ids_hex, text_hex, all_ids = [], [], [], []
             for value in b.column(1):
                 ids = c.encode(value.as_py() or "")
@@ -213,10 +215,13 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 ids_hex.append(hashlib.sha256(b" ".join([c.decimal[i] for i in ids])).hexdigest())
                 text_hex.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(pa.array(ids, pa.int32()))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *n]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(all_ids)))
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids,
+                cols,
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(tidy(run), schema)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,24 @@ def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
+def give_back() -> None:
+    """Returns the memory this process no longer uses: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(kernel):
+    """``kernel`` (batches to batches) that gives memory back before it begins and when it ends."""
+    def run(batches):
+        give_back()
+        yield from kernel(batches)
+        give_back()
+    return run
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once per application: kernels are imported there, so they keep what they cache."""
     sc = spark.sparkContext

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survlake.llm.tables import ship
+from survlake.llm.tables import ship, tidy
 
 WINDOW, WIDTHS = 128, (2, 3, 4)
 
@@ -148,18 +148,19 @@ def fit(docs: DataFrame, docs_per_lang: int = 800, windows_per_doc: int = 3, ste
 
 def accepted(docs: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
     """The rows, with all their columns, that are in a known language with at least that score."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    judged = identify(rows, network, extra="_row")
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    others = [c for c in docs.columns if c != "text"]
+    judged = identify(docs.select("doc_id", "text", F.struct(*others).alias("_row")), network, extra=("_row", "text"))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(
+        *["text" if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
-def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", extra: str | None = None) -> DataFrame:
-    """key, held_out, lang_pred, score of every whole text, and the column ``extra``."""
+def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """key, held_out, lang_pred, score of every whole text, and the columns ``extra``."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     rows = docs.select(key, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text",
-                       *[extra] * bool(extra))
+                       *[c for c in extra if c != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +180,8 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", extr
                     k = int(m.argmax())
                     lang[i], score[i] = network.langs[k], min(1.0, float(m[k]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                                              *b.columns[4:]], names=[key, "held_out", "lang_pred", "score", *[extra] * bool(extra)])
+                                              *[b.column(rows_at[c]) for c in extra]], names=[key, "held_out", "lang_pred", "score", *extra])
 
-    more = f", {extra} {docs.schema[extra].dataType.simpleString()}" if extra else ""
-    return rows.mapInArrow(run, f"{key} {kind}, held_out boolean, lang_pred string, score double{more}")
+    rows_at = {c: i for i, c in enumerate(rows.columns)}
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return rows.mapInArrow(tidy(run), f"{key} {kind}, held_out boolean, lang_pred string, score double{more}")

@@ -415,11 +415,10 @@ def to_long(spark, sf_dir):
 @query("long_to_wide", sql_with("wide", more=_LONG_SQL) + """
 SELECT id, visit, round(max(CASE WHEN variable = 'qty' THEN value END), 6) AS qty,
        round(max(CASE WHEN variable = 'net_price' THEN value END), 6) AS net_price
-FROM long WHERE visit IN ('1', '2', '3', '4') GROUP BY id, visit
+FROM long GROUP BY id, visit
 """)
 def to_wide(spark, sf_dir):
     long = wide_to_long(fx.wide(spark, sf_dir), ["id"], _WIDE_COLS)
-    long = long.where(F.col("visit").isin("1", "2", "3", "4"))
     return long_to_wide(long, ["id", "visit"], "variable", "value", ["qty", "net_price"])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import (
@@ -23,7 +21,6 @@ from .registry import query
 PRIORITY_CODES = {"1-URGENT": "P1", "2-HIGH": "P2", "3-MEDIUM": "P3"}
 LINE_VISITS = {1: "IN", 2: "D8", 3: "AD0", 4: "AD8", 5: "FU", 6: "FU"}
 STATUS_LABELS = {"F": "Dead", "P": "Transplant", "O": "Censored"}
-PROTOCOL = {"IN": 1, "D8": 2, "AD0": 3, "AD8": 4, "EOS": 5}
 
 LINEITEM_SCHEMA = (
     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
@@ -66,7 +63,7 @@ SELECT c_custkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal, CAST(c_nationk
 FROM customer
 """)
 def write_read_roundtrip(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{shared}/roundtrip-{spark.sparkContext.applicationId}"
     c = table(spark, sf_dir, "customer").withColumn(
         "c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_name")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,8 +71,14 @@ def tidy(kernel):
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once per application: kernels are imported there, so they keep what they cache."""
+    """Gives the workers this package, once per application: kernels are imported there, so they keep what they cache.
+
+    Where the session sets no bytes for an Arrow batch, batches get 4 MB: Spark's 64 MB
+    of text are held several times over, by each task in the JVM and in its worker.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "4m")
     if sc.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))

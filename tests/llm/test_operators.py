@@ -254,6 +254,34 @@ def test_sketch_difference_is_exact(spark):
         assert (r["d"]["only_a"], r["d"]["only_b"]) == (r["n"], r["m"])
 
 
+def test_likeness_of_long_edited_contained_and_cjk_texts(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["v" + "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    long_ = "\n\n".join(" ".join(rng.choice(vocab, 12)) + ". " + " ".join(rng.choice(vocab, 9)) + "." for _ in range(1500))
+
+    def changed(t, times):
+        t = list(t)
+        for i in rng.choice(len(t), times, replace=False):
+            t[i] = "X"
+        return "".join(t)
+    signs = [chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, 6000)]
+    cjk, bare = "".join(c + ("\u3002" if i % 25 == 24 else "") for i, c in enumerate(signs)), "".join(signs)
+    plain = " ".join(rng.choice(vocab, 8000))
+    pairs = [(long_, changed(long_, 20)), (long_, long_[: len(long_) // 6]), (cjk, "\u4e00" + cjk), (bare, "\u4e00" + bare),
+             (plain, "intro " + plain), (long_, plain), ("", None), ("one. two.", "two. one."), (long_, long_)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    got = (df.withColumn("a", iblt.digests(F.col("x"))).withColumn("b", iblt.digests(F.col("y")))
+           .withColumn("like", iblt._likeness("a", "b")).orderBy("i").collect())
+    for r in got:
+        a, b = set(r["a"]), set(r["b"])
+        assert r["like"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    like = [r["like"] for r in got]
+    assert like[0] > 0.97 and 0.14 < like[1] < 0.19 and min(like[2:5]) > 0.9 and like[5] < 0.01 and like[6] == like[8] == 1.0
+    assert len(got[0]["a"]) > 2500
+    docs = spark.createDataFrame([(2, long_), (1, changed(long_, 20))], "doc_id long, text string")
+    assert min(r["near_next"] for r in iblt.fingerprints(docs).collect()) > 0.97
+
+
 def test_bpe_equals_the_library(spark, corpus, empty):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")

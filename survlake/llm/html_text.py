@@ -10,8 +10,8 @@ The scores come from labelled pages: those that mark their content with ``articl
 them are counted (words by kind, tags by name, inside and outside the mark), with prior
 counts for what they rarely show, so a page without marks is read by what marked pages teach.
 
-Boilerplate elements: by name (menus, headers and footers, asides, forms, scripts, ...) and by a
-word of class, id or role. A page header inside the content mark that holds the title is content.
+Boilerplate elements: by name (menus, headers and footers, asides, forms, scripts, ...) and blocks, but not
+headings, by a word of class or role or a whole id or label; inside the content mark by a whole class or role only. A page header inside the content mark that holds the title is content.
 
 Defined results: null or empty html and pages without content give an empty text; malformed or cut-off
 markup is read as far as it goes (a raw-text element without end takes the rest); an empty table gives
@@ -44,6 +44,7 @@ HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|p
                    r"sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|respond|"
                    r"share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|"
                    r"widget|toolbar|copyright|legal|disclaimer|skip|contentinfo|complementary|alert)(?=$|[\s_-])", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Prior counts of (inside, outside) that stand for about 20 observations.
 PRIOR = {"word": (18, 2), "word in a link": (3, 17), "word in boilerplate": (0, 20), "p": (18, 2), "li": (8, 12), "a": (4, 16)}
 
@@ -51,6 +52,20 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def hinted(name: str, attrs: str, marked: bool) -> bool:
+    """Whether attributes make a block boilerplate: inside a content mark only by a whole class or role, outside also by part of one or a whole id or label."""
+    if name in INLINE | HEADINGS | MARKS | {"body", "html", "p"}:
+        return False
+    for key, *values in _ATTR.findall(attrs):
+        value = "".join(values).strip()
+        if key.lower() in ("class", "role"):
+            if any(HINTS.fullmatch(t) for t in value.split()) or not marked and HINTS.search(value):
+                return True
+        elif not marked and HINTS.fullmatch(value):
+            return True
+    return False
+
+
 def stream(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(tag name or "", text, in a link, in boilerplate, inside a content mark) in page order; names of end tags begin with /."""
     at, stack = 0, []  # open elements: (name, boilerplate)
@@ -91,8 +106,7 @@ def stream(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                 boiler -= bad
                 marks -= top in MARKS
         if name not in VOID:
-            attrs = " ".join(a[1] or a[2] or a[3] for a in _ATTR.findall(m[3] or m[6] or ""))
-            bad = name in BOILER or name == "header" and not marks or bool(attrs and name not in MARKS | {"body", "html", "p"} and HINTS.search(attrs))
+            bad = name in BOILER or name == "header" and not marks or hinted(name, m[3] or m[6] or "", marks > 0)
             stack.append((name, bad))
             links += name == "a"
             marks += name in MARKS

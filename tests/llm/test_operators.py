@@ -318,6 +318,16 @@ def test_html(spark):
     assert html_text.extract(df.limit(0), html_text.fit(df.limit(0))).count() == 0
 
 
+def test_html_keeps_headings_inline_and_slug_sections():
+    score = html_text.weights({})
+    page = ("<body><nav>Home</nav><article><h2 id='related-work'>Related work</h2><p>Some words on what others did.</p>"
+            "<pre><span class='token comment'># a note</span> x = 1</pre><section aria-label='Related work' id='legal-basis'><h3 id='legal-basis'>"
+            "Legal basis</h3><p>The whole section stays in the text.</p></section><div class='share'>Share this</div><p>Last words of the page, which are quite a few more than the others.</p></article>"
+            "<section id='comments'><p>Nice text</p></section></body>")
+    assert html_text.main_text(page, score) == ("Related work\nSome words on what others did.\n# a note x = 1\nLegal basis\n"
+                                                "The whole section stays in the text.\nLast words of the page, which are quite a few more than the others.")
+
+
 def test_language_held_out_accuracy(spark, sf_dir, empty, corpus):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     got = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from survlake.llm.tables import ship
 
 # Names of HTML elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas"}
+RAW = {"script", "style", "iframe", "textarea", "title"}
+NESTED = {"noscript", "template", "svg", "object", "canvas"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-BOILER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "label", "fieldset"} | RAW
+BOILER = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "label", "fieldset"} | RAW | NESTED
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s",
           "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "big", "strike", "acronym", "nobr"}
 MARKS = {"article", "main"}
@@ -48,7 +49,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Prior counts of (inside, outside) that stand for about 20 observations.
 PRIOR = {"word": (18, 2), "word in a link": (3, 17), "word in boilerplate": (0, 20), "p": (18, 2), "li": (8, 12), "a": (4, 16)}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_UNQUOTED = re.compile(r"""=[^\s"'>]+/>\Z""")  # the / belongs to a value
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -82,6 +84,9 @@ def stream(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
+        if not closing and name in RAW | NESTED - {"script", "style"} and m[0].endswith("/>") and not _UNQUOTED.search(m[0]):
+            yield name, "", links > 0, True, marks > 0
+            continue
         if not closing and name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)

@@ -328,6 +328,13 @@ def test_html_keeps_headings_inline_and_slug_sections():
                                                 "The whole section stays in the text.\nLast words of the page, which are quite a few more than the others.")
 
 
+@pytest.mark.parametrize("tag", ["<svg class='i'/>", "<object data='x' />", "<iframe src='x'/>", "<canvas/>", "<title/>", "<svg><title>t</title><g/></svg>",
+                                 f"<div data-x='{'[1>0] ' * 1500}'></div>", f'<b title="{"a>b " * 1500}"></b>'])
+def test_html_keeps_what_follows_a_tag(tag):
+    page = f"<body><article><p>First words of it, also some more than a few of them.</p>{tag}<p>Second words of it, which are quite a few more than the first ones.</p></article></body>"
+    assert html_text.main_text(page, html_text.weights({})) == "First words of it, also some more than a few of them.\nSecond words of it, which are quite a few more than the first ones."
+
+
 def test_language_held_out_accuracy(spark, sf_dir, empty, corpus):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     got = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from survlake.llm import bpe, brown, chat, decontam, html_text, iblt, jaccard, language, quality, suffixes
+from survlake.llm import (
+    align, bpe, brown, chat, decontam, html_text, iblt, jaccard, language, mixing, negatives, quality, suffixes)
 from survlake.llm.tables import read
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,68 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+SQL_MIXING = r"""
+WITH doc AS (
+  SELECT doc_id, source, row_number() OVER () AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number
+  FROM doc GROUP BY source),
+weighed AS (SELECT *, CAST([5, 2, 1][(number - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 2 AS cap FROM src),
+-- sources in the order in which they reach their cap as the level rises: those before the first level that fits are capped
+ranked AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0) AS full_before, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_w,
+    sum(source_size) OVER () AS words FROM weighed
+  WINDOW before AS (ORDER BY cap / w, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fits AS (
+  SELECT CAST(1.5 * words - full_before AS DOUBLE) AS rest, open_w FROM ranked
+  WHERE (1.5 * words - full_before) * w / open_w <= cap ORDER BY cap / w, number LIMIT 1),
+goal AS (SELECT source, number, source_size, least(rest * w / open_w, CAST(cap AS DOUBLE)) AS target FROM weighed, fits),
+item AS (
+  SELECT id, doc_id, number, source_size, target, size, r AS round,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || r), 1, 15) AS BIGINT) AS draw
+  FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source, (VALUES (1), (2)) v(r)),
+given AS (
+  SELECT *, sum(size) OVER (PARTITION BY number ORDER BY round, draw, doc_id NULLS LAST, size, id ROWS UNBOUNDED PRECEDING) AS given FROM item),
+timed AS (SELECT *, CASE WHEN target > 0 THEN CAST(given AS DOUBLE) / target ELSE 0.0 END AS finish FROM given),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, number, round, draw, doc_id NULLS LAST, size, id ROWS UNBOUNDED PRECEDING) AS position FROM timed)
+SELECT doc_id, size, source_size, target,
+  CAST(sum(CASE WHEN finish <= 1.0 OR position <= (SELECT sum(target) FROM goal) THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM placed GROUP BY id, doc_id, size, source_size, target
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+SQL_NEGATIVES = r"""
+WITH usable AS (
+  SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.id AS aid, a.vec_id AS anchor_id, b.id AS bid, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM usable a, usable b WHERE a.vec_id % 100 = 0 AND a.id <> b.id),
+positive AS (
+  SELECT aid, anchor_id, bid AS pid, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id NULLS LAST, bid) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.aid, pid ORDER BY score DESC, vec_id NULLS LAST, bid) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored n ON n.aid = p.aid AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -112,8 +175,13 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_language": op10_language,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_negatives": op13_negatives,
 }
 SQL = {
     "op1_chat_format": SQL_CHAT,
     "op4_decontaminate": SQL_DECONTAMINATE,
+    "op11_mixing": SQL_MIXING,
+    "op13_negatives": SQL_NEGATIVES,
 }

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from survlake.llm.graph import components
-from survlake.llm.tables import ship, stored, text_bytes
+from survlake.llm.tables import freed, ship, stored, text_bytes, tidy
 from survlake.llm.tokens import mix, text_blocks, words
 
 SINGLE = 16  # bands of sets up to this size: every shingle is a part of its own
@@ -168,12 +168,13 @@ def candidate_tables(docs: DataFrame, k: int, percent: int, chunk_bytes: int) ->
     """kind 0: each row's doc_id, n, fp; kind 1: packed signatures of a bucket; kind 2: the sets that have any."""
     _, size = text_bytes(docs)
     n_chunks = max(1, -(-size // chunk_bytes))
+    n_buckets = -(-n_chunks // 4)   # a bucket holds the signatures of about four chunks' size: the packed rows stay few
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_chunks)).cast("int")
     dealt = docs.select(chunk.alias("chunk"), "doc_id", "text").repartition("chunk")
 
     def ask(table: pa.Table) -> pa.Table:
-        c = Chunk(table["text"], k, percent, n_chunks)
+        c = Chunk(table["text"], k, percent, n_buckets)
         rows = [(b, _low(c.code[lo:hi]), np.minimum(c.times[lo:hi], 255).astype(np.uint8).tobytes()) for b, lo, hi in _blocks(c.code)]
         cols = list(zip(*rows)) or [[], [], []]
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(rows), pa.int32()),
@@ -190,7 +191,7 @@ def candidate_tables(docs: DataFrame, k: int, percent: int, chunk_bytes: int) ->
                          "freq": pa.array([x.tobytes() for x in np.split(freq, cuts)], pa.binary())})
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(left["text"], k, percent, n_chunks)
+        c = Chunk(left["text"], k, percent, n_buckets)
         order = np.argsort(right["bucket"].to_numpy(), kind="stable")
         back = right["freq"].to_pylist()
         freq = np.frombuffer(b"".join([back[i] for i in order]), np.uint16)[c.which]
@@ -221,10 +222,10 @@ def candidate_tables(docs: DataFrame, k: int, percent: int, chunk_bytes: int) ->
             "blob": full([None] * n, [x for _, x in blocks], sets, pa.binary()),
             "kind": full([0] * n, [1] * m, [2] * d, pa.int32())})
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, low binary, times binary")
-    told = asked.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, freq binary")
+    asked = dealt.groupBy("chunk").applyInArrow(freed(ask), "bucket int, chunk int, low binary, times binary")
+    told = asked.groupBy("bucket").applyInArrow(freed(count), "chunk int, bucket int, freq binary")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        choose, f"doc_id {kind}, n long, fp long, bucket int, blob binary, kind int")
+        freed(choose), f"doc_id {kind}, n long, fp long, bucket int, blob binary, kind int")
     return stored(out, "kind")
 
 
@@ -282,7 +283,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("fp").alias("fa"), F.col("blob").alias("x"))
     right = sets.select(F.col("fp").alias("fb"), F.col("blob").alias("y"))
     full = (pairs.join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb")).select("a", "b", "x", "y"))
-    return full.mapInArrow(_linked(percent), "a long, b long")
+    return full.mapInArrow(tidy(_linked(percent)), "a long, b long")
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -389,15 +390,15 @@ def _open_pairs(groups: DataFrame, label: DataFrame, short: DataFrame, percent:
         if held is not None and held.num_rows:
             yield emit(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunk_bytes: int = 4 << 20, block: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     ship(docs.sparkSession)
     table = candidate_tables(docs, k, percent, chunk_bytes)
     groups = stored(table.where("kind = 1").select("bucket", "blob").groupBy("bucket")
-                    .applyInArrow(_groups, "gid long, fp long, n long, weight long")
+                    .applyInArrow(freed(_groups), "gid long, fp long, n long, weight long")
                     .groupBy("gid", "fp").agg(F.min("n").alias("n"), F.sum("weight").alias("weight")))
     sets = table.where("kind = 2").groupBy("fp").agg(F.first("blob").alias("blob"))
     # the hub of a group is the member that shares most signatures with others: of near copies, their original
@@ -411,7 +412,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, chunk_bytes:
     # groups with one hub are compared as one: what shares a group shares its hub
     groups = stored(groups.groupBy(F.col("hub").alias("gid"), "fp").agg(F.min("n").alias("n")))
     label = components(links)
-    short = stored(sets.mapInArrow(_sketches, "fp long, sketch binary"))
+    short = stored(sets.mapInArrow(tidy(_sketches), "fp long, sketch binary"))
     # the closest pair of any two components first: most of what belongs together is joined by it
     tried = stored(_open_pairs(groups, label, short, percent, block, True).join(best, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(_verify(tried, sets, percent)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survlake.llm.tables import ship, tidy
+from survlake.llm.tables import give_back, ship, tidy
 
 WINDOW, WIDTHS = 128, (2, 3, 4)
 
@@ -146,42 +146,56 @@ def fit(docs: DataFrame, docs_per_lang: int = 800, windows_per_doc: int = 3, ste
     return train(np.concatenate([cut(part)[:1] for _, part in pairs]), np.array([k for k, _ in pairs]), langs, steps)
 
 
-def accepted(docs: DataFrame, network: Network | None, least: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, that are in a known language with at least that score."""
-    others = [c for c in docs.columns if c != "text"]
-    judged = identify(docs.select("doc_id", "text", F.struct(*others).alias("_row")), network, extra=("_row", "text"))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(
-        *["text" if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+def _predicted(network: Network | None, text: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text; null stands for a text without letters."""
+    lang, score = ["und"] * len(text), [0.0] * len(text)
+    todo = [i for i, ok in enumerate(text.is_valid().to_pylist()) if ok] if network else []
+    while todo:
+        part, size = [], 0
+        while todo and (not part or size < 4096):  # windows at once
+            w = cut(text[todo[0]].as_py().encode("utf-8", "surrogatepass"))
+            part.append((todo.pop(0), w))
+            size += len(w)
+        prob = network.probabilities(np.concatenate([w for _, w in part]))
+        starts = np.cumsum([0] + [len(w) for _, w in part[:-1]])
+        mean = np.add.reduceat(prob, starts, axis=0) / np.array([len(w) for _, w in part])[:, None]
+        for (i, _), m in zip(part, mean):
+            k = int(m.argmax())
+            lang[i], score[i] = network.langs[k], min(1.0, float(m[k]))
+    return lang, score
+
+
+def accepted(docs: DataFrame, network: Network | None, least: float | None = None) -> DataFrame:
+    """The rows, with all their columns, that are in a known language with at least that score.
+
+    ``least`` is by default a quarter of the way from chance (one over the number of languages) to certainty. Only the text goes to the Python workers.
+    """
+    ship(docs.sparkSession)
+    if network is None:
+        return docs.limit(0)
+    chance = 1 / len(network.langs)
+    level = chance + (1 - chance) / 4 if least is None else least
+
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        lang, score = _predicted(network, text)
+        give_back()
+        return pa.array([x != "und" and s >= level for x, s in zip(lang, score)], pa.bool_())
 
+    return docs.where(known(F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))))
 
-def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, held_out, lang_pred, score of every whole text, and the columns ``extra``."""
+
+def identify(docs: DataFrame, network: Network | None, key: str = "doc_id") -> DataFrame:
+    """key, held_out, lang_pred, score of every whole text."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     held = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    rows = docs.select(key, held.alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text",
-                       *[c for c in extra if c != "text"])
+    rows = docs.select(key, held.alias("held_out"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = ["und"] * b.num_rows, [0.0] * b.num_rows
-            todo = [i for i, ok in enumerate(b.column(2).to_pylist()) if ok] if network else []
-            text = b.column(3)
-            while todo:
-                part, size = [], 0
-                while todo and (not part or size < 4096):  # windows at once
-                    w = cut(text[todo[0]].as_py().encode("utf-8", "surrogatepass"))
-                    part.append((todo.pop(0), w))
-                    size += len(w)
-                prob = network.probabilities(np.concatenate([w for _, w in part]))
-                starts = np.cumsum([0] + [len(w) for _, w in part[:-1]])
-                mean = np.add.reduceat(prob, starts, axis=0) / np.array([len(w) for _, w in part])[:, None]
-                for (i, _), m in zip(part, mean):
-                    k = int(m.argmax())
-                    lang[i], score[i] = network.langs[k], min(1.0, float(m[k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                                              *[b.column(rows_at[c]) for c in extra]], names=[key, "held_out", "lang_pred", "score", *extra])
-
-    rows_at = {c: i for i, c in enumerate(rows.columns)}
-    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return rows.mapInArrow(tidy(run), f"{key} {kind}, held_out boolean, lang_pred string, score double{more}")
+            lang, score = _predicted(network, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=[key, "held_out", "lang_pred", "score"])
+
+    return rows.mapInArrow(tidy(run), f"{key} {kind}, held_out boolean, lang_pred string, score double")

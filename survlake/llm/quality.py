@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survlake.llm.tables import ship, stored
+from survlake.llm.tables import ship, stored, tidy
 from survlake.llm.tokens import mix, text_blocks, words
 
 
@@ -40,27 +40,51 @@ def _grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndar
     return np.concatenate([h % m, pair % m]).astype(np.intp), np.concatenate([row, row[1:][same]])
 
 
-def bucket_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per bucket over the good and over all documents (column ``good``)."""
+def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Counts per bucket over the column ``text``: combined in the tasks, ``buckets`` numbers to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros(buckets, np.int64)
         for b in batches:
-            good = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offs in text_blocks(b.column(0)):
-                g, row = _grams(data, offs, buckets)
-                total[1] += np.bincount(g, minlength=buckets)
-                total[0] += np.bincount(g[good[lo:hi][row]], minlength=buckets)
-        some = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[0][some]), pa.array(total[1][some])],
-                                         names=["bucket", "target", "raw"])
-
-    rows = (docs.select("text", "good").mapInArrow(run, "bucket int, target long, raw long")
-            .groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))).toArrow()
-    out = np.zeros((2, buckets), np.int64)
-    at = rows["bucket"].to_numpy()
-    out[0][at], out[1][at] = rows["target"].to_numpy(), rows["raw"].to_numpy()
-    return out[0], out[1]
+            for _, _, data, offs in text_blocks(b.column(0)):
+                total += np.bincount(_grams(data, offs, buckets)[0], minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+    rows = texts.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
+    """The texts of documents whose doc_id is in ``ids`` (one row each).
+
+    A Bloom filter over the ids (16 bits an id, two of them set, at most 64 MB) goes to the
+    tasks first, so that the text of other documents is not shuffled, whatever size the tables have. A filter
+    that is too full lets more through; the join on the ids decides.
+    """
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    spots = [F.xxhash64("doc_id", F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(2)]
+    at = ids.select(F.explode(F.array(*spots)).alias("at"))
+    words_ = at.groupBy(F.shiftright("at", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toArrow()
+    filled = np.zeros(bits // 64, np.uint64)
+    filled[words_["w"].to_numpy()] = words_["set"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
+
+    @F.arrow_udf("boolean")
+    def maybe(first: pa.Array, second: pa.Array) -> pa.Array:
+        ok = np.ones(len(first), bool)
+        for x in (first, second):
+            h = x.to_numpy(zero_copy_only=False).astype(np.int64)
+            ok &= (sent.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(ok)
+
+    return docs.select("doc_id", "text").where(maybe(*spots)).join(ids, "doc_id", "left_semi").select("text")
 
 
 def largest(keyed: DataFrame, column: str, k: int, bits: int = 12) -> tuple[int, int]:
@@ -87,13 +111,13 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
              smooth: float = 1.0, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, log_weight, selection_key (with its noise), selected."""
     ship(docs.sparkSession)
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
-        F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("doc_id", "text", "good")
-    if share is None:
-        share = rows.agg(F.avg(F.col("good").cast("double"))).first()[0]
+    marks = stored(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good")))
+    if share is None:  # of the labelled documents: ids only
+        share = docs.select("doc_id").join(marks, "doc_id").agg(F.avg(F.col("good").cast("double"))).first()[0]
         share = 1.0 if share is None else share
-    target, raw = bucket_counts(rows.withColumn("good", F.coalesce("good", F.lit(False))), buckets)
+    raw = bucket_counts(docs, buckets)
+    target = bucket_counts(texts_of(docs, marks.where("good").select("doc_id")), buckets)
     log = np.log((target + smooth) / (target.sum() + smooth * buckets)) - np.log((raw + smooth) / (raw.sum() + smooth * buckets))
     if not target.any():
         log[:] = 0
@@ -114,7 +138,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buc
 
     keyed = stored(docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tie"),
                                F.xxhash64("doc_id").alias("_noise"))
-                   .mapInArrow(run, f"doc_id {kind}, log_weight double, selection_key double, _order long, _tie long"))
+                   .mapInArrow(tidy(run), f"doc_id {kind}, log_weight double, selection_key double, _order long, _tie long"))
     n = keyed.count()
     k = round(share * n)
     out = ["doc_id", "log_weight", "selection_key"]

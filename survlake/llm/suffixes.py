@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from survlake.llm.tables import ship, text_bytes
+from survlake.llm.tables import freed, ship, text_bytes
 from survlake.llm.tokens import text_blocks
 
 SPAN, GRAM = 50, 24
@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool
                    hot: int = 2048, most_ranges: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also the spans and the kept text.
 
-    ``carry`` names further columns of ``docs`` to hand on. The kept text leaves out bytes of
+    ``carry`` names further columns of ``docs`` to hand on; one that has the name of a result stands in its place. The kept text leaves out bytes of
     characters that were cut in part; the digest is of the bytes.
     """
     ship(docs.sparkSession)
@@ -523,11 +523,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool
         made |= {"doc_id": left["doc_id"]} | {f"_c{i}": left[f"_c{i}"] for i in range(len(carry))}
         return pa.table([made[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    told = (dealt.groupBy("_chunk").applyInArrow(ask, "bucket int, chunk int, low binary, times binary")
-            .groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, freq binary"))
-    sent = dealt.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "chunk int, part long, block binary")
-    back = sent.groupBy("part").applyInArrow(_merge_range, "chunk int, part long, block binary")
-    out = dealt.groupBy("_chunk").cogroup(back.groupBy("chunk")).applyInArrow(cut_out, schema)
-    for i, c in enumerate(carry):
-        out = out.withColumnRenamed(f"_c{i}", c) if c not in out.columns else out
-    return out
+    told = (dealt.groupBy("_chunk").applyInArrow(freed(ask), "bucket int, chunk int, low binary, times binary")
+            .groupBy("bucket").applyInArrow(freed(_count), "chunk int, bucket int, freq binary"))
+    sent = dealt.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(freed(send), "chunk int, part long, block binary")
+    back = sent.groupBy("part").applyInArrow(freed(_merge_range), "chunk int, part long, block binary")
+    out = dealt.groupBy("_chunk").cogroup(back.groupBy("chunk")).applyInArrow(freed(cut_out), schema)
+    own = [c for c in out.columns if c not in carry and not c.startswith("_c")]   # a carried column keeps its name and values
+    return out.select(*own, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,24 @@ def tidy(kernel):
     return run
 
 
+def freed(kernel):
+    """A grouped kernel (one table, or two that are grouped alike, to a table) that gives memory back when it ends."""
+    if len(signature(kernel).parameters) == 1:
+        def one(table: pa.Table) -> pa.Table:
+            try:
+                return kernel(table)
+            finally:
+                give_back()
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return kernel(left, right)
+        finally:
+            give_back()
+    return two
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once per application: kernels are imported there, so they keep what they cache.
 

@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
-last return the columns of documents. Texts emptied by a stage stay as rows.
+last return the columns of documents. Texts emptied by a stage stay as rows; an empty table
+gives no rows; columns of documents keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +21,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """Of each component of near copies one row stays: the smallest doc_id, then the smallest hash of the text.
+
+    Rows equal in both, also such with a null doc_id, count as copies: one of them stays. A null doc_id comes last.
+    """
+    text_hash = F.coalesce(F.xxhash64("text"), F.lit(0))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_hash.alias("hash"))
+    found = jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    stay = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+                  .select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_of"), "_n"))
+    keyed = docs.withColumn("_hash", text_hash)
+    once, often = (keyed.join(stay.where(c).withColumnRenamed("_of", "_hash_of"), keyed["doc_id"].eqNullSafe(F.col("_id"))
+                              & (keyed["_hash"] == F.col("_hash_of")), "left_semi") for c in ("_n = 1", "_n > 1"))
+    return once.unionByName(often.dropDuplicates(["doc_id", "_hash"])).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

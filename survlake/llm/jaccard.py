@@ -39,6 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from survlake.llm.graph import components
 from survlake.llm.tables import freed, ship, stored, text_bytes, tidy
@@ -170,6 +172,7 @@ def candidate_tables(docs: DataFrame, k: int, percent: int, chunk_bytes: int) ->
     n_chunks = max(1, -(-size // chunk_bytes))
     n_buckets = -(-n_chunks // 4)   # a bucket holds the signatures of about four chunks' size: the packed rows stay few
     kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_schema(StructType.fromDDL(f"doc_id {kind}")).field(0).type
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_chunks)).cast("int")
     dealt = docs.select(chunk.alias("chunk"), "doc_id", "text").repartition("chunk")
 
@@ -212,7 +215,8 @@ def candidate_tables(docs: DataFrame, k: int, percent: int, chunk_bytes: int) ->
                            + inv.astype(np.uint32).tobytes() + _low(code[lo:hi])))
         n, m, d = left.num_rows, len(blocks), len(some)
         sets = [c.sets[c.start[i]:c.start[i] + sizes[i]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in some]
-        doc = left["doc_id"].combine_chunks() if isinstance(left["doc_id"], pa.ChunkedArray) else left["doc_id"]
+        doc = left["doc_id"].cast(id_type)
+        doc = doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc
         full = lambda a, b_, c_, t: pa.array([*a, *b_, *c_], t)
         ids = pa.concat_arrays([doc, pa.nulls(m + d, doc.type)])
         return pa.table({

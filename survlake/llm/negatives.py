@@ -200,7 +200,7 @@ def meet(anchors: DataFrame, blocks: DataFrame, keep: int, judge, stripes: int,
     right = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("_s"), part.alias("_p"), "*").select(
         (F.col("_s") * parts + F.col("_p")).alias("cell"), F.lit(1).alias("kind"), F.col("base").alias("uid"),
         F.lit(None).cast("long").alias("label"), "dims", "data", F.lit(None).cast("array<long>").alias("windows"), "n", "ids", "labels")
-    rows = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "kind", "uid")
+    rows = left.unionByName(right).repartition(stripes * parts, "cell").sortWithinPartitions("cell", "kind", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, state = None, [], {}

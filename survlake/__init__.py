@@ -12,7 +12,7 @@ from .operators.describe import (
 )
 from .operators.finegray import finegray_expand, finegray_fit
 from .operators.joins import (
-    asof_join, check_unique, first_match_visit, interval_join, lookup_neighbor,
+    asof_join, check_unique, first_match_rows, first_match_visit, interval_join, lookup_neighbor,
     merge_full, merge_left, merge_left_many,
 )
 from .operators.landmark import (
@@ -31,7 +31,7 @@ from .operators.multistate import (
 from .operators.report import (
     all_models_table, endpoint_table, significance_mark,
 )
-from .operators.reshape import gather, long_to_wide, visit_sequence, wide_to_long
+from .operators.reshape import gather, long_to_wide, number_visits, visit_sequence, wide_to_long
 from .operators.risk import (
     censoring_weights, combined_endpoint, compare_km_cif, cumulative_incidence,
     kaplan_meier, nelson_aalen, relevel_event, risk_table, survival_response,

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .kernels import cross_product, time_sums
 from .risk import resolve_splits
-from .scan import fits_broadcast, running, tie_sums
+from .scan import TIMES_PER_CHUNK, fits_broadcast, running, tie_sums
 from ..sources.io import materialize
 
 MAX_STEPS = 30
@@ -106,7 +106,8 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
             start: str | None = None, ties: str = "efron", strata: Sequence[str] = (),
             cluster: str | None = None, weight: str | None = None, robust: bool | None = None,
             splits="auto", tail: str | None = None, tail_weights: DataFrame | None = None,
-            baseline: bool | None = None, tol: float = 1e-10) -> CoxModel:
+            baseline: bool | None = None, tol: float = 1e-10,
+            censoring: tuple[DataFrame, DataFrame] | None = None) -> CoxModel:
     """Fit ``hazard ~ terms``.
 
     ``status`` is a 0/1 column (or condition). ``strata`` get their own baseline.
@@ -118,6 +119,10 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
 
     ``tail`` is a row weight after ``stop`` (0 for ordinary rows) and
     ``tail_weights`` the table ``(time, g_before)`` it is multiplied with.
+    ``censoring`` adds the uncertainty of these weights to a clustered sandwich:
+    the table ``(time, n_risk, n_censor)`` of the censoring curve and the rows
+    ``(_cluster, _start, _stop, _end)`` it was estimated from, ``_end`` being 1
+    where a row ends in an event, 2 where it ends in a censoring, else 0.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
@@ -146,7 +151,8 @@ def cox_fit(df: DataFrame, stop: str, status: str | Column, terms: Sequence[str]
         rows = rows.where(F.col("_start") < F.col("_stop"))
     rows, release = materialize(rows)
     try:
-        fit = _Fit(rows, p, ties, start is not None, tail_weights, resolve_splits(rows, "_stop", splits))
+        fit = _Fit(rows, p, ties, start is not None, tail_weights, splits)
+        fit.censoring = censoring
         keep = not terms if baseline is None else baseline
         return fit.run(df.sparkSession, terms, strata, cluster is not None, robust, keep, tol)
     finally:
@@ -176,7 +182,7 @@ def _pack(strata: Sequence[str]) -> Column:
 class _Fit:
     def __init__(self, rows, p, ties, has_start, tail_weights, splits):
         self.rows, self.p, self.ties = rows, p, ties
-        self.has_start, self.tail_weights, self.splits = has_start, tail_weights, splits
+        self.has_start, self.tail_weights, self.censoring = has_start, tail_weights, None
         self.tail_rows = 0 if tail_weights is None else tail_weights.count()
         self.xs = [f"x{j}" for j in range(p)]
         # one job: sums per (stratum, stop), then over all of them
@@ -190,6 +196,9 @@ class _Fit:
         if not first["n"] or not first["d"]:
             raise ValueError("no complete rows with an event")
         self.n, self.d, self.max_ties = first["n"], first["d"], first["ties"]
+        # the number of distinct times is known now: only a fine axis is measured further
+        few = splits == "auto" and first["stops"] <= TIMES_PER_CHUNK
+        self.splits = [] if few else resolve_splits(rows, "_stop", splits)
         self.times = first["stops"] * (2 if has_start else 1)   # starts add at most as many again
         self.means = np.array([first[f"s_{x}"] / self.n for x in self.xs])
         spread = np.array([first[f"q_{x}"] / self.n for x in self.xs]) - self.means ** 2
@@ -242,6 +251,8 @@ class _Fit:
         if tail:
             g = self.tail_weights.selectExpr("time", "g_before AS g")
             g = F.broadcast(g) if fits_broadcast(self.tail_rows, 2) else g
+            if residual_terms:    # competing rows before and at the time, for the uncertainty of the weights
+                keep += [f"{c}{x}" for c in "kq" for x in each]
             grid = grid.join(g, "time", "left").selectExpr(
                 *keep, "coalesce(g, 0D) AS g",
                 *[f"s{x} + coalesce(g, 0D) * k{x} AS s{x}" for x in each])
@@ -381,7 +392,11 @@ class _Fit:
                 if tail:
                     part += f" - _tail * exp(_lp) * ({x} * B1 - B_{x}1)"
                 parts.append(part)
-            if clustered:
+            if clustered and self.censoring:
+                parts_by_row = rows.selectExpr("_cluster", *[f"{v} AS {x}" for x, v in zip(xs, parts)])
+                res = parts_by_row.unionByName(self.weight_influence(grid)).groupBy("_cluster").agg(
+                    *[F.sum(x).alias(x) for x in xs])
+            elif clustered:
                 res = rows.groupBy("_cluster").agg(*[F.expr(f"sum({v}) AS {x}") for x, v in zip(xs, parts)])
             else:
                 res = rows.selectExpr(*[f"{v} AS {x}" for x, v in zip(xs, parts)])
@@ -396,6 +411,44 @@ class _Fit:
         return var @ meat.reshape(self.p, self.p) @ var
 
 
+    def weight_influence(self, grid) -> DataFrame:
+        """(``_cluster``, x…): what each row adds to the score through the estimated censoring curve.
+
+        A competing row at ``v`` counts at ``s > v`` with the product of ``1 - c/y``
+        over censoring times ``v ≤ u < s``. A row in the risk set of a censoring
+        time ``u`` moves that factor, and with it all pairs ``v ≤ u < s``; their
+        part of the score is ``K_x(u)·B(u) - K(u)·B_x(u)``: competing rows up to
+        ``u`` and hazard after ``u``, two scans in opposite directions. The martingale
+        sum of a row over its own time at risk is a running sum at its two ends.
+        """
+        xs, (curve, rows) = self.xs, self.censoring
+        # the change of that product at each time of each stratum; times in between keep the value
+        change = {x: f"(k_{x} + q_{x}) * B - (k + q) * B_{x} - k_{x} * (B + gphi) + k * (B_{x} + gphi_{x})" for x in xs}
+        none = [f"0D AS {x}" for x in xs]
+        steps = grid.selectExpr("time", *[f"{v} AS {x}" for x, v in change.items()], "0D AS y", "0D AS c")
+        steps = steps.unionAll(curve.selectExpr("time", *none, "double(n_risk) AS y", "double(n_censor) AS c"))
+        if "_start" in rows.columns:
+            steps = steps.unionAll(rows.select(F.col("_start").alias("time")).distinct().selectExpr("time", *none, "0D AS y", "0D AS c"))
+        steps = steps.groupBy("time").agg(*[F.sum(x).alias(x) for x in xs], F.max("y").alias("y"), F.max("c").alias("c"))
+        steps = running(steps, [], "time", {f"q_{x}": ("sum", x) for x in xs}, self.splits, keep_chunk=True)
+        # no factor is left where all at risk are censored
+        steps = steps.selectExpr("*", *[f"if(c > 0 AND y > c, q_{x} / (y - c), 0D) AS h_{x}" for x in xs])
+        steps = steps.selectExpr("*", *[f"if(c > 0, h_{x} * c / y, 0D) AS l_{x}" for x in xs])
+        steps = running(steps, [], "time", {f"C_{x}": ("sum", f"l_{x}") for x in xs}, self.splits)
+        small = fits_broadcast(steps.count(), 3 * len(xs) + 1)
+
+        def side(key, cols):
+            part = steps.select(F.col("time").alias(key), *cols)
+            return F.broadcast(part) if small else part
+
+        out = rows.join(side("_stop", [f"{c}_{x}" for c in "hlC" for x in xs]), "_stop")
+        value = {x: f"if(_end = 2, h_{x}, 0D) + if(_end = 1, l_{x}, 0D) - C_{x}" for x in xs}
+        if "_start" in rows.columns:
+            out = out.join(side("_start", [F.col(f"C_{x}").alias(f"C0_{x}") for x in xs]), "_start")
+            value = {x: f"{v} + C0_{x}" for x, v in value.items()}
+        return out.selectExpr("_cluster", *[f"{v} AS {x}" for x, v in value.items()])
+
+
 def _unpack(strata: Sequence[str]) -> list[Column]:
     if not strata:
         return []

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .cox import CoxModel, cox_fit
 from .risk import censoring_weights, resolve_splits
 from .scan import fits_broadcast, running
+from ..sources.io import materialize
 
 
 def finegray_expand(df: DataFrame, cause: int, event: str, stop: str, start: str | None = None,
@@ -77,27 +78,42 @@ def _steps(df, cause, event, stop, start, final, splits) -> DataFrame:
 
 def finegray_fit(df: DataFrame, stop: str, event: str, cause: int, terms: Sequence[str],
                  start: str | None = None, final: str | None = None, id: str | None = None,
-                 ties: str = "efron", splits="auto", **options) -> CoxModel:
+                 ties: str = "efron", splits="auto", censoring_term: bool = True, **options) -> CoxModel:
     """Subdistribution hazard model of one cause.
 
     Fixed covariates: one row per subject. Time-varying: ``start`` and ``final``
     given, and a subject keeps its last covariates after a competing event. The
     weights use every row, before rows with a missing term are dropped.
 
-    With ``id`` the variance is the sandwich by subject, without by input row;
-    the uncertainty of ``G`` itself is not added, so compare coefficients, not
-    standard errors, with packages that do add it.
+    With ``id`` the variance is the sandwich by subject, without by input row.
+    It contains the uncertainty of the censoring curve: what each subject, also
+    one without complete terms, adds to the score by moving the weights of
+    others. ``censoring_term=False`` takes the weights as known.
     """
-    g = censoring_weights(df, stop, event, start=start, final=final, splits=splits).select(
-        "time", "g_before")
-    g = g.persist()
+    robust = options.get("robust") is not False and bool(terms)
+    rows = df
+    if id is None and robust:
+        id, rows = "_row", df.withColumn("_row", F.monotonically_increasing_id())
+    # read by the curve, the fit and the variance: evaluated once
+    rows, release = materialize(rows)
+    curve = censoring_weights(rows, stop, event, start=start, final=final, splits=splits)
+    curve = curve.selectExpr("time", "g_before", "n_risk - n_event AS n_risk", "n_censor").persist()
     try:
-        at = g.select(F.col("time").alias("_u"), F.col("g_before").alias("_gu"))
-        at = F.broadcast(at) if fits_broadcast(g.count(), 2) else at
+        at = curve.select(F.col("time").alias("_u"), F.col("g_before").alias("_gu"))
+        at = F.broadcast(at) if fits_broadcast(curve.count(), 2) else at
         rival = ~F.col(event).isin(0, cause)
-        rows = df.withColumn("_u", F.col(stop)).join(at, "_u", "left").withColumn(
+        late = rows.withColumn("_u", F.col(stop)).join(at, "_u", "left").withColumn(
             "_late", F.when(rival, 1.0 / F.col("_gu")).otherwise(0.0)).drop("_u", "_gu")
-        return cox_fit(rows, stop, F.col(event) == cause, terms, start=start, ties=ties, cluster=id,
-                       tail="_late", tail_weights=g, splits=splits, **options)
+        censoring = None
+        if robust and censoring_term:
+            reached = F.lit(True) if final is None else F.col(final) == F.col(stop)
+            end = F.when(F.col(event) != 0, 1).when(reached, 2).otherwise(0)
+            ends = rows.select(F.col(id).alias("_cluster"), *([F.col(start).alias("_start")] if start else []),
+                               F.col(stop).alias("_stop"), end.alias("_end"), F.col(event).alias("_event")).dropna(
+                subset=["_stop", "_event", *(["_start"] if start else [])])
+            censoring = curve, ends.drop("_event")
+        return cox_fit(late, stop, F.col(event) == cause, terms, start=start, ties=ties, cluster=id if robust else None,
+                       tail="_late", tail_weights=curve.select("time", "g_before"), splits=splits, censoring=censoring, **options)
     finally:
-        g.unpersist()
+        curve.unpersist()
+        release()

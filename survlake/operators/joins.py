@@ -7,13 +7,13 @@ also splits a hot key of a sort-merge join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_set
-from .scan import next_value
+from .scan import chunk_hot_keys, next_value
 
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,3 +137,39 @@ def first_match_visit(df: DataFrame, onset: str, calendar: dict[str, str],
     for name, source in (offsets or {}).items():
         done = done.withColumn(name, F.datediff(F.col("_matched"), F.col(source)))
     return done.drop("_matched")
+
+
+def first_match_rows(df: DataFrame, calendar: DataFrame, id: str, onset: str, date: str, rank: str, visit: str,
+                     out: str = "visit", matched: str = "matched", chunk: Callable[[str], Column] | None = None) -> DataFrame:
+    """First visit, by protocol ``rank``, that is dated on or after ``onset``, from a calendar kept as rows.
+
+    ``calendar`` has one row per visit of a subject: any number of them. Onsets are
+    not paired with visits: both are laid on one axis per subject, and from its end
+    a running minimum of the rank says at every onset which visit comes first.
+    ``chunk`` makes an ordered chunk key of a column (:func:`.scan.day_chunk`); subjects with very many
+    rows are then scanned in chunks. Adds ``out`` and its date ``matched``, null where
+    nothing matches, the onset or the subject is null. Equal ranks go by visit.
+    """
+    best = F.struct(F.col(rank).alias("rank"), F.col(visit).alias("visit"), F.col(date).alias("date"))
+    visits = calendar.where(F.col(date).isNotNull() & F.col(rank).isNotNull()).select(
+        F.col(id).alias("_id"), F.col(date).alias("_at"), F.lit(0).alias("_kind"), best.alias("_best"),
+        F.lit(None).cast(df.schema).alias("_row"))
+    asked = df.select(F.col(id).alias("_id"), F.col(onset).cast(calendar.schema[date].dataType).alias("_at"), F.lit(1).alias("_kind"),
+                      F.lit(None).cast(visits.schema["_best"].dataType).alias("_best"), F.struct(*df.columns).alias("_row"))
+    axis = visits.unionByName(asked)
+
+    def scanned(rows, *keys):
+        w = Window.partitionBy("_id", *keys).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_found", F.min("_best").over(w))
+
+    chunked = None if chunk is None else chunk_hot_keys(axis, "_id", chunk("_at"))
+    if chunked is None:
+        done = scanned(axis)
+    else:
+        later = Window.partitionBy("_id").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = chunked.where(F.col("_chunk").isNotNull()).groupBy("_id", "_chunk").agg(F.min("_best").alias("_end"))
+        ends = ends.select("_id", "_chunk", F.min("_end").over(later).alias("_later"))
+        done = scanned(chunked, "_chunk").join(ends, ["_id", "_chunk"], "left").withColumn("_found", F.least("_found", "_later"))
+    valid = F.col("_id").isNotNull() & F.col("_at").isNotNull()
+    return done.where("_kind = 1").select("_row.*", F.when(valid, F.col("_found.visit")).alias(out),
+                                          F.when(valid, F.col("_found.date")).alias(matched))

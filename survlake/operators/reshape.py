@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import chunk_hot_keys
+
 
 def gather(df: DataFrame, cols: Sequence[str], key: str = "variable", value: str = "value") -> DataFrame:
     """Columns to ``(key, value)`` rows; every other column is repeated."""
@@ -54,3 +56,20 @@ def visit_sequence(df: DataFrame, id: str, order: Sequence[str], visit: str, n:
     top = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
     wide = top.groupBy(id).pivot("_k", list(range(1, n + 1))).agg(F.max(visit))
     return wide.withColumnsRenamed({str(i): f"{prefix}{i}" for i in range(1, n + 1)})
+
+
+def number_visits(df: DataFrame, id: str, order: Sequence[str], out: str = "n", chunk: Column | None = None) -> DataFrame:
+    """Each subject's visits numbered from 1 in ``order``, as rows: any number of visits.
+
+    With ``chunk`` (an ordered piece of the order, see :mod:`.scan`) subjects with
+    very many rows are numbered piece by piece.
+    """
+    chunked = None if chunk is None else chunk_hot_keys(df, id, chunk)
+    if chunked is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(id).orderBy(*order)))
+    local = chunked.withColumn("_k", F.row_number().over(Window.partitionBy(id, "_chunk").orderBy(*order)))
+    earlier = Window.partitionBy(id).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = chunked.where(F.col("_chunk").isNotNull()).groupBy(id, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(id, "_chunk", F.sum("_n").over(earlier).alias("_before"))
+    return (local.join(sizes, [id, "_chunk"], "left")
+            .withColumn(out, (F.col("_k") + F.coalesce("_before", F.lit(0))).cast("int")).select(*df.columns, out))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import running, tie_sums, time_splits
+from .scan import TIMES_PER_CHUNK, running, tie_sums, time_splits
 
 START, STOP, STATUS, CAUSE = "surv_start", "surv_stop", "surv_status", "surv_cause"
 
@@ -68,12 +68,29 @@ def risk_table(resp: DataFrame, strata: Sequence[str] = (), weight: str | None =
     ``causes`` adds ``n_event_<k>`` per code. ``last`` says which rows end a
     subject; only those can be censored (default: every row).
     """
-    splits = resolve_splits(resp, STOP, splits)
-    return _risk_grid(resp, list(strata), weight, causes, last, splits).drop("_chunk")
+    return _risk_grid(resp, list(strata), weight, causes, last, splits)[0].drop("_chunk")
 
 
-def _risk_grid(resp, strata, weight, causes, last, splits) -> DataFrame:
-    """The risk table, with the scan's chunk column where the time axis is cut."""
+_held: list[DataFrame] = []     # collapsed tables that were counted and will be scanned, the latest ones
+HELD = 8
+
+
+def _hold(grid: DataFrame) -> DataFrame:
+    """``grid`` cached for the scan after its count; of several only the last ``HELD`` stay cached."""
+    app = grid.sparkSession.sparkContext.applicationId
+    _held[:] = [g for g in _held if g.sparkSession.sparkContext._jsc and g.sparkSession.sparkContext.applicationId == app]
+    while len(_held) >= HELD:
+        _held.pop(0).unpersist()
+    _held.append(grid.persist())
+    return grid
+
+
+def _risk_grid(resp, strata, weight, causes, last, splits) -> tuple[DataFrame, list]:
+    """The risk table, with the scan's chunk column where the time axis is cut, and the cuts.
+
+    ``'auto'`` counts the table that is collapsed to distinct times, which the scan
+    then reads: the rows themselves are evaluated once.
+    """
     if strata:
         resp = resp.dropna(subset=strata)
     if weight is not None:
@@ -100,18 +117,20 @@ def _risk_grid(resp, strata, weight, causes, last, splits) -> DataFrame:
     flat = resp.select(*strata, F.explode(F.array(*entries)).alias("_e")).select(*strata, "_e.*")
     measures = [c for c in flat.columns if c not in (*strata, "time")]
     grid = flat.groupBy(*strata, "time").agg(*[F.sum(c).alias(c) for c in measures])
+    if splits == "auto":
+        grid = _hold(grid)
+        splits = [] if grid.count() <= TIMES_PER_CHUNK else time_splits(grid, "time")
+    splits = list(splits or [])
     grid = running(grid, strata, "time", {"n_risk": ("sum_from", "_n")}, splits, keep_chunk=True)
     keep = [c for c in measures if not c.startswith("_")]
     keep += ["_chunk"] if splits else []
-    return grid.where(F.col("_stop") > 0).select(*strata, "time", "n_risk", *keep)
-
+    return grid.where(F.col("_stop") > 0).select(*strata, "time", "n_risk", *keep), splits
 
 
 def kaplan_meier(resp: DataFrame, strata: Sequence[str] = (), weight: str | None = None,
                  splits="auto") -> DataFrame:
     """``(strata, time, n_risk, n_event, n_censor, surv)``."""
-    splits = resolve_splits(resp, STOP, splits)
-    rt = _risk_grid(resp, list(strata), weight, None, None, splits)
+    rt, splits = _risk_grid(resp, list(strata), weight, None, None, splits)
     rt = rt.withColumn("_f", 1 - F.col("n_event") / F.col("n_risk"))
     out = running(rt, list(strata), "time", {"surv": ("product", "_f")}, splits)
     return out.drop("_f", "n_tied")
@@ -123,9 +142,8 @@ def nelson_aalen(resp: DataFrame, strata: Sequence[str] = (), weight: str | None
 
     ``ties='efron'`` lowers the risk set step by step over tied events.
     """
-    splits = resolve_splits(resp, STOP, splits)
     strata = list(strata)
-    rt = _risk_grid(resp, strata, weight, None, None, splits)
+    rt, splits = _risk_grid(resp, strata, weight, None, None, splits)
     if ties == "efron":
         rt = tie_sums(rt, [*strata, "time"], "n_tied", "n_risk", "n_event")
         rt = rt.withColumn("_h", F.when(F.col("n_tied") > 0, F.col("n_event") / F.col("n_tied") * F.col("b0"))
@@ -142,9 +160,8 @@ def cumulative_incidence(df: DataFrame, time: str, cause: str, causes: Sequence[
                          strata: Sequence[str] = (), splits="auto") -> DataFrame:
     """Cumulative incidence per cause under competing risks: ``(strata, time, cause, est)``."""
     resp = survival_response(df, time, cause)
-    splits = resolve_splits(resp, STOP, splits)
     strata = list(strata)
-    rt = _risk_grid(resp, strata, None, causes, None, splits)
+    rt, splits = _risk_grid(resp, strata, None, causes, None, splits)
     rt = rt.withColumn("_f", 1 - F.col("n_event") / F.col("n_risk"))
     rt = running(rt, strata, "time", {"_before": ("product_before", "_f")}, splits, keep_chunk=True)
     rt = rt.withColumns({
@@ -164,8 +181,7 @@ def compare_km_cif(df: DataFrame, time: str, cause: str, labels: Mapping[int, st
     """
     codes = list(labels)
     resp = survival_response(df, time, cause)
-    splits = resolve_splits(resp, STOP, splits)
-    rt = _risk_grid(resp, [], None, codes, None, splits)
+    rt, splits = _risk_grid(resp, [], None, codes, None, splits)
     rt = rt.withColumns({
         "_f": 1 - F.col("n_event") / F.col("n_risk"),
         **{f"_f_{k}": 1 - F.col(f"n_event_{k}") / F.col("n_risk") for k in codes}})
@@ -198,9 +214,8 @@ def censoring_weights(df: DataFrame, time: str, cause: str, start: str | None =
     reaches it can be a censoring.
     """
     resp = survival_response(df, time, cause, start=start)
-    splits = resolve_splits(resp, STOP, splits)
     last = None if final is None else F.col(final) == F.col(STOP)
-    rt = _risk_grid(resp, list(strata), None, None, last, splits)
+    rt, splits = _risk_grid(resp, list(strata), None, None, last, splits)
     rt = rt.withColumn("_f", F.when(
         F.col("n_censor") > 0, 1 - F.col("n_censor") / (F.col("n_risk") - F.col("n_event"))).otherwise(1.0))
     out = running(rt, list(strata), "time", {

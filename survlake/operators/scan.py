@@ -11,18 +11,20 @@ large for one task are cut.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date, datetime, timedelta
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import wall_micros
+
 #: A counted table up to this many bytes is broadcast; beyond it the join is left
 #: to Spark (sort-merge with adaptive skew handling).
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 #: Distinct times per scan chunk; above this a time axis is cut into chunks.
 TIMES_PER_CHUNK = 50_000
-MAX_CHUNKS = 1024
 
 #: Keys with more rows than this are scanned in chunks.
 ROWS_PER_KEY = 1_000_000
@@ -65,32 +67,49 @@ def fits_broadcast(rows: int, columns: int) -> bool:
     return rows * columns * 8 <= BROADCAST_BYTES
 
 
+def axis_number(df: DataFrame, col: str) -> Column:
+    """A time column as a number that orders alike: days of a date, microseconds of a timestamp."""
+    kind = df.schema[col].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(col)
+    if kind == "timestamp":
+        return F.unix_micros(col)
+    return wall_micros(col) if kind == "timestamp_ntz" else F.col(col)
+
+
 def time_splits(df: DataFrame, col: str, per_chunk: int = TIMES_PER_CHUNK) -> list:
-    """Cut points that balance the distinct values of ``col``, empty when few.
+    """Cut points that balance the distinct values of ``col``, empty when few; as :func:`axis_number` has them.
 
-    One aggregate over one pruned column; at most ``MAX_CHUNKS`` numbers reach
-    the driver. The approximate quantiles only choose where to cut, so results
+    One aggregate over one pruned column; the number of cuts grows with the number of
+    values. The approximate quantiles only choose where to cut, so results
     stay exact whatever they are.
     """
-    at = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
-    n, cuts = df.select(col).distinct().agg(
-        F.count(col), F.percentile_approx(col, at, 10 * MAX_CHUNKS)).first()
-    chunks = min(MAX_CHUNKS, -(-n // per_chunk))
+    values = df.select(axis_number(df, col).alias("_v")).distinct()
+    n = values.agg(F.count("_v")).first()[0]
+    chunks = -(-n // per_chunk)
     if chunks <= 1:
         return []
-    return sorted({cuts[round(i * MAX_CHUNKS / chunks) - 1] for i in range(1, chunks)})
+    at = [i / chunks for i in range(1, chunks)]
+    return sorted(set(values.agg(F.percentile_approx("_v", at, max(10_000, 10 * chunks))).first()[0]))
 
 
 def split_chunk(df: DataFrame, col: str, splits: Sequence, out: str = "_chunk") -> DataFrame:
-    """Add the index of the piece that holds the (numeric) column: cut points at or below it."""
+    """Add the index of the piece that holds the column: cut points at or below it."""
     if not splits:
         return df.withColumn(out, F.lit(0))
-    edges = [float("-inf"), *sorted({float(s) for s in splits}), float("inf")]
+    edges = [float("-inf"), *sorted({_axis_value(s) for s in splits}), float("inf")]
     cut = Bucketizer(splits=edges, inputCol="_at", outputCol="_piece")      # binary search per row
-    return cut.transform(df.withColumn("_at", F.col(col).cast("double"))).withColumn(
+    return cut.transform(df.withColumn("_at", axis_number(df, col).cast("double"))).withColumn(
         out, F.col("_piece").cast("int")).drop("_at", "_piece")
 
 
+def _axis_value(cut) -> float:
+    """A cut point as a number; dates and (UTC) datetimes are taken too."""
+    if isinstance(cut, datetime):
+        return (cut.replace(tzinfo=None) - datetime(1970, 1, 1)) / timedelta(microseconds=1)
+    return float((cut - date(1970, 1, 1)).days) if isinstance(cut, date) else float(cut)
+
+
 # --- running totals --------------------------------------------------------
 
 

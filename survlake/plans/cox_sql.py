@@ -24,8 +24,12 @@ g AS MATERIALIZED (SELECT time, coalesce(product(CASE WHEN c > 0 THEN 1 - c / (n
 """
 
 
-def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust: bool = False) -> str:
-    """CTEs ending in ``out(term, coef, hr, lower, upper, se, robust_se, z, p)``."""
+def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust: bool = False, ends: str | None = None) -> str:
+    """CTEs ending in ``out(term, coef, hr, lower, upper, se, robust_se, z, p)``.
+
+    ``ends`` yields ``(id, a, b, mark)``, the rows behind the censoring curve (mark 1: event, 2: censored, else 0),
+    and adds the uncertainty of that curve (``gr(time, n, d, c)``) to the sandwich; one stratum only.
+    """
     p = len(terms)
     js = range(1, p + 1)
     pairs = [(i, j) for i in js for j in js if i <= j]
@@ -132,8 +136,25 @@ def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust:
          dn AS (PARTITION BY k.st ORDER BY k.t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
             f"""res AS (SELECT z.id, {', '.join(res)} FROM (SELECT zz.*, exp({lp}) AS r FROM zz, fin) z
   JOIN path y ON y.st = z.st AND y.t = z.b JOIN path y0 ON y0.st = z.st AND y0.t = z.a GROUP BY z.id)""",
-            f"meat AS MATERIALIZED (SELECT {meat} AS w FROM res)",
         ]
+        source = "res"
+        if ends:
+            source = "res_all"
+            k = ", ".join(f"coalesce(sum(tl * r * {'1' if j == 0 else f'x{j}'}), 0) AS k{j}" for j in (0, *js))
+            cells = ", ".join(f"cq.k{j} * cq.b0 - cq.k0 * cq.b{j} AS q{j}" for j in js)
+            parts += [
+                f"ends_ AS MATERIALIZED ({ends})",
+                f"late_ AS MATERIALIZED (SELECT b AS t, {k} FROM (SELECT zz.*, exp({lp}) AS r FROM zz, fin) WHERE tl > 0 GROUP BY b)",
+                f"""cq AS MATERIALIZED (SELECT u.time AS u, u.n - u.d AS y, u.c,
+  {', '.join(f"coalesce((SELECT sum(k{j}) FROM late_ WHERE t <= u.time), 0) AS k{j}" for j in (0, *js))},
+  {', '.join(f"coalesce((SELECT sum(gm * ph{j}) FROM own WHERE t > u.time), 0) AS b{j}" for j in (0, *js))}
+  FROM gr u WHERE u.c > 0)""",
+                f"hq AS MATERIALIZED (SELECT u, y, c, {', '.join(f'CASE WHEN y > c THEN q{j} / (y - c) ELSE 0 END AS h{j}' for j in js)} FROM (SELECT u, y, c, {cells} FROM cq))",
+                f"""psi AS (SELECT e.id, {', '.join(f"sum(CASE WHEN u = e.b AND e.mark = 2 THEN h{j} ELSE 0 END - CASE WHEN u < e.b OR e.mark <> 1 THEN h{j} * c / y ELSE 0 END) AS l{j}" for j in js)}
+  FROM ends_ e JOIN hq ON u > e.a AND u <= e.b GROUP BY e.id)""",
+                f"res_all AS (SELECT id, {', '.join(f'sum(l{j}) AS l{j}' for j in js)} FROM (SELECT * FROM res UNION ALL SELECT * FROM psi) GROUP BY id)",
+            ]
+        parts.append(f"meat AS MATERIALIZED (SELECT {meat} AS w FROM {source})")
         rse = ("sqrt(list_dot_product(v1.v[j], list_transform(meat.w, lambda row: list_dot_product(row, v1.v[j]))))")
     labels = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
     parts.append(f"""raw AS MATERIALIZED (SELECT {labels}[j] AS term, [{bs}][j] AS coef, sqrt(v1.v[j][j]) AS se, {rse} AS robust_se

@@ -84,18 +84,20 @@ FROM fin{', meat' if cluster else ''}
 
 
 def _fit(terms, d, ties, source="cp", a="start_time", b="end_time", st="0", rival="FALSE", views=("cp",),
-         pre="", robust=False, tail=False, select=None) -> str:
+         pre="", robust=False, tail=False, select=None, ends=None) -> str:
     """Statement for a fit with many terms; ``select`` is what to take from ``out``."""
     rows = (f"SELECT {st} AS st, {a} AS a, {b} AS b, CAST({d} AS INTEGER) AS d, id, {rival} AS rival, "
             + ", ".join(f"CAST({t} AS DOUBLE) AS x{j}" for j, t in enumerate(terms, 1))
             + f" FROM {source} WHERE " + " AND ".join(f"{t} IS NOT NULL" for t in terms))
-    more = ",\n".join(part.strip() for part in (pre, G_CTE if tail else "", fit_sql(rows, terms, ties, tail, robust)) if part)
+    more = ",\n".join(part.strip() for part in (pre, G_CTE if tail else "", fit_sql(rows, terms, ties, tail, robust, ends)) if part)
     return sql_with(*views, recursive=True, more=more) + f"SELECT {select or rounded()} FROM out"
 
 
-def _fine_gray(terms, cause, ties, source="basal", a="0", b="time", event="event_numeric", **more) -> str:
+def _fine_gray(terms, cause, ties, source="basal", a="0", b="time", event="event_numeric", known_weights=False, **more) -> str:
+    ends = f"SELECT id, {a} AS a, {b} AS b, CASE WHEN {event} <> 0 THEN 1 WHEN {b} = time THEN 2 ELSE 0 END AS mark FROM {source}"
     return _fit(terms, f"{event} = {cause}", ties, source=source, a=a, b=b, views=("cp", "basal"),
-                rival=f"({event} NOT IN (0, {cause}))", robust=True, tail=True, **more)
+                rival=f"({event} NOT IN (0, {cause}))", robust=True, tail=True,
+                ends=None if known_weights else ends, **more)
 
 
 def _rows(source, x, d, a="start_time", b="end_time", st="0", rival=""):
@@ -167,7 +169,7 @@ def cox_cluster(spark, sf_dir):
                    ties="breslow", cluster="id").summary()
 
 
-@query("cox_weighted", _fine_gray(["age", "sex", "marker"], 1, "efron"))
+@query("cox_weighted", _fine_gray(["age", "sex", "marker"], 1, "efron", known_weights=True))
 def cox_weighted(spark, sf_dir):
     """The expanded Fine-Gray table, fitted as an ordinary weighted model."""
     b = fx.basal(spark, sf_dir)

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import (
     any_by_subject, any_flag, apply_labels, check_unique, dedupe_by_key, diagnostic_visit, drop_work,
-    final_event_date, first_match_visit, first_per_group, flag_when, gather, interval_join,
+    final_event_date, first_match_rows, first_per_group, flag_when, gather, interval_join,
     last_per_group, le_missing_low, locf, long_to_wide, lookup_neighbor, lt_missing_low, merge_full,
     merge_left, merge_left_many, neighbor_visits, nullify, override, read_table, recode, rename_all,
     response_label, round_even, select_numbered, select_prefix, try_number, union_cohorts,
-    visit_sequence, wide_to_long, write_table,
+    wide_to_long, write_table,
 )
-from ..operators.scan import hour_chunk
+from ..operators.reshape import number_visits
+from ..operators.scan import day_chunk, hour_chunk
 from . import fixtures as fx
 from .fixtures import sql_with, table
 from .registry import query
@@ -319,30 +320,31 @@ def treatment_at_visit(spark, sf_dir):
     return first.select("id", "visit_key", "visitdt", "indication", "line")
 
 
-_CAL_SQL = """
-cal AS (SELECT id, """ + ", ".join(
-    f"max(CASE WHEN n = {i} THEN visitdt END) AS dt_{i}" for i in range(1, 6)) + """
-  FROM (SELECT id, visitdt, row_number() OVER (PARTITION BY id ORDER BY visitdt) AS n FROM visits) GROUP BY id)
-"""
-# protocol order of the five calendar slots; it deliberately differs from date order
-_SLOTS = {"IN": "dt_2", "D8": "dt_4", "AD0": "dt_1", "AD8": "dt_3", "EOS": "dt_5"}
+# protocol order of the first five visits (by number: code); it deliberately differs from date order
+_PROTOCOL = {2: "IN", 4: "D8", 1: "AD0", 3: "AD8", 5: "EOS"}
 
 
-@query("first_match_visit", sql_with("visits", "treatment", more=_CAL_SQL) + """
-SELECT id, CAST(onset AS VARCHAR) AS onset, visit, date_diff('day', onset, matched) AS days_from_start FROM (
-  SELECT t.id, t.tr_start AS onset,
-    CASE WHEN t.tr_start <= dt_2 THEN 'IN' WHEN t.tr_start <= dt_4 THEN 'D8' WHEN t.tr_start <= dt_1 THEN 'AD0'
-         WHEN t.tr_start <= dt_3 THEN 'AD8' WHEN t.tr_start <= dt_5 THEN 'EOS' END AS visit,
-    CASE WHEN t.tr_start <= dt_2 THEN dt_2 WHEN t.tr_start <= dt_4 THEN dt_4 WHEN t.tr_start <= dt_1 THEN dt_1
-         WHEN t.tr_start <= dt_3 THEN dt_3 WHEN t.tr_start <= dt_5 THEN dt_5 END AS matched
-  FROM treatment t LEFT JOIN cal c ON t.id = c.id)
+@query("first_match_visit", sql_with("visits", "treatment", more="""
+cal AS (SELECT id, visitdt, n, CASE n WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE n END AS place,
+    CASE n WHEN 2 THEN 'IN' WHEN 4 THEN 'D8' WHEN 1 THEN 'AD0' WHEN 3 THEN 'AD8' WHEN 5 THEN 'EOS' ELSE 'V' || n END AS visit
+  FROM (SELECT id, visitdt, row_number() OVER (PARTITION BY id ORDER BY visitdt) AS n FROM visits)),
+best AS (SELECT t.id, t.tr_start, min(place) AS place FROM (SELECT DISTINCT id, tr_start FROM treatment) t
+  JOIN cal c ON c.id = t.id AND c.visitdt >= t.tr_start GROUP BY t.id, t.tr_start)
+""") + """
+SELECT t.id, CAST(t.tr_start AS VARCHAR) AS onset, c.visit, date_diff('day', t.tr_start, c.visitdt) AS days_from_start
+FROM treatment t LEFT JOIN best b ON b.id = t.id AND b.tr_start = t.tr_start
+LEFT JOIN cal c ON c.id = b.id AND c.place = b.place
 """)
 def first_match(spark, sf_dir):
-    cal = visit_sequence(fx.visits(spark, sf_dir), "id", ["visitdt"], "visitdt", 5, "dt_")
+    """Every visit is a row of the calendar; those after the protocol's five come in order of date."""
+    cal = number_visits(fx.visits(spark, sf_dir).select("id", "visitdt"), "id", ["visitdt"], chunk=day_chunk("visitdt"))
+    codes = F.create_map(*[F.lit(x) for k, v in _PROTOCOL.items() for x in (k, v)])
+    places = F.create_map(*[F.lit(x) for i, k in enumerate(_PROTOCOL, 1) for x in (k, i)])
+    cal = cal.withColumns({"place": F.coalesce(places[F.col("n")], F.col("n")),
+                           "code": F.coalesce(codes[F.col("n")], F.concat(F.lit("V"), F.col("n").cast("string")))})
     onsets = fx.treatment(spark, sf_dir).select("id", F.col("tr_start").alias("onset"))
-    df = merge_left(onsets, cal, ["id"])
-    df = first_match_visit(df, "onset", _SLOTS, offsets={"days_from_start": "onset"})
-    return df.select("id", "onset", "visit", F.col("days_from_start").cast("long").alias("days_from_start"))
+    df = first_match_rows(onsets, cal, "id", "onset", "visitdt", "place", "code", chunk=day_chunk)
+    return df.select("id", "onset", "visit", F.datediff("matched", "onset").cast("long").alias("days_from_start"))
 
 
 @query("diagnostic_visit", sql_with("visits", more="""
@@ -420,11 +422,10 @@ def to_wide(spark, sf_dir):
 
 
 @query("visit_sequence", sql_with("visits") + """
-SELECT id, """ + ", ".join(f"max(CASE WHEN n = {i} THEN visit_key END) AS v{i}" for i in range(1, 9)) + """
-FROM (SELECT id, visit_key, row_number() OVER (PARTITION BY id ORDER BY visitdt) AS n FROM visits) GROUP BY id
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY visitdt) AS INTEGER) AS n, visit_key FROM visits
 """)
 def sequence_query(spark, sf_dir):
-    return visit_sequence(fx.visits(spark, sf_dir), "id", ["visitdt"], "visit_key", 8)
+    return number_visits(fx.visits(spark, sf_dir), "id", ["visitdt"], chunk=day_chunk("visitdt")).select("id", "n", "visit_key")
 
 
 @query("gather", """

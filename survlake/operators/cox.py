@@ -37,7 +37,8 @@ from .scan import TIMES_PER_CHUNK, fits_broadcast, running, tie_sums
 from ..sources.io import materialize
 
 MAX_STEPS = 30
-CLAMP = 200.0
+#: A term whose information is smaller than this share of its own after the terms before it is aliased.
+ALIASED = 1e-9
 
 
 def _exp(x: float) -> float:
@@ -68,6 +69,7 @@ class CoxModel:
     strata: list[str] = field(default_factory=list)
     hazard_table: DataFrame | None = None
     means: np.ndarray | None = None
+    aliased: np.ndarray | None = None     # terms that the ones before them (or a constant) already say
 
     @property
     def var(self) -> np.ndarray:
@@ -80,20 +82,28 @@ class CoxModel:
         use = se if rse is None else rse
         rows = []
         for i, term in enumerate(self.terms):
+            if self.aliased is not None and self.aliased[i]:
+                rows.append((term, *[None] * 8, self.converged))
+                continue
             b = float(self.coef[i])
             s = float(use[i])
             z = b / s if s > 0 else float("nan")
             rows.append((term, b, _exp(b), _exp(b - z_crit * s), _exp(b + z_crit * s),
                          float(se[i]), None if rse is None else float(rse[i]), z,
-                         math.erfc(abs(z) / math.sqrt(2))))
+                         math.erfc(abs(z) / math.sqrt(2)), self.converged))
         return rows
 
     def summary(self) -> DataFrame:
-        """``(term, coef, hr, lower, upper, se, robust_se, z, p)``, one row per term."""
+        """``(term, coef, hr, lower, upper, se, robust_se, z, p, converged)``, one row per term.
+
+        A term that is constant or a combination of the terms before it has nulls.
+        ``converged`` is false for all terms of a fit that did not come to rest, as
+        where a term separates events from the rest; its numbers are where it stopped.
+        """
         return self.spark.createDataFrame(
             self.summary_rows(),
             "term string, coef double, hr double, lower double, upper double, "
-            "se double, robust_se double, z double, p double")
+            "se double, robust_se double, z double, p double, converged boolean")
 
     def baseline_hazard(self) -> DataFrame:
         """Cumulative baseline hazard ``(strata…, time, hazard)`` at the mean covariates."""
@@ -188,11 +198,12 @@ class _Fit:
         # one job: sums per (stratum, stop), then over all of them
         each = [f"sum({v}) AS {n}_{x}" for x in self.xs
                 for n, v in (("s", x), ("q", f"{x} * {x}"), ("e", f"_w * _delta * {x}"))]
+        ends = [(f, f"{f}_{x}", x) for x in self.xs for f in ("min", "max")]
         by_stop = rows.groupBy("_stratum", "_stop").agg(*[F.expr(e) for e in (
-            "count(1) AS n", "sum(_delta) AS d", "sum(_w * _delta) AS wd", *each)])
+            "count(1) AS n", "sum(_delta) AS d", "sum(_w * _delta) AS wd", *each, *[f"{f}({x}) AS {n}" for f, n, x in ends])])
         first = by_stop.agg(*[F.expr(e) for e in (
             "count(1) AS stops", "max(d) AS ties", "sum(n) AS n", "sum(d) AS d", "sum(wd) AS wd",
-            *[f"sum({n}_{x}) AS {n}_{x}" for x in self.xs for n in "sqe"])]).first()
+            *[f"sum({n}_{x}) AS {n}_{x}" for x in self.xs for n in "sqe"], *[f"{f}({n}) AS {n}" for f, n, _ in ends])]).first()
         if not first["n"] or not first["d"]:
             raise ValueError("no complete rows with an event")
         self.n, self.d, self.max_ties = first["n"], first["d"], first["ties"]
@@ -203,6 +214,7 @@ class _Fit:
         self.means = np.array([first[f"s_{x}"] / self.n for x in self.xs])
         spread = np.array([first[f"q_{x}"] / self.n for x in self.xs]) - self.means ** 2
         self.scale = np.where(spread > 1e-12 * self.means ** 2, np.sqrt(np.maximum(spread, 0)), 1.0)
+        self.low, self.high = ((np.array([first[f"{f}_{x}"] for x in self.xs]) - self.means) / self.scale for f in ("min", "max"))
         self.s = np.array([first[f"e_{x}"] for x in self.xs])
         self.s = (self.s - first["wd"] * self.means) / self.scale
         # every step works on centred, scaled covariates
@@ -212,11 +224,17 @@ class _Fit:
 
     # -- one point of the likelihood ---------------------------------------
 
+    def shift(self, beta) -> float:
+        """No row's linear predictor is larger: taken off before ``exp``, so nothing overflows.
+
+        Risk-set sums and hazards carry it as a factor that cancels out wherever they meet.
+        """
+        return float(np.maximum(beta * self.low, beta * self.high).sum())
+
     def scored(self, beta) -> DataFrame:
-        """Rows with ``_lp`` and the weighted risk score ``_r``."""
-        lp = " + ".join(["0D", *[f"{float(b)!r}D * {x}" for b, x in zip(beta, self.xs)]])
-        return (self.z.selectExpr("*", f"least(greatest({lp}, {-CLAMP}D), {CLAMP}D) AS _lp")
-                .selectExpr("*", "_w * exp(_lp) AS _r"))
+        """Rows with the shifted linear predictor ``_lp`` and the weighted risk score ``_r``."""
+        lp = " + ".join([f"{-self.shift(beta)!r}D", *[f"{float(b)!r}D * {x}" for b, x in zip(beta, self.xs)]])
+        return self.z.selectExpr("*", f"{lp} AS _lp").selectExpr("*", "_w * exp(_lp) AS _r")
 
     def hazard(self, beta, residual_terms: bool = False) -> DataFrame:
         """Per (stratum, time): risk-set sums, hazard increments and their running sums.
@@ -340,9 +358,11 @@ class _Fit:
         p = self.p
         beta = np.zeros(p)
         ll, u, info = self.step_sums(beta)
-        null_ll, steps, converged = ll, 0, p == 0
-        while p and steps < MAX_STEPS:
-            step = _solve(info, u)
+        free = _independent(info)
+        null_ll, steps, converged = ll, 0, not free.any()
+        while not converged and steps < MAX_STEPS:
+            step = np.zeros(p)
+            step[free] = _solve(info[np.ix_(free, free)], u[free])
             steps += 1
             if np.max(np.abs(step)) <= tol:
                 beta, converged = beta + step, True
@@ -350,27 +370,30 @@ class _Fit:
             new = beta + step
             new_ll, new_u, new_info = self.step_sums(new)
             halvings = 0
-            while not (new_ll >= ll - 1e-9 * abs(ll)) and halvings < 10:
+            while not (new_ll >= ll - 1e-9 * abs(ll)) and halvings < 10:     # also where sums left the range of doubles
                 step, halvings = step / 2, halvings + 1
                 new = beta + step
                 new_ll, new_u, new_info = self.step_sums(new)
+            if not new_ll >= ll - 1e-9 * abs(ll):
+                break
             # a likelihood that no longer moves while a coefficient runs off: separation
             stalled = abs(new_ll - ll) <= 1e-12 * abs(ll) and np.max(np.abs(step)) > 1e-3
             beta, ll, u, info = new, new_ll, new_u, new_info
             if stalled:
                 break
-        var = _inverse(info) if p else np.zeros((0, 0))
+        var = np.zeros((p, p))
+        var[np.ix_(free, free)] = _inverse(info[np.ix_(free, free)])
         rvar = self.sandwich(beta, var, clustered) if robust and p else None
         to_raw = np.outer(1 / self.scale, 1 / self.scale) if p else 1.0
         table = None
         if baseline:
             table, _ = materialize(self.hazard(beta).where(F.col("d") > 0).select(
-                *_unpack(strata), "time", F.col("A").alias("hazard")))
+                *_unpack(strata), "time", (F.col("A") * math.exp(-self.shift(beta))).alias("hazard")))
             table.count()       # evaluated now: the rows behind it are freed after the fit
         return CoxModel(
             spark, terms, beta / self.scale, var * to_raw, None if rvar is None else rvar * to_raw,
             (null_ll, ll), self.n, self.d, steps, converged,
-            float(np.linalg.cond(info)) if p else 1.0, strata, table, self.means)
+            float(np.linalg.cond(info[np.ix_(free, free)])) if free.any() else 1.0, strata, table, self.means, ~free)
 
     def sandwich(self, beta, var, clustered) -> np.ndarray:
         """``V (Σ L Lᵀ) V`` with the score residuals ``L`` summed per cluster."""
@@ -460,6 +483,16 @@ def _unpack(strata: Sequence[str]) -> list[Column]:
 # --- driver-side p×p algebra ----------------------------------------------
 
 
+def _independent(info: np.ndarray) -> np.ndarray:
+    """Which terms add information to those before them: elimination in the order of the terms."""
+    left, free = info.copy(), np.zeros(len(info), bool)
+    for j in range(len(info)):
+        if left[j, j] > ALIASED * max(info[j, j], 1e-300) and left[j, j] > 1e-12 * np.max(np.diag(info)):
+            free[j] = True
+            left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return free
+
+
 def _solve(info: np.ndarray, u: np.ndarray) -> np.ndarray:
     try:
         return np.linalg.solve(info, u)

@@ -178,6 +178,22 @@ def cox_weighted(spark, sf_dir):
                    cluster="id").summary()
 
 
+@query("cox_degenerate", sql_with("cp", more="""
+use AS (SELECT *, CAST(event_numeric = 1 AS INTEGER) AS died, 7 AS same, 2 * response + 1 AS twice FROM cp WHERE response IS NOT NULL),
+told AS (SELECT count(DISTINCT same) = 1 AS constant, corr(response, twice) > 1 - 1e-12 AS repeated,
+    min(died) FILTER (event_numeric = 1) > max(died) FILTER (event_numeric <> 1) AS separated FROM use)
+""") + """
+SELECT unnest(['died', 'same', 'response', 'twice']) AS term,
+       unnest([FALSE, constant, FALSE, repeated]) AS aliased, NOT separated AS converged FROM told
+""")
+def cox_degenerate(spark, sf_dir):
+    """A term that separates events from the rest, a constant one and one that repeats another."""
+    cp = fx.cp(spark, sf_dir).withColumns({
+        "died": (F.col("event_numeric") == 1).cast("int"), "same": F.lit(7), "twice": 2 * F.col("response") + 1})
+    s = cox_fit(cp, "end_time", F.col("event_numeric") == 1, ["died", "same", "response", "twice"], start="start_time").summary()
+    return s.select("term", F.col("coef").isNull().alias("aliased"), "converged")
+
+
 @query("baseline_hazard", sql_with("cp", more="""
 t AS (SELECT response, end_time AS time, count(*) AS m FROM cp WHERE event_numeric = 1 AND response IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT t.response, t.time, any_value(m) AS m, count(*) AS n FROM t

@@ -100,12 +100,37 @@ def test_separation_is_flagged(spark):
     rows = [(t, int(t <= 5), int(t <= 5)) for t in range(1, 21)]
     df = spark.createDataFrame(rows, "t int, d int, x int")
     m = cox_fit(df, "t", "d", ["x"])
-    assert not m.converged or abs(m.coef[0]) > 10
+    assert not m.converged and m.coef[0] > 10
+    assert [r.converged for r in m.summary().collect()] == [False]
+
+
+def test_aliased_terms_are_null(sdf):
+    d = sdf.withColumns({"one": F.lit(3.0), "both": F.col("x1") * 2 - F.col("x2") + 1})
+    m = cox_fit(d, "t1", F.col("ev") == 1, ["one", "x1", "x2", "both"], start="t0", cluster="id")
+    plain = cox_fit(d, "t1", F.col("ev") == 1, ["x1", "x2"], start="t0", cluster="id")
+    got = {r.term: r for r in m.summary().collect()}
+    for r in plain.summary().collect():
+        for c in ("coef", "hr", "lower", "upper", "se", "robust_se", "z", "p"):
+            assert abs(got[r.term][c] - r[c]) < 1e-8
+    for t in ("one", "both"):
+        assert all(got[t][c] is None for c in ("coef", "hr", "se", "robust_se", "z", "p")) and got[t].converged
+    assert m.converged
+
+
+def test_large_linear_predictors(sdf):
+    """A term far from 0 shifts nothing and overflows nothing."""
+    far = sdf.withColumn("x1", F.col("x1") * 1e6 + 1e9)
+    a = cox_fit(sdf, "t1", F.col("ev") == 1, ["x1", "x2"], start="t0", baseline=True)
+    b = cox_fit(far, "t1", F.col("ev") == 1, ["x1", "x2"], start="t0", baseline=True)
+    np.testing.assert_allclose(a.coef, b.coef * [1e6, 1], rtol=1e-4)
+    np.testing.assert_allclose(a.loglik, b.loglik, rtol=1e-9)
+    ha, hb = (dict(m.baseline_hazard().collect()) for m in (a, b))
+    np.testing.assert_allclose([ha[t] for t in sorted(ha)], [hb[t] for t in sorted(hb)], rtol=1e-5)
 
 
 def test_summary_columns(sdf):
     s = cox_fit(sdf, "t1", F.col("ev") == 1, X, start="t0").summary()
-    assert s.columns == ["term", "coef", "hr", "lower", "upper", "se", "robust_se", "z", "p"]
+    assert s.columns == ["term", "coef", "hr", "lower", "upper", "se", "robust_se", "z", "p", "converged"]
     r = s.where("term = 'x1'").first()
     assert r.lower < r.hr < r.upper and r.robust_se is None
     assert abs(r.hr - np.exp(r.coef)) < 1e-12

@@ -169,4 +169,4 @@ def fit_sql(rows: str, terms: list[str], ties: str, tail: bool = False, robust:
 
 def rounded(digits: int = 6) -> str:
     return "term, " + ", ".join(
-        f"round({c}, {digits}) + 0.0 AS {c}" for c in ("coef", "hr", "lower", "upper", "se", "robust_se", "z", "p")) + ", TRUE AS converged"
+        f"round({c}, {digits}) + 0.0 AS {c}" for c in ("coef", "hr", "lower", "upper", "se", "robust_se", "z", "p")) + ", CAST(1 AS BIGINT) AS converged"

@@ -184,7 +184,7 @@ told AS (SELECT count(DISTINCT same) = 1 AS constant, corr(response, twice) > 1
     min(died) FILTER (event_numeric = 1) > max(died) FILTER (event_numeric <> 1) AS separated FROM use)
 """) + """
 SELECT unnest(['died', 'same', 'response', 'twice']) AS term,
-       unnest([FALSE, constant, FALSE, repeated]) AS aliased, NOT separated AS converged FROM told
+       CAST(unnest([FALSE, constant, FALSE, repeated]) AS BIGINT) AS aliased, CAST(NOT separated AS BIGINT) AS converged FROM told
 """)
 def cox_degenerate(spark, sf_dir):
     """A term that separates events from the rest, a constant one and one that repeats another."""

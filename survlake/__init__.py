@@ -12,8 +12,8 @@ from .operators.describe import (
 )
 from .operators.finegray import finegray_expand, finegray_fit
 from .operators.joins import (
-    asof_join, check_unique, first_match_rows, first_match_visit, interval_join, lookup_neighbor,
-    merge_full, merge_left, merge_left_many,
+    asof_join, assert_unique, check_unique, first_match_rows, first_match_visit, interval_join, lookup_neighbor,
+    merge_full, merge_left, merge_left_many, treatment_onsets,
 )
 from .operators.landmark import (
     landmark_counts, landmark_cut, landmark_grid, landmark_supermodel,
@@ -22,7 +22,7 @@ from .operators.longitudinal import (
     any_by_subject, baseline_rows, counting_process, dedupe_by_key,
     diagnostic_visit, expand_days, final_event_date, first_per_group,
     last_per_group, locf, neighbor_visits, next_state, response_label,
-    union_cohorts,
+    union_cohorts, vanished_subjects,
 )
 from .operators.multistate import (
     assign_states, expand_transitions, probabilities_long, transition_cox,
@@ -31,7 +31,7 @@ from .operators.multistate import (
 from .operators.report import (
     all_models_table, endpoint_table, significance_mark,
 )
-from .operators.reshape import gather, long_to_wide, number_visits, visit_sequence, wide_to_long
+from .operators.reshape import FIRST_TOKEN, LAST_TOKEN, gather, long_to_wide, number_visits, visit_sequence, wide_to_long
 from .operators.risk import (
     censoring_weights, combined_endpoint, compare_km_cif, cumulative_incidence,
     kaplan_meier, nelson_aalen, relevel_event, risk_table, survival_response,

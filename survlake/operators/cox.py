@@ -202,11 +202,11 @@ class _Fit:
         by_stop = rows.groupBy("_stratum", "_stop").agg(*[F.expr(e) for e in (
             "count(1) AS n", "sum(_delta) AS d", "sum(_w * _delta) AS wd", *each, *[f"{f}({x}) AS {n}" for f, n, x in ends])])
         first = by_stop.agg(*[F.expr(e) for e in (
-            "count(1) AS stops", "max(d) AS ties", "sum(n) AS n", "sum(d) AS d", "sum(wd) AS wd",
+            "count(1) AS stops", "sum(n) AS n", "sum(d) AS d", "sum(wd) AS wd",
             *[f"sum({n}_{x}) AS {n}_{x}" for x in self.xs for n in "sqe"], *[f"{f}({n}) AS {n}" for f, n, _ in ends])]).first()
         if not first["n"] or not first["d"]:
             raise ValueError("no complete rows with an event")
-        self.n, self.d, self.max_ties = first["n"], first["d"], first["ties"]
+        self.n, self.d = first["n"], first["d"]
         # the number of distinct times is known now: only a fine axis is measured further
         few = splits == "auto" and first["stops"] <= TIMES_PER_CHUNK
         self.splits = [] if few else resolve_splits(rows, "_stop", splits)
@@ -280,7 +280,7 @@ class _Fit:
         keep += [f"s{x}" for x in each]
 
         if efron:
-            grid = tie_sums(grid, key, "m", "s", "e", self.max_ties).selectExpr(
+            grid = tie_sums(grid, "m", "s", "e").selectExpr(
                 "*", "if(d > 0, d / m, 0D) AS f")
         else:
             grid = grid.selectExpr(

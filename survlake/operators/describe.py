@@ -88,11 +88,12 @@ def describe_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per 0/1 variable: % yes of *all* rows, % missing."""
-    long = gather(df.select(*[F.col(c).cast("int").alias(c) for c in cols]), cols)
-    return long.groupBy("variable").agg(
-        (F.coalesce(F.sum("value"), F.lit(0)) / F.count(F.lit(1)) * 100).alias("yes_pct"),
-        ((1 - F.count("value") / F.count(F.lit(1))) * 100).alias("missing_pct"))
+    """Per 0/1 variable: % yes of *all* rows, % missing. One row of sums, then unpivoted; no row for an empty table."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[s for c in cols for s in (
+        F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).alias(f"_yes_{c}"), F.count(c).alias(f"_known_{c}"))])
+    return one.where(F.col("_n") > 0).select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("variable"), (F.col(f"_yes_{c}") / F.col("_n") * 100).alias("yes_pct"),
+        ((1 - F.col(f"_known_{c}") / F.col("_n")) * 100).alias("missing_pct")) for c in cols])).alias("_v")).select("_v.*")
 
 
 # --- by day ----------------------------------------------------------------

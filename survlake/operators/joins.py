@@ -21,13 +21,32 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
-def merge_full(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """``df``, raising in the same job when a key occurs twice (rows with a null key are not looked at).
+
+    The check is a one-row look back along the sorted keys. A merge on the same keys
+    uses the partitioning and the order it leaves; a repeated key raises at its
+    second row, whatever the number of its rows.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    again = F.lag(F.lit(1)).over(Window.partitionBy(*keys).orderBy(*keys)).isNotNull()
+    told = F.concat_ws(", ", F.lit(f"{what}: key ({', '.join(keys)}) occurs twice"), *[F.col(k).cast("string") for k in keys])
+    return df.withColumn("_again", known & again).where(
+        F.when(F.col("_again"), F.raise_error(told).cast("boolean")).otherwise(True)).drop("_again")
+
+
+def merge_full(a: DataFrame, b: DataFrame, on: Sequence[str], unique: bool = False) -> DataFrame:
     """Full match-merge on unique keys.
 
     For a column present on both sides the right table wins wherever it has a
-    row, even if its value is missing.
+    row, even if its value is missing. ``unique=True`` raises when a key occurs twice
+    on either side.
     """
     on = list(on)
+    if unique:
+        a, b = assert_unique(a, on, "left table"), assert_unique(b, on, "right table")
     shared = [c for c in b.columns if c in a.columns and c not in on]
     right = b.select(*on, F.lit(True).alias("_right"),
                      *[F.col(c).alias(f"_r_{c}") if c in shared else F.col(c)
@@ -40,9 +59,14 @@ def merge_full(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def merge_left(a: DataFrame, b: DataFrame, on: Sequence[str],
-               cols: Sequence[str] | None = None) -> DataFrame:
-    """Keep every row of ``a``; take ``cols`` (default: all new ones) from ``b``."""
+               cols: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+    """Keep every row of ``a``; take ``cols`` (default: all new ones) from ``b``.
+
+    ``unique=True`` raises when a key of ``b`` occurs twice, which would repeat rows of ``a``.
+    """
     on = list(on)
+    if unique:
+        b = assert_unique(b, on, "right table")
     if cols is None:
         cols = [c for c in b.columns if c not in a.columns]
     return a.join(b.select(*on, *cols), on, "left").select(*a.columns, *cols)
@@ -59,8 +83,13 @@ def merge_left_many(df: DataFrame, others: Sequence[tuple]) -> DataFrame:
 
 
 def lookup_neighbor(df: DataFrame, other: DataFrame, id: str, neighbor: str,
-                    visit: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """Fetch ``cols`` of the visit named in column ``neighbor`` as ``prefix + col``."""
+                    visit: str, cols: Sequence[str], prefix: str, unique: bool = False) -> DataFrame:
+    """Fetch ``cols`` of the visit named in column ``neighbor`` as ``prefix + col``.
+
+    ``unique=True`` raises when ``other`` has two rows of one visit.
+    """
+    if unique:
+        other = assert_unique(other, [id, visit], "visits")
     side = other.select(F.col(id), F.col(visit).alias(neighbor),
                         *[F.col(c).alias(prefix + c) for c in cols])
     return df.join(side, [id, neighbor], "left").select(*df.columns, *[prefix + c for c in cols])
@@ -104,17 +133,18 @@ def _bin(date: Column, width: int) -> Column:
 
 
 def asof_join(df: DataFrame, grid: Sequence[int], id: str, rtime: str,
-              closed: str = "left", out: str = "LM", chunk: Column | None = None) -> DataFrame:
+              closed: str = "left", out: str = "LM", chunk: Column | None = None,
+              ties: Sequence[str] = ()) -> DataFrame:
     """For every grid time the last row per subject before it.
 
-    ``closed='left'`` takes rows strictly before the grid time, ``'right'``
+    Of rows at one time the last in the order of ``ties`` is taken. ``closed='left'`` takes rows strictly before the grid time, ``'right'``
     also a row exactly on it. Instead of pairing rows with the grid and ranking,
     each row finds how long it stays the latest one (time of the next row) and
     emits only the grid times in that stretch.
     """
     if closed not in ("left", "right"):
         raise ValueError("closed must be 'left' or 'right'")
-    nxt = next_value(df, id, [rtime], {"_next": rtime}, chunk)
+    nxt = next_value(df, id, [rtime, *ties], {"_next": rtime}, chunk)
     times = F.array(*[F.lit(g) for g in sorted(grid)])
     if closed == "left":
         covers = lambda g: (g > F.col(rtime)) & (F.col("_next").isNull() | (g <= F.col("_next")))
@@ -173,3 +203,27 @@ def first_match_rows(df: DataFrame, calendar: DataFrame, id: str, onset: str, da
     valid = F.col("_id").isNotNull() & F.col("_at").isNotNull()
     return done.where("_kind = 1").select("_row.*", F.when(valid, F.col("_found.visit")).alias(out),
                                           F.when(valid, F.col("_found.date")).alias(matched))
+
+
+def treatment_onsets(spans: DataFrame, calendar: DataFrame, id: str, start: str, end: str, date: str, rank: str,
+                     visit: str, flag: str | None = None, chunk: Callable[[str], Column] | None = None) -> DataFrame:
+    """At which visit did a treatment begin? ``(id, rule, visit, days_from_start, days_from_end)``.
+
+    Rule ``onset``: every span with a start belongs to the first visit, by protocol ``rank``, dated on or
+    after it (none: null); an open end counts as its start, and the days run from start and end to the
+    visit. Rule ``flag``: the first visit by protocol whose ``flag`` is true, one row per subject, no days.
+    """
+    begun = spans.where(F.col(start).isNotNull()).select(
+        id, F.col(start).alias("_start"), F.coalesce(F.col(end), F.col(start)).alias("_end"))
+    found = first_match_rows(begun, calendar, id, "_start", date, rank, visit, "_visit", "_matched", chunk)
+    found = found.select(id, F.lit("onset").alias("rule"), F.col("_visit").alias("visit"),
+                         F.datediff("_matched", "_start").alias("days_from_start"),
+                         F.datediff("_matched", "_end").alias("days_from_end"))
+    if flag is None:
+        return found
+    # a combining aggregate: a subject with very many flagged visits sends one row per map task
+    flagged = calendar.where(F.col(flag) & F.col(id).isNotNull()).groupBy(id).agg(
+        F.min(F.struct(rank, visit)).alias("_v")).select(
+            id, F.lit("flag").alias("rule"), F.col(f"_v.{visit}").alias("visit"),
+            F.lit(None).cast("int").alias("days_from_start"), F.lit(None).cast("int").alias("days_from_end"))
+    return found.unionByName(flagged)

@@ -67,16 +67,13 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     return first_per_group(df, keys, order_by)
 
 
-def expand_days(df: DataFrame, start: str, end: str, out: str = "day",
-                max_days: int | None = None) -> DataFrame:
+def expand_days(df: DataFrame, start: str, end: str, out: str = "day") -> DataFrame:
     """One row per day in ``[start, end - 1]``; empty intervals give no row.
 
-    ``max_days`` ends the output at that day. For counts and rates per day use
-    :func:`..describe.daily_prevalence`, which never builds these rows.
+    For counts and rates per day use :func:`..describe.daily_prevalence`, which
+    never builds these rows.
     """
     last = F.col(end) - 1
-    if max_days is not None:
-        last = F.least(last, F.lit(max_days))
     return (df.where(F.col(start) <= last)
             .withColumn(out, F.explode(F.sequence(F.col(start).cast("int"), last.cast("int")))))
 
@@ -85,14 +82,17 @@ def counting_process(df: DataFrame, id: str, visit: str, origin: str, final: str
                      status: str, chunk: Column | None = None) -> DataFrame:
     """Visits to ``(start_time, end_time]`` intervals in days since ``origin``.
 
-    Needs one row per ``(id, visit date)``. An interval runs to the next visit,
-    the last one to ``final``. Visits on the final date are dropped after the
+    Needs one row per ``(id, visit date)`` and raises on a second one: the same
+    scan that finds the next visit sees it. An interval runs to the next visit, the
+    last one to ``final``. Visits on the final date are dropped after the
     next dates were taken, so the interval before them carries the event.
     ``event_numeric`` is ``status`` on the interval that ends at ``final``, else 0.
     """
     df = next_value(df, id, [visit], {"post_date": visit}, chunk)
+    twice = F.concat(F.lit(f"two visits of one {id} on one {visit}: "), F.concat_ws(", ", F.col(id).cast("string"), F.col(visit).cast("string")))
+    df = df.where(F.when(F.col("post_date") == F.col(visit), F.raise_error(twice).cast("boolean"))
+                  .otherwise(F.col(visit) != F.col(final)))
     df = df.withColumn("post_date", F.coalesce("post_date", final))
-    df = df.where(F.col(visit) != F.col(final))
     return df.withColumns({
         "time": F.datediff(final, origin),
         "start_time": F.datediff(visit, origin),
@@ -106,6 +106,18 @@ def baseline_rows(cp: DataFrame, id: str, status: str) -> DataFrame:
     return first_per_group(cp, id, ["start_time"]).withColumn("event_numeric", F.col(status))
 
 
+def vanished_subjects(before: DataFrame, after: DataFrame, id: str) -> DataFrame:
+    """Subjects of ``before`` that have no row in ``after``, with the number of rows they had.
+
+    Both sides are counted before the shuffle and meet in one aggregate, so no row
+    of either is joined.
+    """
+    sides = [df.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("_n")).withColumn("_side", F.lit(k))
+             for k, df in enumerate((before, after))]
+    n = [F.sum(F.when(F.col("_side") == k, F.col("_n"))).alias(c) for k, c in enumerate(("n_rows", "_kept"))]
+    return sides[0].unionByName(sides[1]).groupBy(id).agg(*n).where(F.col("_kept").isNull()).drop("_kept")
+
+
 def next_state(df: DataFrame, id: str, order_by: Sequence[str], state: str, out: str,
                terminal: Column | None = None, chunk: Column | None = None) -> DataFrame:
     """State at the following visit.

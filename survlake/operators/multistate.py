@@ -13,7 +13,7 @@ from .cox import CoxModel, cox_fit, fit_together
 from .kernels import step_products
 from .longitudinal import next_state
 from .risk import nelson_aalen, resolve_splits, survival_response
-from .scan import split_chunk
+from .scan import fits_broadcast, split_chunk
 
 
 def transition_matrix(spark: SparkSession, states: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -39,9 +39,10 @@ def expand_transitions(states: DataFrame, tmat: DataFrame) -> DataFrame:
     """One row per transition a row is at risk for, with ``to, trans, status``.
 
     One join with the (handful of) transitions instead of a copy of the data per
-    target; rows in an unknown or absorbing state have none and drop out.
+    target; rows in an unknown or absorbing state have none and drop out. The
+    transitions are counted before they are sent to every task.
     """
-    out = states.join(F.broadcast(tmat), "from")
+    out = states.join(F.broadcast(tmat) if fits_broadcast(tmat.count(), 8) else tmat, "from")
     return out.withColumn("status", F.coalesce((F.col("to") == F.col("to_event")).cast("int"), F.lit(0)))
 
 

@@ -145,7 +145,7 @@ def nelson_aalen(resp: DataFrame, strata: Sequence[str] = (), weight: str | None
     strata = list(strata)
     rt, splits = _risk_grid(resp, strata, weight, None, None, splits)
     if ties == "efron":
-        rt = tie_sums(rt, [*strata, "time"], "n_tied", "n_risk", "n_event")
+        rt = tie_sums(rt, "n_tied", "n_risk", "n_event")
         rt = rt.withColumn("_h", F.when(F.col("n_tied") > 0, F.col("n_event") / F.col("n_tied") * F.col("b0"))
                            .otherwise(0.0))
     elif ties == "breslow":

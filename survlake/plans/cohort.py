@@ -282,11 +282,14 @@ def weights_query(spark, sf_dir):
     return censoring_weights(fx.basal(spark, sf_dir), "time", "event_numeric")
 
 
-@query("finegray_expand", sql_with("basal", more=_RISK + "," + _G + """,
+_CUTS = """,
 cuts AS (SELECT time AS lo, g AS gs, lead(time, 1, (SELECT max(time) FROM ends)) OVER (ORDER BY time) AS hi FROM g WHERE c > 0
          UNION ALL SELECT 0, 1.0, (SELECT min(time) FROM g WHERE c > 0)),
 kept AS (SELECT * FROM cuts k WHERE EXISTS (SELECT 1 FROM ends e WHERE e.d1 > 0 AND e.time > k.lo AND e.time <= k.hi))
-""") + """
+"""
+
+
+@query("finegray_expand", sql_with("basal", more=_RISK + "," + _G + _CUTS) + """
 SELECT id, CAST(0 AS BIGINT) AS fgstart, time AS fgstop, CAST(event_numeric = 1 AS BIGINT) AS fgstatus, 1.0::DOUBLE AS fgwt FROM basal
 UNION ALL
 SELECT b.id, greatest(k.lo, b.time), k.hi, 0, round(k.gs / g.g_before, 6)
@@ -295,3 +298,16 @@ FROM basal b JOIN g ON g.time = b.time JOIN kept k ON k.hi > b.time WHERE b.even
 def expand_finegray(spark, sf_dir):
     b = fx.basal(spark, sf_dir).select("id", "time", "event_numeric")
     return finegray_expand(b, 1, "event_numeric", "time").select("id", "fgstart", "fgstop", "fgstatus", "fgwt")
+
+
+@query("finegray_expand_intervals", sql_with("basal", more=_RISK + "," + _G + _CUTS) + """
+SELECT id, start_time AS fgstart, end_time AS fgstop, CAST(event_numeric = 1 AS BIGINT) AS fgstatus, 1.0::DOUBLE AS fgwt FROM cp
+UNION ALL
+SELECT c.id, greatest(k.lo, c.end_time), k.hi, 0, round(k.gs / g.g_before, 6)
+FROM cp c JOIN g ON g.time = c.end_time JOIN kept k ON k.hi > c.end_time WHERE c.event_numeric = 2
+""")
+def expand_finegray_intervals(spark, sf_dir):
+    """Interval rows: a subject stays with the last covariates after a competing event."""
+    cp = fx.cp(spark, sf_dir).select("id", "start_time", "end_time", "time", "event_numeric")
+    return finegray_expand(cp, 1, "event_numeric", "end_time", "start_time", "time").select(
+        "id", "fgstart", "fgstop", "fgstatus", "fgwt")

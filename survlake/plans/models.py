@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import (
-    all_models_table, asof_join, assign_states, combined_endpoint, cox_fit, endpoint_table, expand_transitions,
+    all_models_table, asof_join, assign_states, baseline_rows, combined_endpoint, cox_fit, endpoint_table, expand_transitions,
     finegray_expand, finegray_fit, fit_together, landmark_counts, landmark_cut, landmark_grid, landmark_supermodel,
     probabilities_long, significance_mark, transition_cox, transition_hazards, transition_matrix,
     transition_probabilities,
@@ -470,6 +470,67 @@ def endpoint_finegray(spark, sf_dir):
     return endpoint_table(models)
 
 
+@query("endpoint_table_basal", _side_by_side({
+    ep: _fit(BASE_TERMS, d, "efron", source="basal", a="0", b="time", views=("basal",)) for ep, d in {
+        "death": "event_numeric = 1", "transplant": "event_numeric = 2", "either": "event_numeric > 0"}.items()}))
+def endpoint_basal(spark, sf_dir):
+    """Cause-specific models of the three endpoints on first-visit covariates."""
+    b, release = materialize(fx.basal(spark, sf_dir))
+    event = F.col("event_numeric")
+
+    def fit(hit):
+        return lambda: cox_fit(b, "time", hit, BASE_TERMS)
+
+    models = fit_together({"death": fit(event == 1), "transplant": fit(event == 2), "either": fit(event > 0)})
+    release()
+    return endpoint_table(models)
+
+
+_VARYING = {"source": "cp", "a": "start_time", "b": "end_time"}
+
+
+@query("endpoint_table_finegray_timevarying", _side_by_side({
+    "death": _fine_gray(MODEL_TERMS, 1, "efron", **_VARYING), "transplant": _fine_gray(MODEL_TERMS, 2, "efron", **_VARYING),
+    "either": _fine_gray(MODEL_TERMS, 1, "efron", event="CAST(event_numeric > 0 AS INTEGER)", **_VARYING)}))
+def endpoint_finegray_varying(spark, sf_dir):
+    """Subdistribution models of the three endpoints on time-varying covariates."""
+    cp, release = materialize(combined_endpoint(fx.cp(spark, sf_dir), "event_numeric", [1, 2], "either"))
+
+    def fit(event, cause):
+        return lambda: finegray_fit(cp, "end_time", event, cause, MODEL_TERMS, start="start_time", final="time", id="id")
+
+    models = fit_together({"death": fit("event_numeric", 1), "transplant": fit("event_numeric", 2),
+                           "either": fit("either", 1)})
+    release()
+    return endpoint_table(models)
+
+
+_LM_HITS = {"death": "status = 1", "transplant": "status = 2", "either": "status > 0"}
+
+
+def _landmark_table(spark, sf_dir, form):
+    stack, release = materialize(_stack(spark, sf_dir))
+
+    def fit(hit):
+        return lambda: landmark_supermodel(stack, MODEL_TERMS, F.expr(hit), "id", form=form)
+
+    models = fit_together({ep: fit(hit) for ep, hit in _LM_HITS.items()})
+    release()
+    return endpoint_table(models)
+
+
+@query("landmark_table", _side_by_side({ep: _fit(**_LM_STRATA | {"d": hit}) for ep, hit in _LM_HITS.items()}))
+def landmark_table(spark, sf_dir):
+    """Super-models with a baseline per landmark, the three endpoints side by side."""
+    return _landmark_table(spark, sf_dir, "strata")
+
+
+@query("landmark_table_poly", _side_by_side({ep: _fit(**_LM_POLY | {"d": hit}) for ep, hit in _LM_HITS.items()}))
+def landmark_table_poly(spark, sf_dir):
+    """Super-models with terms of the landmark time, the three endpoints side by side."""
+    return _landmark_table(spark, sf_dir, "poly")
+
+
 _TEXT = "printf('%.2f', round_even(hr, 2)) || CASE WHEN p < 0.05 THEN '*' ELSE '' END"
 
 
@@ -505,7 +566,7 @@ def _all_models_sql() -> str:
 def all_models(spark, sf_dir):
     """Every model of the first outcome, one row per term; the cohort is built once."""
     cp, release = materialize(fx.cp(spark, sf_dir))
-    basal = cp.where("start_time = 0")
+    basal = baseline_rows(cp, "id", "status")
     death = F.col("event_numeric") == 1
     stack = landmark_cut(cp, _GRID, _HORIZON, "status")
     state = F.when(F.col("marker") >= fx.THRESHOLD, "Non-responding").when(

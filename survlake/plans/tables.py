@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import (
-    any_by_subject, any_flag, apply_labels, check_unique, dedupe_by_key, diagnostic_visit, drop_work,
+    FIRST_TOKEN,     any_by_subject, any_flag, apply_labels, check_unique, dedupe_by_key, diagnostic_visit, drop_work,
     final_event_date, first_match_rows, first_per_group, flag_when, gather, interval_join,
     last_per_group, le_missing_low, locf, long_to_wide, lookup_neighbor, lt_missing_low, merge_full,
     merge_left, merge_left_many, neighbor_visits, nullify, override, read_table, recode, rename_all,
     response_label, round_even, select_numbered, select_prefix, try_number, union_cohorts,
-    wide_to_long, write_table,
+    treatment_onsets, vanished_subjects, wide_to_long, write_table,
 )
 from ..operators.reshape import number_visits
 from ..operators.scan import day_chunk, hour_chunk
@@ -199,7 +199,7 @@ inv AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.day, b.day) AS day, coales
 def _inventory(spark, sf_dir):
     a = fx.vials(spark, sf_dir, "click", "n_15")
     b = fx.vials(spark, sf_dir, "purchase", "n_5")
-    inv = merge_full(a, b, ["id", "day"]).fillna(0, ["n_15", "n_5"])
+    inv = merge_full(a, b, ["id", "day"], unique=True).fillna(0, ["n_15", "n_5"])
     return inv.withColumns({"total_ml": F.col("n_15") * 1.5 + F.col("n_5") * 0.5, "sampled": F.lit(1)})
 
 
@@ -225,7 +225,7 @@ def merge_full_overwrite(spark, sf_dir):
     a = li.where("l_returnflag = 'A'").groupBy("id").agg(F.max("l_quantity").alias("v"), F.count("*").alias("na"))
     b = li.where("l_returnflag = 'R'").groupBy("id").agg(
         F.max(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).alias("v"), F.count("*").alias("nb"))
-    return merge_full(a, b, ["id"])
+    return merge_full(a, b, ["id"], unique=True)
 
 
 @query("check_unique", """
@@ -324,10 +324,23 @@ def treatment_at_visit(spark, sf_dir):
 _PROTOCOL = {2: "IN", 4: "D8", 1: "AD0", 3: "AD8", 5: "EOS"}
 
 
-@query("first_match_visit", sql_with("visits", "treatment", more="""
-cal AS (SELECT id, visitdt, n, CASE n WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE n END AS place,
+def _calendar(spark, sf_dir):
+    cal = number_visits(fx.visits(spark, sf_dir).select("id", "visitdt", (F.col("prio") <= 2).alias("urgent")), "id",
+                        ["visitdt"], chunk=day_chunk("visitdt"))
+    codes = F.create_map(*[F.lit(x) for k, v in _PROTOCOL.items() for x in (k, v)])
+    places = F.create_map(*[F.lit(x) for i, k in enumerate(_PROTOCOL, 1) for x in (k, i)])
+    return cal.withColumns({"place": F.coalesce(places[F.col("n")], F.col("n")),
+                            "code": F.coalesce(codes[F.col("n")], F.concat(F.lit("V"), F.col("n").cast("string")))})
+
+
+_CALENDAR_SQL = """
+cal AS (SELECT id, visitdt, n, prio, CASE n WHEN 2 THEN 1 WHEN 4 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE n END AS place,
     CASE n WHEN 2 THEN 'IN' WHEN 4 THEN 'D8' WHEN 1 THEN 'AD0' WHEN 3 THEN 'AD8' WHEN 5 THEN 'EOS' ELSE 'V' || n END AS visit
-  FROM (SELECT id, visitdt, row_number() OVER (PARTITION BY id ORDER BY visitdt) AS n FROM visits)),
+  FROM (SELECT id, visitdt, prio, row_number() OVER (PARTITION BY id ORDER BY visitdt) AS n FROM visits)),
+"""
+
+
+@query("first_match_visit", sql_with("visits", "treatment", more=_CALENDAR_SQL + """
 best AS (SELECT t.id, t.tr_start, min(place) AS place FROM (SELECT DISTINCT id, tr_start FROM treatment) t
   JOIN cal c ON c.id = t.id AND c.visitdt >= t.tr_start GROUP BY t.id, t.tr_start)
 """) + """
@@ -337,16 +350,29 @@ LEFT JOIN cal c ON c.id = b.id AND c.place = b.place
 """)
 def first_match(spark, sf_dir):
     """Every visit is a row of the calendar; those after the protocol's five come in order of date."""
-    cal = number_visits(fx.visits(spark, sf_dir).select("id", "visitdt"), "id", ["visitdt"], chunk=day_chunk("visitdt"))
-    codes = F.create_map(*[F.lit(x) for k, v in _PROTOCOL.items() for x in (k, v)])
-    places = F.create_map(*[F.lit(x) for i, k in enumerate(_PROTOCOL, 1) for x in (k, i)])
-    cal = cal.withColumns({"place": F.coalesce(places[F.col("n")], F.col("n")),
-                           "code": F.coalesce(codes[F.col("n")], F.concat(F.lit("V"), F.col("n").cast("string")))})
+    cal = _calendar(spark, sf_dir)
     onsets = fx.treatment(spark, sf_dir).select("id", F.col("tr_start").alias("onset"))
     df = first_match_rows(onsets, cal, "id", "onset", "visitdt", "place", "code", chunk=day_chunk)
     return df.select("id", "onset", "visit", F.datediff("matched", "onset").cast("long").alias("days_from_start"))
 
 
+@query("treatment_at_onset", sql_with("visits", "treatment", more=_CALENDAR_SQL + """
+sp AS (SELECT id, tr_start, coalesce(tr_end, tr_start) AS tr_end FROM treatment WHERE indication = 'A' AND tr_start IS NOT NULL),
+best AS (SELECT t.id, t.tr_start, min(place) AS place FROM (SELECT DISTINCT id, tr_start FROM sp) t
+  JOIN cal c ON c.id = t.id AND c.visitdt >= t.tr_start GROUP BY t.id, t.tr_start)
+""") + """
+SELECT sp.id, 'onset' AS rule, c.visit, date_diff('day', sp.tr_start, c.visitdt) AS days_from_start,
+       date_diff('day', sp.tr_end, c.visitdt) AS days_from_end
+FROM sp LEFT JOIN best b ON b.id = sp.id AND b.tr_start = sp.tr_start LEFT JOIN cal c ON c.id = b.id AND c.place = b.place
+UNION ALL
+SELECT id, 'flag', arg_min(visit, place), NULL, NULL FROM cal WHERE prio <= 2 GROUP BY id
+""")
+def treatment_at_onset(spark, sf_dir):
+    spans = fx.treatment(spark, sf_dir).where("indication = 'A'")
+    return treatment_onsets(spans, _calendar(spark, sf_dir), "id", "tr_start", "tr_end", "visitdt", "place", "code",
+                            "urgent", day_chunk)
+
+
 @query("diagnostic_visit", sql_with("visits", more="""
 n AS (SELECT id, visitdt, visit_key, marker, lag(marker) OVER w AS prev_marker, lag(visitdt) OVER w AS prev_visitdt,
              lag(visit_key) OVER w AS prev_visit_key
@@ -411,6 +437,19 @@ def to_long(spark, sf_dir):
     return wide_to_long(fx.wide(spark, sf_dir), ["id"], _WIDE_COLS)
 
 
+_UNITS = {"qty": "pieces", "price": "eur"}
+
+
+@query("wide_to_long_first_token", sql_with("wide", more=_LONG_SQL) + """
+SELECT id, CASE variable WHEN 'qty' THEN 'qty' ELSE 'price' END AS variable, visit, round(value, 6) AS value FROM long
+""")
+def to_long_first_token(spark, sf_dir):
+    """Names like ``qty_3_pieces``: measure, visit, and a rest that is not used."""
+    w = fx.wide(spark, sf_dir).select("id", *[F.col(f"{c}_{i}").alias(f"{n}_{i}_{u}") for c, (n, u) in zip(
+        ("qty", "net_price"), _UNITS.items()) for i in range(1, 8)])
+    return wide_to_long(w, ["id"], w.columns[1:], FIRST_TOKEN)
+
+
 @query("long_to_wide", sql_with("wide", more=_LONG_SQL) + """
 SELECT id, visit, round(max(CASE WHEN variable = 'qty' THEN value END), 6) AS qty,
        round(max(CASE WHEN variable = 'net_price' THEN value END), 6) AS net_price
@@ -532,3 +571,11 @@ def any_treatment(spark, sf_dir):
     t = fx.treatment(spark, sf_dir).withColumns({
         "a": (F.col("indication") == "A").cast("int"), "open": F.col("tr_end").isNull().cast("int")})
     return any_by_subject(t, "id", ["a", "open"])
+
+
+@query("vanished_subjects", sql_with("cp") + """
+SELECT id, count(*) AS n_rows FROM analysis WHERE id NOT IN (SELECT id FROM cp) GROUP BY id
+""")
+def vanished_query(spark, sf_dir):
+    """Subjects whose only visit is their final date leave no interval."""
+    return vanished_subjects(fx.analysis(spark, sf_dir), fx.cp(spark, sf_dir), "id")

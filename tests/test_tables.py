@@ -251,7 +251,6 @@ def test_counting_process_rules(spark):
 def test_expand_days(spark):
     df = spark.createDataFrame([(1, 0, 3), (2, 5, 5), (3, 5, 4)], "id int, s int, e int")
     assert rows(sv.expand_days(df, "s", "e"), "id", "day") == [(1, 0), (1, 1), (1, 2)]
-    assert rows(sv.expand_days(df, "s", "e", max_days=1), "id", "day") == [(1, 0), (1, 1)]
 
 
 def test_diagnostic_visit_missing_rules(spark):
@@ -307,3 +306,69 @@ def test_percentages_by_day_skip_nulls_but_table_does_not(spark):
 def test_longitudinal_points_close_at_the_final_time(spark):
     df = spark.createDataFrame([(1, 0, 9, 1.0), (1, 4, 9, 2.0)], "id int, start_time int, time int, m double")
     assert rows(sv.longitudinal_points(df, "id", ["m"]), "time", "value") == [(0, 1.0), (4, 2.0), (9, 2.0)]
+
+
+# --- keys and work tables --------------------------------------------------------
+
+
+@pytest.mark.parametrize("merge", [
+    lambda a, b: sv.merge_full(a, b, ["id"], unique=True), lambda a, b: sv.merge_left(a, b, ["id"], unique=True),
+    lambda a, b: sv.lookup_neighbor(a.withColumn("near", F.lit(1)), b.withColumn("visit", F.lit(1)), "id", "near", "visit", ["w"], "p_",
+                                    unique=True)])
+def test_a_repeated_key_raises_in_the_merge(spark, merge):
+    a = spark.createDataFrame([(1, 10), (2, 20)], "id int, v int")
+    good = spark.createDataFrame([(1, 5), (None, 6), (None, 7)], "id int, w int")
+    assert merge(a, good).where("id is not null").count() == 2
+    with pytest.raises(Exception, match="occurs twice"):
+        merge(a, good.union(good)).collect()
+
+
+def test_the_key_check_adds_no_shuffle_to_the_merge(spark, sf_dir):
+    o = sv.read_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    c = o.select("o_orderkey", F.lit(1).alias("one"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plans = [sv.merge_left(o, c, ["o_orderkey"], unique=u)._jdf.queryExecution().executedPlan().toString() for u in (False, True)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("Exchange hashpartitioning") == plans[1].count("Exchange hashpartitioning") == 2
+
+
+def test_two_visits_on_one_day_raise(spark):
+    df = spark.createDataFrame([(1, D(2020, 1, 1)), (1, D(2020, 1, 1)), (1, D(2020, 1, 5))], "id int, v date").withColumns(
+        {"o": F.lit(D(2020, 1, 1)), "f": F.lit(D(2020, 2, 1)), "s": F.lit(1)})
+    assert sv.counting_process(df.distinct(), "id", "v", "o", "f", "s").count() == 2
+    with pytest.raises(Exception, match="two visits of one id on one v"):
+        sv.counting_process(df, "id", "v", "o", "f", "s").collect()
+
+
+def test_vanished_subjects(spark):
+    before = spark.createDataFrame([(1,), (1,), (2,), (2,), (2,), (None,)], "id int")
+    assert rows(sv.vanished_subjects(before, before.where("id = 1"), "id"), "id", "n_rows") == [(2, 3)]
+    assert sv.vanished_subjects(before, before, "id").count() == 0
+
+
+def test_asof_ties_go_by_the_given_order(spark):
+    df = spark.createDataFrame([(1, 5, k) for k in (2, 9, 4)], "id int, t int, k int")
+    assert rows(sv.asof_join(df, [10], "id", "t", ties=["k"]), "LM", "k") == [(10, 9)]
+
+
+def test_treatment_onsets(spark):
+    cal = spark.createDataFrame([
+        (1, D(2020, 1, 10), 2, "W1", True), (1, D(2020, 1, 20), 1, "IN", False), (1, D(2020, 1, 30), 3, "W4", True),
+        (2, D(2020, 1, 1), 1, "IN", None)], "id int, d date, r int, v string, f boolean")
+    spans = spark.createDataFrame([
+        (1, D(2020, 1, 5), None), (1, D(2020, 1, 25), D(2020, 1, 27)), (1, None, D(2020, 1, 2)), (2, D(2020, 2, 1), None)],
+        "id int, s date, e date")
+    got = sv.treatment_onsets(spans, cal, "id", "s", "e", "d", "r", "v", "f")
+    assert set(map(tuple, got.collect())) == {
+        (1, "onset", "IN", 15, 15), (1, "onset", "W4", 5, 3), (2, "onset", None, None, None), (1, "flag", "W1", None, None)}
+
+
+def test_drop_work(spark):
+    for name in ("work_a", "work_b"):
+        spark.range(1).createOrReplaceTempView(name)
+    sv.drop_work(spark, "work_a")
+    assert not spark.catalog.tableExists("work_a") and spark.catalog.tableExists("work_b")
+    sv.drop_work(spark)
+    assert not spark.catalog.tableExists("work_b")

@@ -4,7 +4,8 @@ A page is read as a stream of tags and blocks of text. Every word has a positive
 text like it is usually content and a negative one where it is not (in links, in boilerplate
 elements); every tag has a negative score, the larger the more it stands outside content. The run of
 the stream with the highest sum, found by one linear scan, is the content region; its
-blocks outside boilerplate elements are the text.
+blocks outside boilerplate elements are the text. Where that run meets content marks (``article``, ``main``;
+the outermost), their edges bound the region: all of them it meets, whole, and nothing beside them.
 
 The scores come from labelled pages: those that mark their content with ``article`` or ``main``. All of
 them are counted (words by kind, tags by name, inside and outside the mark), with prior
@@ -12,6 +13,8 @@ counts for what they rarely show, so a page without marks is read by what marked
 
 Boilerplate elements: by name (menus, headers and footers, asides, forms, scripts, ...) and blocks, but not
 headings, by a word of class or role or a whole id or label; inside the content mark by a whole class or role only. A page header inside the content mark that holds the title is content.
+Scripts, pictures and controls amid a paragraph are left out and do not end it. A page whose text all stands in a form is read as if the form
+were no boilerplate.
 
 Defined results: null or empty html and pages without content give an empty text; malformed or cut-off
 markup is read as far as it goes (a raw-text element without end takes the rest); an empty table gives
@@ -45,6 +48,8 @@ HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|p
                    r"sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|respond|"
                    r"share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|"
                    r"widget|toolbar|copyright|legal|disclaimer|skip|contentinfo|complementary|alert)(?=$|[\s_-])", re.I)
+# Boilerplate that may stand amid a line of text
+AMID = {"script", "style", "svg", "canvas", "object", "iframe", "button", "select", "label", "textarea", "noscript", "template"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Prior counts of (inside, outside) that stand for about 20 observations.
 PRIOR = {"word": (18, 2), "word in a link": (3, 17), "word in boilerplate": (0, 20), "p": (18, 2), "li": (8, 12), "a": (4, 16)}
@@ -68,15 +73,19 @@ def hinted(name: str, attrs: str, marked: bool) -> bool:
     return False
 
 
-def stream(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(tag name or "", text, in a link, in boilerplate, inside a content mark) in page order; names of end tags begin with /."""
+def stream(page: str, forms: bool = True) -> Iterator[tuple[str, str, bool, bool, int]]:
+    """(tag name or "", text, in a link, in boilerplate, number of the outermost content mark it is in or 0) in page order.
+
+    Names of end tags begin with /. ``forms`` says whether forms are boilerplate.
+    """
     at, stack = 0, []  # open elements: (name, boilerplate)
-    links = boiler = marks = 0
+    links = boiler = marks = seen = 0
+    opened: Counter = Counter()  # how many elements of a name are open
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
-            yield "", page[at:end], links > 0, boiler > 0, marks > 0
+            yield "", page[at:end], links > 0, boiler > 0, seen if marks else 0
         if not m:
             return
         at = m.end()
@@ -84,39 +93,42 @@ def stream(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
-        if not closing and name in RAW | NESTED - {"script", "style"} and m[0].endswith("/>") and not _UNQUOTED.search(m[0]):
-            yield name, "", links > 0, True, marks > 0
+        if not closing and name in (RAW | NESTED) - {"script", "style"} and m[0].endswith("/>") and not _UNQUOTED.search(m[0]):
+            yield name, "", links > 0, True, seen if marks else 0
             continue
         if not closing and name in RAW:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
-            yield name, "", links > 0, True, marks > 0
+            yield name, "", links > 0, True, seen if marks else 0
             continue
         if closing:
-            names = [s[0] for s in stack]
-            if name in names:
+            if opened[name]:
                 while True:
                     top, bad = stack.pop()
+                    opened[top] -= 1
                     links -= top == "a"
                     marks -= top in MARKS
                     boiler -= bad
                     if top == name:
                         break
-            yield "/" + name, "", links > 0, boiler > 0, marks > 0
+            yield "/" + name, "", links > 0, boiler > 0, seen if marks else 0
             continue
         if name in MARKS | {"body"} and boiler:  # an element left open before the content does not swallow it
             while stack:
                 top, bad = stack.pop()
+                opened[top] -= 1
                 links -= top == "a"
                 boiler -= bad
                 marks -= top in MARKS
         if name not in VOID:
-            bad = name in BOILER or name == "header" and not marks or hinted(name, m[3] or m[6] or "", marks > 0)
+            bad = name in BOILER and (forms or name != "form") or name == "header" and not marks or hinted(name, m[3] or m[6] or "", marks > 0)
             stack.append((name, bad))
+            opened[name] += 1
             links += name == "a"
+            seen += name in MARKS and not marks
             marks += name in MARKS
             boiler += bad
-        yield name, "", links > 0, boiler > 0, marks > 0
+        yield name, "", links > 0, boiler > 0, seen if marks else 0
 
 
 def kind(link: bool, boiler: bool) -> str:
@@ -130,7 +142,7 @@ def observe(page: str) -> Counter:
     if not any(p[0] in MARKS for p in parts):
         return seen
     for name, text, link, boiler, mark in parts:
-        inside = mark and not boiler
+        inside = mark > 0 and not boiler
         if name:
             seen[name if name.lstrip("/") in NAMES else "other", inside] += 1
         elif n := len(text.split()):
@@ -155,35 +167,50 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 
 
 def main_text(page: str, score: dict[str, float]) -> str:
-    """The blocks of the maximum-scoring run, one a line."""
-    blocks: list[list] = []  # text, boilerplate, words' score, tags' score before
-    fresh, tags = True, 0.0
-    for name, text, link, boiler, _ in stream(page):
+    """The blocks of the maximum-scoring run, or of the content marks it meets, one a line."""
+    return _main_text(page, score, True) or _main_text(page, score, False)
+
+
+def _main_text(page: str, score: dict[str, float], forms: bool) -> str:
+    blocks: list[list] = []  # pieces of text, boilerplate, words' score, tags' score before, content mark
+    current: dict[bool, list | None] = {False: None, True: None}  # the block that further text of content, of boilerplate, goes to
+    tags, names = 0.0, set()
+    for name, text, link, boiler, mark in stream(page, forms):
         if name:
             bare = name.lstrip("/")
+            names.add(bare)
             tags += score.get(name if bare in NAMES else "other", score["other"])
-            fresh = fresh or bare not in INLINE
+            if bare not in INLINE and bare not in AMID:
+                current[True] = None
+                if not boiler:
+                    current[False] = None
             continue
+        block = current[boiler]
         if not text.strip():
-            if blocks and not fresh:
-                blocks[-1][0] += " "
+            if block:
+                block[0].append(" ")
             continue
         worth = len(text.split()) * score[kind(link, boiler)]
-        if fresh or not blocks or blocks[-1][1] != boiler:
-            blocks.append([text, boiler, worth, tags])
+        if block and block[4] == mark:
+            block[0].append(text)
+            block[2] += worth + tags
         else:
-            blocks[-1][0] += text
-            blocks[-1][2] += worth + tags
-        fresh, tags = False, 0.0
+            current[boiler] = block = [[text], boiler, worth, tags, mark]
+            blocks.append(block)
+        tags = 0.0
+    if not forms and not ("form" in names and names & (MARKS | {"p"})):  # a form of controls only holds no article
+        return ""
     best, run, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (_, _, worth, before) in enumerate(blocks):
+    for i, (_, _, worth, before, _) in enumerate(blocks):
         run = run + before if run > 0 else 0.0
         if run <= 0:
             run, start = 0.0, i
         run += worth
         if run > best:
             best, region = run, (start, i + 1)
-    lines = (" ".join(html.unescape(t).split()) for t, boiler, _, _ in blocks[region[0]:region[1]] if not boiler)
+    met = {b[4] for b in blocks[region[0]:region[1]] if b[4] and not b[1]}
+    inside = [b for b in blocks if b[4] in met] if met else blocks[region[0]:region[1]]
+    lines = (" ".join(html.unescape("".join(t)).split()) for t, boiler, _, _, _ in inside if not boiler)
     return "\n".join(x for x in lines if x)
 
 

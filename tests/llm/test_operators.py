@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -335,6 +336,29 @@ def test_html_keeps_what_follows_a_tag(tag):
     assert html_text.main_text(page, html_text.weights({})) == "First words of it, also some more than a few of them.\nSecond words of it, which are quite a few more than the first ones."
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>One two three.</p><script src='a.js'/>var leak = 1;</script><p>Four five six.</p></article>", "One two three.\nFour five six."),
+    ("<article><p>Second one <svg><g><path/></g></svg> goes on <button>ok</button> and on</p></article>", "Second one goes on and on"),
+    ("<article><p>Ten words or so are here to begin with.</p>" + "<ul>" + "".join(f"<li><a href='{i}'>l{i}</a></li>" for i in range(30)) + "</ul><p>tail one here</p></article>",
+     "\n".join(["Ten words or so are here to begin with.", *[f"l{i}" for i in range(30)], "tail one here"])),
+    ("<article><p>Ten words or so are here to begin with.</p><table>" + "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(9)) + "</table></article><p>beside</p>",
+     "\n".join(["Ten words or so are here to begin with.", *[x for i in range(9) for x in (str(i), "x")]])),
+    ("<body><form action='/'><div><p>The whole page stands in one form, all of it.</p></div></form></body>", "The whole page stands in one form, all of it."),
+    ("<body><form><input name='q'><label>Search</label></form></body>", ""),
+    ("<body><p>No form and <nav>menu</nav></p></body>", "No form and")])
+def test_html_blocks_and_edges(page, text):
+    assert html_text.main_text(page, html_text.weights({})) == text
+
+
+def test_html_takes_time_in_proportion_to_the_page():
+    def took(n):
+        t0 = time.process_time()
+        html_text.main_text("<article>" + "<div>" * n + "words of it " + "</div></b>" * n + "</article>", html_text.weights({}))
+        return time.process_time() - t0
+    took(500)
+    assert took(32_000) < 40 * max(took(2_000), 0.005)
+
+
 def test_language_held_out_accuracy(spark, sf_dir, empty, corpus):
     docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
     got = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -7,14 +7,15 @@ pieces grows with the text. Each piece's 64-bit digest goes into three cells of
 each third; a cell holds how many, the XOR of the digests and the XOR of their check hashes,
 and cells that hold nothing are left out. Two sketches are compared by subtracting them cell by cell
 and peeling: a cell with one digest left gives it away, it is taken out of its other cells, and
-so on. The size is set by the difference that a sample of one digest in 8 lets expect; if
-cells are left, the comparison is tried again with larger sketches (4 and 16 times), and where
-those fail or would have more cells than there are digests, with the digests themselves. What is recovered are the pieces that only one
+so on. The first try is as wide as the narrower of the two fingerprints; if
+cells are left, both sketches are built again with 1.65 to 3.3 cells for each digest of both, at which peeling
+all but always ends, and then twice as wide each time until it does. Digests of two texts are never compared. What is recovered are the pieces that only one
 of the two has, so the likeness is the exact share of common pieces among all of both:
-shared / (shared + recovered), for texts of any two lengths.
+shared / (shared + recovered), for texts of any two lengths. A third has at most 2**21 places, as three of them take the 63 low bits
+of a digest; what is left there (differences of more than about 5 million pieces) counts by the signs in its cells.
 
 The fingerprint written out has about a cell for every 3 to 5 pieces (24 at least). Thirds are powers of
-two wide and places are the low bits, so a wide sketch folds to a narrower one.
+two wide and places are the low bits, so a wide sketch folds to a narrower one: the first try is that of the fingerprints written.
 
 Defined results: null and empty texts have no pieces, the empty sketch, and likeness 1 to
 each other and 0 to the rest; repeated pieces of one text count once; documents with one
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from survlake.llm.tables import text_bytes
 
-LEAST, TRIES = 8, (0, 2, 4)  # least cells of a third; powers of two by which each try is larger
-ROUNDS = 16
+LEAST, BITS = 8, 21  # least cells of a third; bits of a digest that a place is taken from
+ROUNDS = 32  # of peeling; a sketch as wide as a retry is needs about 10
 LONG, WINDOW = 512, 4  # a sentence of more characters is cut further, by hashes of so many units
 # Ends of lines and sentences: of Latin-1, and further ones. Latin-1 is spelt out, for then a character is one look into a table.
 ENDS, WIDE_ENDS = "\n.!?", "…。！．？｡؟۔।॥።։။។"
@@ -43,7 +44,7 @@ UNITS = r"(?s)\S{1,64}+(?:\s++|\z)|\s++|."  # words, or single characters where
 
 # Casts to these change nothing; they spare the analyzer from working out the types of nested expressions again and again.
 CELLS = "array<struct<at:int,n:int,key:bigint,check:bigint>>"
-DIFFERENCE = "struct<only_a:int,only_b:int>"
+DIFFERENCE = "struct<only_a:int,only_b:int,exponent:int>"
 STATE = f"struct<cells:{CELLS},only_a:int,only_b:int>"
 
 
@@ -84,7 +85,7 @@ def _cells(entries: Column, exponent: Column, sign: Callable[[Column], Column],
     width = F.call_function("shiftleft", F.lit(1), exponent)
 
     def cell(x: Column, t: int) -> Column:
-        at = F.call_function("shiftright", key(x), F.lit(16 * t)).bitwiseAND((width - 1).cast("long")).cast("int") + width * t
+        at = F.call_function("shiftright", key(x), F.lit(BITS * t)).bitwiseAND((width - 1).cast("long")).cast("int") + width * t
         return F.struct(at.alias("at"), sign(x).alias("n"), key(x).alias("key"), F.xxhash64(key(x)).alias("check"))
     return F.flatten(F.transform(entries, lambda x: F.array(*[cell(x, t) for t in range(3)]))).cast(CELLS)
 
@@ -131,25 +132,24 @@ def peel(cells: Column, exponent: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start.cast(STATE), step).cast(STATE)
 
 
-def expected(a: Column, b: Column) -> Column:
-    """Differing digests that a sample of one in 8 lets expect: at least by how many the numbers differ."""
-    def some(keys: Column) -> Column:
-        return F.filter(keys, lambda d: F.call_function("shiftright", d, F.lit(58)).bitwiseAND(F.lit(7)) == 0)
-    return let(some(a), lambda x: let(some(b), lambda y: F.greatest(
-        8 * (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))), F.abs(F.size(a) - F.size(b)))))
+def width(keys: Column) -> Column:
+    """Exponent of the fingerprint's width."""
+    return F.least(power(F.size(keys) / 16), F.lit(BITS)).cast("int")
 
 
 def difference(a: Column, b: Column) -> Column:
-    """struct(only_a, only_b): numbers of digests that one side lacks, by ever larger sketches."""
+    """struct(only_a, only_b, exponent): numbers of digests that one side lacks, by ever larger sketches, and the width that gave them."""
     def attempt(exponent: Column) -> Column:
-        return let(peel(subtract(sketch(a, exponent), sketch(b, exponent)), exponent), lambda s: F.when(
-            F.size(s["cells"]) == 0, F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b")))).cast(DIFFERENCE)
-    last = F.struct(F.size(F.array_except(a, b)).alias("only_a"), F.size(F.array_except(b, a)).alias("only_b"))
-    def tried(exponent: Column) -> Column:
-        return F.when(F.call_function("shiftleft", F.lit(3), exponent) <= F.size(a) + F.size(b), attempt(exponent)).cast(DIFFERENCE)
-    return let(power(expected(a, b) / 1.5), lambda e: F.coalesce(F.aggregate(
-        F.array(*[F.least(e + t, F.lit(16)) for t in TRIES]), F.lit(None).cast(DIFFERENCE),
-        lambda done, exponent: F.coalesce(done, tried(exponent)).cast(DIFFERENCE)).cast(DIFFERENCE), last)).cast(DIFFERENCE)
+        def told(s: Column) -> Column:
+            def left(sign: int) -> Column:
+                return F.ceil(F.aggregate(s["cells"], F.lit(0), lambda z, c: z + F.greatest(sign * c["n"], F.lit(0))) / 3)
+            return F.when(F.size(s["cells"]) == 0, F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"), exponent.alias("exponent"))).when(
+                exponent == BITS, F.struct((s["only_a"] + left(1)).cast("int").alias("only_a"),
+                                           (s["only_b"] + left(-1)).cast("int").alias("only_b"), exponent.alias("exponent")))
+        return let(peel(subtract(sketch(a, exponent), sketch(b, exponent)), exponent), lambda s: told(s).cast(DIFFERENCE)).cast(DIFFERENCE)
+    larger = F.sequence(F.least(power((F.size(a) + F.size(b)) * 0.55), F.lit(BITS)), F.lit(BITS))
+    return F.aggregate(F.concat(F.array(F.least(width(a), width(b))), larger).cast("array<int>"), F.lit(None).cast(DIFFERENCE),
+                       lambda done, exponent: F.coalesce(done, attempt(exponent)).cast(DIFFERENCE)).cast(DIFFERENCE)
 
 
 def fingerprint(keys: Column) -> Column:
@@ -158,7 +158,7 @@ def fingerprint(keys: Column) -> Column:
         cells = F.transform(sketch(keys, exponent), lambda c: F.concat_ws(
             ":", c["at"].cast("string"), c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"].bitwiseAND(F.lit(0xFFFFFFFF)))))
         return F.concat(exponent.cast("string"), F.lit("/"), F.size(keys).cast("string"), F.lit("/"), F.concat_ws(",", cells))
-    return let(F.least(power(F.size(keys) / 16), F.lit(16)), written)
+    return let(width(keys), written)
 
 
 def _likeness(a: str, b: str) -> Column:

@@ -247,12 +247,32 @@ def test_fingerprints(spark, corpus, empty):
 def test_sketch_difference_is_exact(spark):
     rng = np.random.default_rng(5)
     rows = []
-    for n, m, common in ((0, 0, 0), (5, 3, 2), (30, 30, 10), (60, 50, 0), (120, 90, 5)):
+    for n, m, common in ((0, 0, 0), (5, 3, 2), (30, 30, 10), (60, 50, 0), (120, 90, 5), (1, 0, 4000), (3, 2, 900), (3000, 10, 40), (0, 7, 0)):
         c = [int(x) for x in rng.integers(-2**62, 2**62, common)]
         rows.append((c + [int(x) for x in rng.integers(-2**62, 2**62, n)], c + [int(x) for x in rng.integers(-2**62, 2**62, m)], n, m))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int, m int")
-    for r in df.withColumn("d", iblt.difference(F.col("a"), F.col("b"))).collect():
+    got = df.select("n", "m", iblt.difference(F.col("a"), F.col("b")).alias("d"), F.least(*[iblt.width(F.col(x)) for x in "ab"]).alias("first"),
+                    iblt.power((F.size("a") + F.size("b")) * 0.55).alias("full")).collect()
+    for r in got:
         assert (r["d"]["only_a"], r["d"]["only_b"]) == (r["n"], r["m"])
+        assert r["first"] <= r["d"]["exponent"] <= r["full"] + 3     # a sketch gave it, after few tries
+    first = [r["d"]["exponent"] == r["first"] for r in got]
+    assert first[0] and first[5] and first[6] and not any(first[i] for i in (3, 4, 7))
+
+
+def test_written_fingerprints_hold_the_sketch(spark):
+    keys = [5, -7, 1 << 40, (1 << 62) + 3]
+    row = spark.createDataFrame([(keys,)], "k array<long>").select(
+        iblt.fingerprint(F.col("k")).alias("f"), F.transform("k", lambda x: F.xxhash64(x)).alias("checks")).first()
+    cells = collections.defaultdict(lambda: [0, 0, 0])
+    for key, check in zip(keys, row["checks"]):
+        for t in range(3):
+            c = cells[((key >> (21 * t)) & 7) + 8 * t]
+            c[0] += 1
+            c[1] ^= key & (1 << 64) - 1
+            c[2] ^= check & (1 << 64) - 1
+    want = [f"{at}:{n}:{key:X}:{check & 0xFFFFFFFF:X}" for at, (n, key, check) in sorted(cells.items())]
+    assert row["f"] == "3/4/" + ",".join(want)
 
 
 def test_likeness_of_long_edited_contained_and_cjk_texts(spark):

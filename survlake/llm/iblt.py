@@ -8,8 +8,8 @@ each third; a cell holds how many, the XOR of the digests and the XOR of their c
 and cells that hold nothing are left out. Two sketches are compared by subtracting them cell by cell
 and peeling: a cell with one digest left gives it away, it is taken out of its other cells, and
 so on. The first try is as wide as the narrower of the two fingerprints; if
-cells are left, both sketches are built again with 1.65 to 3.3 cells for each digest of both, at which peeling
-all but always ends, and then twice as wide each time until it does. Digests of two texts are never compared. What is recovered are the pieces that only one
+cells are left, both sketches are built again with 6 to 12 places for each digest of both (empty ones cost nothing), at which peeling
+all but always ends after a few rounds, and then twice as wide each time until it does. Digests of two texts are never compared. What is recovered are the pieces that only one
 of the two has, so the likeness is the exact share of common pieces among all of both:
 shared / (shared + recovered), for texts of any two lengths. A third has at most 2**21 places, as three of them take the 63 low bits
 of a digest; what is left there (differences of more than about 5 million pieces) counts by the signs in its cells.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from survlake.llm.tables import text_bytes
 
 LEAST, BITS = 8, 21  # least cells of a third; bits of a digest that a place is taken from
-ROUNDS = 32  # of peeling; a sketch as wide as a retry is needs about 10
+ROUNDS = 32  # of peeling; a sketch as wide as a retry is needs about 4
 LONG, WINDOW = 512, 4  # a sentence of more characters is cut further, by hashes of so many units
 # Ends of lines and sentences: of Latin-1, and further ones. Latin-1 is spelt out, for then a character is one look into a table.
 ENDS, WIDE_ENDS = "\n.!?", "…。！．？｡؟۔।॥።։။។"
@@ -113,8 +113,9 @@ def sketch(keys: Column, exponent: Column) -> Column:
     return fold(_cells(keys, exponent, lambda _: F.lit(1), lambda d: d))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return fold(F.concat(a, F.transform(b, lambda c: F.struct(c["at"].alias("at"), (-c["n"]).alias("n"), c["key"].alias("key"), c["check"].alias("check")))))
+def subtract(a: Column, b: Column, exponent: Column) -> Column:
+    """The sketch of ``a`` less that of ``b``: cells are sums, so both sides' entries are folded together."""
+    return fold(F.concat(*[_cells(keys, exponent, lambda _, n=n: F.lit(n), lambda d: d) for keys, n in ((a, 1), (b, -1))]))
 
 
 def peel(cells: Column, exponent: Column) -> Column:
@@ -146,8 +147,8 @@ def difference(a: Column, b: Column) -> Column:
             return F.when(F.size(s["cells"]) == 0, F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"), exponent.alias("exponent"))).when(
                 exponent == BITS, F.struct((s["only_a"] + left(1)).cast("int").alias("only_a"),
                                            (s["only_b"] + left(-1)).cast("int").alias("only_b"), exponent.alias("exponent")))
-        return let(peel(subtract(sketch(a, exponent), sketch(b, exponent)), exponent), lambda s: told(s).cast(DIFFERENCE)).cast(DIFFERENCE)
-    larger = F.sequence(F.least(power((F.size(a) + F.size(b)) * 0.55), F.lit(BITS)), F.lit(BITS))
+        return let(peel(subtract(a, b, exponent), exponent), lambda s: told(s).cast(DIFFERENCE)).cast(DIFFERENCE)
+    larger = F.sequence(F.least(power((F.size(a) + F.size(b)) * 2), F.lit(BITS)), F.lit(BITS))
     return F.aggregate(F.concat(F.array(F.least(width(a), width(b))), larger).cast("array<int>"), F.lit(None).cast(DIFFERENCE),
                        lambda done, exponent: F.coalesce(done, attempt(exponent)).cast(DIFFERENCE)).cast(DIFFERENCE)
 

@@ -80,9 +80,53 @@ def test_resampling_takes_exactly_k(spark, corpus, empty):
     assert quality.resample(docs, labels.limit(0)).where("log_weight <> 0").count() == 0
 
 
-def test_brown_base_score_and_gain(spark, corpus, empty):
+def _brute_scores(model, docs):
+    """log10 probability of each text from the model's classes, word by word."""
+    from survlake.llm.tokens import words as hashed
+
+    count, place = {}, {}
+    for r in model.vocab.collect():
+        own = 0
+        for h, c in zip(brown._unpacked(r["h"], np.uint64).tolist(), brown._unpacked(r["c"], np.int64).tolist()):
+            count[h] = c
+            if c >= model.least:
+                place[h] = (r["bucket"], own)
+                own += 1
+    state = {r["bucket"]: brown._unpacked(r["cls"], np.uint8) for r in model.state.collect()}
+
+    def cls(w):
+        h, _, tail = hashed(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+        h = int(h[0])
+        b, i = place.get(h, (model.chunks + int(tail[0]) % brown.SPREAD, int(tail[0]) // brown.SPREAD))
+        return int(state[b][i]), count.get(h, 0)
+    texts = [(i, [cls(w) for w in words(t)]) for i, t in docs]
+    n, v = collections.Counter({model.k: model.n_texts}), collections.Counter()
+    pairs, seen = np.zeros((model.k + 1, model.k + 1)), {}
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 10:
+            c = [model.k] + [cls(w)[0] for w in words(t)] + [model.k]
+            n.update(c[1:-1])
+            np.add.at(pairs, (c[:-1], c[1:]), 1)
+            seen.update((w, cls(w)[0]) for w in words(t))
+    v.update(seen.values())
+    assert (pairs == model.pairs).all() and all(n[c] == model.n_class[c] and v[c] == model.v_class[c] for c in range(model.k))
+    unigram = (pairs.sum(axis=0) + 1) / (pairs.sum() + model.k + 1)
+    out = []
+    for i, t in texts:
+        s, prev = 0.0, model.k
+        for c, m in t + [(model.k, None)]:
+            s += np.log10((pairs[prev, c] + model.k * unigram[c]) / (pairs[prev].sum() + model.k))
+            if m is not None:
+                s += np.log10((m + 0.1) / (n[c] + 0.1 * (v[c] + 1)))
+            prev = c
+        out.append((i, round(s, 6)))
+    return sorted(out)
+
+
+def test_brown_scores(spark, corpus, empty):
     docs, rows = corpus
-    got = brown.score(docs, classes=4, share=1e-3, chunk_bytes=2000).collect()
+    model = brown.learn(docs, classes=4, chunk_bytes=4000)
+    got = brown.judged(model).collect()
     held = {r[0]: zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows}
     count = collections.Counter(w for r in rows if not held[r[0]] for w in words(r[1]) + [None])
     n, v = sum(count.values()), len(count)
@@ -92,8 +136,21 @@ def test_brown_base_score_and_gain(spark, corpus, empty):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(w), n)
         assert r["n_known"] == sum(count[x] > 0 for x in w)
         assert r["base_score"] == pytest.approx(sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
-        assert r["score"] < 0
     assert len(got) == len(rows) and brown.score(empty).count() == 0
+    assert model.rounds > 0
+    want = _brute_scores(model, [(r[0], r[1]) for r in rows])
+    for (i, s), (j, t) in zip(sorted((r["doc_id"], r["score"]) for r in got), want, strict=True):
+        assert i == j and s == pytest.approx(t, abs=1e-5 * max(1, abs(t)))
+
+
+def test_brown_finds_word_classes(spark):
+    """Words that alternate by kind end in classes by kind, the rare ones above the fixed count too."""
+    rng = np.random.default_rng(1)
+    nouns, verbs = [f"n{i}q" for i in range(60)], [f"v{i}q" for i in range(60)]
+    texts = [" ".join(x for _ in range(20) for x in (nouns[rng.integers(60)], verbs[rng.integers(60)])) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = brown.score(docs, classes=2).agg(F.sum("score")).first()[0]
+    assert got > -200 * 40 * (np.log10(60) + 0.06)  # with the true classes log10(60) a word, without classes log10(120)
 
 
 def test_exchange_gain_is_exact():

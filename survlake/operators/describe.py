@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .longitudinal import last_per_group
 from .reshape import gather
+from ..sources.io import materialize
 
 
 def freq(df: DataFrame, *cols: str) -> DataFrame:
@@ -35,56 +37,109 @@ def missing_profile(df: DataFrame, cols: Sequence[str], scale: float = 1.0) -> D
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _ACCURACY = 10_000
+FEW = 2_000      # a range with at most this many values is listed, value by value
+
+
+class _Rank:
+    """Order statistic number ``rank`` (from 0) of a column: it lies strictly between ``low`` and ``high``.
+
+    ``before`` values are at or below ``low`` and ``count`` inside the range; both are counted exactly.
+    """
+
+    def __init__(self, col: str, rank: int, count: int):
+        self.col, self.rank, self.before, self.count = col, rank, 0, count
+        self.low = self.high = self.value = None
+
+    def inside(self, low, high):
+        v, bounds = F.col(self.col), F.col(self.col).isNotNull()
+        bounds = bounds if low is None else bounds & (v > F.lit(low))
+        return bounds if high is None else bounds & (v < F.lit(high))
+
+    def shares(self) -> list[float]:
+        """The rank's place among the values of the range, less and more the error of a sketch twice over."""
+        at, slack = (self.rank - self.before + 0.5) / self.count, 2.0 / _ACCURACY
+        return [min(max(at + s, 0.0), 1.0) for s in (-slack, slack)]
+
+    def cells(self, low, high) -> list[Column]:
+        """Counts below, at and between the edges and at the high one, inside the range."""
+        v, live = F.col(self.col), self.inside(self.low, self.high)
+        return [F.count_if(live & (v < F.lit(low))), F.count_if(live & (v == F.lit(low))), F.count_if(self.inside(low, high)),
+                F.count_if(live & (v == F.lit(high)) & (F.lit(low) != F.lit(high)))]
+
+    def narrow(self, low, high, counts) -> None:
+        """Go on in the cell that holds the rank, whichever it is: approximate edges need not enclose it."""
+        cells = ((self.low, low, None), (low, low, low), (low, high, None), (high, high, high), (high, self.high, None))
+        for (a, z, value), count in zip(cells, [*counts, self.count - sum(counts)]):
+            if self.rank < self.before + count:
+                self.low, self.high, self.count, self.value = a, z, count, value
+                return
+            self.before += count
+        raise AssertionError(f"rank {self.rank} of {self.col} is not among the counted values")
+
+
+def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], counts: Mapping[str, int]) -> dict:
+    """``{(column, rank): value}``: the exact values at these ranks (from 0) of the sorted non-null values.
+
+    All are selected together by refining ranges. A round takes approximate quantiles on both sides of every
+    wanted rank, one sketch a range, and then counts exactly how many values lie below, at, between and above
+    them; the rank's cell is the next range, one in thousands of the last. Ties end a search at once, and the
+    ``FEW`` values of a last range are counted one by one. A round sends the driver one row.
+    """
+    wanted = [_Rank(c, r, counts[c]) for c, rs in ranks.items() for r in sorted(set(rs))]
+    while todo := [w for w in wanted if w.value is None and w.count > FEW]:
+        ranges = {}
+        for w in todo:
+            ranges.setdefault((w.col, w.low, w.high), []).append(w)
+        found = df.agg(*[F.percentile_approx(
+            F.when(ws[0].inside(ws[0].low, ws[0].high), F.col(ws[0].col)), [s for w in ws for s in w.shares()], _ACCURACY)
+            for ws in ranges.values()]).first()
+        edges = {w: (e[2 * i], e[2 * i + 1]) for ws, e in zip(ranges.values(), found) for i, w in enumerate(ws)}
+        cells = df.agg(*[c for w in todo for c in w.cells(*edges[w])]).first()
+        for i, w in enumerate(todo):
+            w.narrow(*edges[w], cells[4 * i:4 * i + 4])
+    last = [w for w in wanted if w.value is None]
+    if last:
+        listed = df.select(F.explode(F.array_compact(F.array(*[
+            F.when(w.inside(w.low, w.high), F.struct(F.lit(i).alias("i"), F.col(w.col).alias("v"))) for i, w in enumerate(last)]))).alias("_v"))
+        values = {}
+        for i, v, n in listed.groupBy("_v.i", "_v.v").agg(F.count(F.lit(1))).collect():     # at most FEW a rank
+            values.setdefault(i, []).append((v, n))
+        for i, w in enumerate(last):
+            for v, n in sorted(values[i], key=lambda x: (x[0] != x[0], x[0])):       # NaN is the largest, as in Spark
+                w.value, w.before = v, w.before + n
+                if w.rank < w.before:
+                    break
+    return {(w.col, w.rank): w.value for w in wanted}
 
 
 def describe_continuous(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per variable: % missing, mean, sd, min, quartiles, max.
+    """Per variable: % missing, mean, sd, min, quartiles, max; no row for an empty table.
 
-    Quartiles are exact, interpolated between order statistics. Spark's exact
-    ``percentile`` keeps every distinct value of a group in one buffer, so they
-    are found in two passes instead: approximate quantiles with a guaranteed
-    rank error first enclose each wanted rank, then only the values inside that
-    narrow band are counted and ranked.
+    Quartiles are exact, interpolated between order statistics (:func:`order_statistics`).
+    The columns are read once from ``df`` and kept for the passes; the driver gets one row a pass.
     """
-    n_q = len(QUARTILES)
-    slack = 2.0 / _ACCURACY
-    edges = [min(max(q + s, 0.0), 1.0) for q in QUARTILES.values() for s in (-slack, slack)]
-    long = gather(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols)
-    stats = long.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("_n"), F.count("value").alias("_k"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile_approx("value", edges, _ACCURACY).alias("_edges"))
-
-    # one row per (variable, quartile): at most columns x 3 rows
-    bands = stats.where(F.col("_k") > 0).select("variable", "_k", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_q"), F.lit(q).alias("_p"),
-                 F.col("_edges")[2 * i].alias("_lo"), F.col("_edges")[2 * i + 1].alias("_hi"))
-        for i, (name, q) in enumerate(QUARTILES.items())])).alias("_b")).select(
-            "variable", "_k", "_b.*")
-    # inside the band every value keeps its own count; all below (above) share one
-    # row, which stands for the largest (smallest) of them: the wanted ranks can
-    # miss the band by one position at most
-    v, below, above = F.col("value"), F.lit(float("-inf")), F.lit(float("inf"))
-    slot = F.when(v < F.col("_lo"), below).when(v > F.col("_hi"), above).otherwise(v)
-    seen = (long.where(v.isNotNull()).join(F.broadcast(bands), "variable")
-            .withColumn("_slot", slot).groupBy("variable", "_q", "_p", "_k", "_slot")
-            .agg(F.count(F.lit(1)).alias("_m"), F.max("value").alias("_top"), F.min("value").alias("_bottom")))
-    up_to = Window.partitionBy("variable", "_q").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    h = (F.col("_k") - 1) * F.col("_p")
-    ranked = seen.withColumns({
-        "_upto": F.sum("_m").over(up_to),
-        "_value": F.when(F.col("_slot") == below, F.col("_top")).otherwise(F.col("_bottom")),
-        "_low": F.floor(h), "_high": F.ceil(h), "_frac": h - F.floor(h)})
-    found = ranked.groupBy("variable", "_q").agg(
-        F.min(F.when(F.col("_upto") > F.col("_low"), F.col("_value"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.col("_high"), F.col("_value"))).alias("_z"),
-        F.max("_frac").alias("_f"))
-    quart = found.groupBy("variable").pivot("_q", list(QUARTILES)).agg(
-        F.max(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")))
-    return stats.join(quart, "variable", "left").select(
-        "variable", ((1 - F.col("_k") / F.col("_n")) * 100).alias("missing_pct"),
-        "mean", "sd", "min", *QUARTILES, "max")
+    values, release = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    try:
+        one = values.agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"{n}_{c}") for c in cols for n, f in (
+            ("k", F.count), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))]).first()
+        counts = {c: one[f"k_{c}"] for c in cols}
+        place = {(c, q): (counts[c] - 1) * p for c in cols if counts[c] for q, p in QUARTILES.items()}
+        ranks = {c: [r for q in QUARTILES for r in (math.floor(place[c, q]), math.ceil(place[c, q]))] for c in cols if counts[c]}
+        at = order_statistics(values, ranks, counts)
+    finally:
+        release()
+
+    def quartile(c, q):
+        if (c, q) not in place:
+            return None
+        h = place[c, q]
+        low, high = at[c, math.floor(h)], at[c, math.ceil(h)]
+        return low if low == high else low + (high - low) * (h - math.floor(h))
+
+    rows = [(c, (1 - counts[c] / one["_n"]) * 100, one[f"mean_{c}"], one[f"sd_{c}"], one[f"min_{c}"],
+             *[quartile(c, q) for q in QUARTILES], one[f"max_{c}"]) for c in cols if one["_n"]]
+    names = ["missing_pct", "mean", "sd", "min", *QUARTILES, "max"]
+    return df.sparkSession.createDataFrame(rows, f"variable string, {', '.join(f'{n} double' for n in names)}")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:

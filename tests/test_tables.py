@@ -294,6 +294,29 @@ def test_quartiles_are_exact_at_any_size(spark):
         assert [r.q1, r.median, r.q3] == pytest.approx(list(np.quantile(x, [.25, .5, .75])), abs=1e-9)
 
 
+def test_order_statistics_by_refined_ranges(spark, monkeypatch):
+    import numpy as np
+    from survlake.operators import describe
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000), np.full(4000, 7.5),
+                        [np.inf, -np.inf, 0.0]])
+    y = np.where(np.arange(len(x)) % 3 == 0, np.nan, np.round(x, 1))      # ties; nan is a null here
+    df = spark.createDataFrame([(float(a), None if np.isnan(b) else float(b)) for a, b in zip(x, y)], "x double, y double").repartition(5)
+    counts = {"x": len(x), "y": int((~np.isnan(y)).sum())}
+    ranks = {c: [0, 1, n // 4, n // 4 + 1, n // 2, 3 * n // 4, n - 2, n - 1] for c, n in counts.items()}
+    want = {"x": np.sort(x), "y": np.sort(y[~np.isnan(y)])}
+    # ranges listed early, late or never; edges that often miss the rank: the counts alone decide
+    for few, accuracy in ((2_000, 10_000), (5, 10_000), (0, 20)):
+        monkeypatch.setattr(describe, "FEW", few)
+        monkeypatch.setattr(describe, "_ACCURACY", accuracy)
+        got = describe.order_statistics(df, ranks, counts)
+        assert got == {(c, r): want[c][r] for c in ranks for r in ranks[c]}
+
+
+def test_describe_of_an_empty_table_has_no_row(spark):
+    assert sv.describe_continuous(spark.createDataFrame([], "a double"), ["a"]).collect() == []
+
+
 def test_percentages_by_day_skip_nulls_but_table_does_not(spark):
     df = spark.createDataFrame([(0, 3, 1), (0, 2, None), (1, 3, 0), (7, 8, None), (4, 4, 1)], "start_time int, end_time int, f int")
     assert rows(sv.daily_prevalence(df, ["f"]), "day", "yes_pct") == [(0, 100.0), (1, 50.0), (2, 50.0), (7, None)]

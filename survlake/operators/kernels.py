@@ -60,20 +60,52 @@ def time_sums(p: int, efron: bool):
     return run
 
 
-def step_products(k: int, prefixes):
-    """Ordered products in one chunk: the last one, or all of them after a prefix."""
+def _steps(pdf: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct times of a chunk, ordered, and the matrix ``I + dA`` of each."""
+    times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
+    steps = np.zeros((len(times), k, k))
+    steps[at, pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["da"].to_numpy()
+    steps[:, range(k), range(k)] = 1 - steps.sum(axis=2)
+    return times, steps
+
+
+def _running(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """``first`` and its products with ever more of the matrices, one more than there are matrices."""
+    out = np.empty((len(steps) + 1, *first.shape))
+    out[0] = first
+    for n, step in enumerate(steps):
+        out[n + 1] = out[n] @ step
+    return out
+
+
+def _columns(matrices: np.ndarray) -> dict[str, np.ndarray]:
+    flat = matrices.reshape(len(matrices), -1)
+    return {f"p{c}": flat[:, c] for c in range(flat.shape[1])}
+
+
+def _matrices(pdf: pd.DataFrame, k: int, name: str = "p") -> np.ndarray:
+    return pdf[[f"{name}{c}" for c in range(k * k)]].to_numpy().reshape(-1, k, k)
+
+
+def chunk_product(k: int):
+    """The ordered product of one chunk."""
     def run(key, pdf):
-        times, at = np.unique(pdf["time"].to_numpy(), return_inverse=True)
-        steps = np.zeros((len(times), k, k))
-        steps[at, pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["da"].to_numpy()
-        steps[:, range(k), range(k)] = 1 - steps.sum(axis=2)
-        out = np.empty_like(steps)
-        p = np.eye(k) if prefixes is None else prefixes[key[0]]
-        for n in range(len(times)):
-            p = p @ steps[n]
-            out[n] = p
-        cells = {f"p{c}": out.reshape(len(times), -1)[:, c] for c in range(k * k)}
-        if prefixes is None:
-            return pd.DataFrame({"chunk": key[0], **{n: v[-1:] for n, v in cells.items()}})
-        return pd.DataFrame({"time": times, **cells})
+        return pd.DataFrame({"chunk": key[0], **_columns(_running(np.eye(k), _steps(pdf, k)[1])[-1:])})
+    return run
+
+
+def prefix_products(k: int):
+    """Per block, along ``at``: the product of all matrices before each row; a row at -1 has that of the whole block."""
+    def run(key, pdf):
+        pdf = pdf.sort_values("at")
+        return pd.DataFrame({"block": key[0], "at": [*pdf["at"], -1], **_columns(_running(np.eye(k), _matrices(pdf, k)))})
+    return run
+
+
+def chunk_path(k: int):
+    """All products of one chunk, after the product of the blocks and of the chunks before it."""
+    def run(pdf, before):
+        first = _matrices(before, k, "b")[0] @ _matrices(before, k)[0] if len(before) else np.eye(k)
+        times, steps = _steps(pdf, k)
+        return pd.DataFrame({"time": times, **_columns(_running(first, steps)[1:])})
     return run

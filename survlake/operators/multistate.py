@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import materialize
 from .cox import CoxModel, cox_fit, fit_together
-from .kernels import step_products
+from .kernels import chunk_path, chunk_product, prefix_products
 from .longitudinal import next_state
 from .risk import nelson_aalen, resolve_splits, survival_response
-from .scan import fits_broadcast, split_chunk
+from .scan import TIMES_PER_CHUNK, fits_broadcast, split_chunk
 
 
 def transition_matrix(spark: SparkSession, states: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -57,9 +57,11 @@ def transition_probabilities(hazards: DataFrame, states: Mapping[str, Sequence[s
                              from_time: int = 0, splits="auto") -> DataFrame:
     """Aalen–Johansen ``P(from_time, t)``: ``(time, from, to, prob)``.
 
-    Ordered product of ``I + dA(t)``. Times are cut into chunks; each chunk's
-    product is taken in its own task, the few chunk products (K×K numbers each)
-    are multiplied in order, and each chunk is replayed from its prefix.
+    Ordered product of ``I + dA(t)`` over the times after ``from_time``. Matrix products are associative, so
+    the scan has levels: times are cut into chunks and each chunk's product is taken in its own task; about
+    as many chunks make a block as there are blocks, and products before each chunk of a block and before each block
+    are taken likewise; each chunk is then replayed from its prefix. Nothing is collected: no task holds more than
+    a chunk's times or the square root of the number of chunks.
     """
     names = list(states)
     k = len(names)
@@ -68,22 +70,38 @@ def transition_probabilities(hazards: DataFrame, states: Mapping[str, Sequence[s
         "time", _position("from", pos).alias("i"), _position("to", pos).alias("j"),
         (F.col("n_event") / F.col("n_risk")).alias("da"))
     steps, _ = materialize(steps)        # distinct times only; read again when the result is
+    if splits == "auto" and steps.count() <= TIMES_PER_CHUNK:
+        splits = []
     splits = resolve_splits(steps, "time", splits)
     steps = split_chunk(steps, "time", splits, "chunk")
-    cells = ", ".join(f"p{c} double" for c in range(k * k))
-    prefixes, run = {0: np.eye(k)}, np.eye(k)
-    if splits:
-        ends = steps.groupBy("chunk").applyInPandas(step_products(k, None), f"chunk int, {cells}").collect()
-        for row in sorted(ends):
-            prefixes[row[0]] = run
-            run = run @ np.array(row[1:]).reshape(k, k)
+    kinds = ", ".join(f"p{c} double" for c in range(k * k))
     time_type = hazards.schema["time"].dataType.simpleString()
-    path = steps.groupBy("chunk").applyInPandas(step_products(k, prefixes), f"time {time_type}, {cells}")
+    path_kind = f"time {time_type}, {kinds}"
+    if splits:
+        path = steps.groupBy("chunk").cogroup(_before_chunks(steps, k, len(splits) + 1).groupBy("chunk")).applyInPandas(
+            chunk_path(k), path_kind)
+    else:
+        alone = chunk_path(k)
+        path = steps.groupBy("chunk").applyInPandas(lambda pdf: alone(pdf, pdf[:0]), path_kind)
     return path.select("time", F.explode(F.array(*[
         F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"p{i * k + j}").alias("prob"))
         for i, a in enumerate(names) for j, b in enumerate(names)])).alias("_s")).select("time", "_s.*")
 
 
+def _before_chunks(steps: DataFrame, k: int, chunks: int) -> DataFrame:
+    """Per chunk the products ``b`` of the blocks before its own and ``p`` of the chunks of its block before it."""
+    cells = [f"p{c}" for c in range(k * k)]
+    kinds = ", ".join(f"{c} double" for c in cells)
+    ends = steps.groupBy("chunk").applyInPandas(chunk_product(k), f"chunk int, {kinds}")
+    width = math.isqrt(chunks - 1) + 1
+    in_block = ends.select(F.floor(F.col("chunk") / width).cast("int").alias("block"), F.col("chunk").alias("at"), *cells)
+    in_block = in_block.groupBy("block").applyInPandas(prefix_products(k), f"block int, at int, {kinds}")
+    blocks = in_block.where("at = -1").select(F.lit(0).alias("block"), F.col("block").alias("at"), *cells)
+    blocks = blocks.groupBy("block").applyInPandas(prefix_products(k), f"block int, at int, {kinds}").where("at >= 0")
+    return in_block.where("at >= 0").withColumnRenamed("at", "chunk").join(
+        blocks.select(F.col("at").alias("block"), *[F.col(c).alias(f"b{c[1:]}") for c in cells]), "block")
+
+
 def _position(col: str, pos: Mapping[str, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in pos.items() for x in kv]), F.col(col))
 

@@ -382,12 +382,13 @@ def hazards_query(spark, sf_dir):
     return transition_hazards(_multistate(spark, sf_dir))
 
 
-@query("transition_probabilities", sql_with("cp", recursive=True, more=_HAZ_SQL + """,
+def _probability_sql(from_time):
+    return sql_with("cp", recursive=True, more=_HAZ_SQL + f""",
 da AS MATERIALIZED (SELECT row_number() OVER (ORDER BY time) AS k, * FROM (SELECT time,
     sum(CASE trans WHEN 1 THEN d / n ELSE 0 END) AS a1, sum(CASE trans WHEN 2 THEN d / n ELSE 0 END) AS a2,
     sum(CASE trans WHEN 3 THEN d / n ELSE 0 END) AS a3, sum(CASE trans WHEN 4 THEN d / n ELSE 0 END) AS a4,
     sum(CASE trans WHEN 5 THEN d / n ELSE 0 END) AS a5, sum(CASE trans WHEN 6 THEN d / n ELSE 0 END) AS a6
-  FROM hz WHERE d > 0 AND time > 0 GROUP BY time)),
+  FROM hz WHERE d > 0 AND time > {from_time} GROUP BY time)),
 pr(k, src, p1, p2, p3, p4) AS (
   SELECT 0::BIGINT, s.src, s.p1, s.p2, 0.0::DOUBLE, 0.0::DOUBLE
   FROM (VALUES ('Non-responding', 1.0::DOUBLE, 0.0::DOUBLE), ('Responding', 0.0::DOUBLE, 1.0::DOUBLE)) s(src, p1, p2)
@@ -398,12 +399,22 @@ pr(k, src, p1, p2, p3, p4) AS (
 """) + """
 SELECT da.time, round(unnest([p3, p4]), 6) AS prob, src AS "from", unnest(['Transplant', 'Death']) AS outcome
 FROM pr JOIN da ON da.k = pr.k
-""")
+"""
+
+@query("transition_probabilities", _probability_sql(0))
 def probabilities_query(spark, sf_dir):
     probs = transition_probabilities(transition_hazards(_multistate(spark, sf_dir)), STATES)
     return probabilities_long(probs, ["Transplant", "Dead"], ["Non-responding", "Responding"], {"Dead": "Death"})
 
 
+@query("transition_probabilities_restarted", _probability_sql(180))
+def probabilities_restarted(spark, sf_dir):
+    """From a landmark on, with the axis cut although it is short: blocks of chunks and the chunks of a block."""
+    hazards = transition_hazards(_multistate(spark, sf_dir))
+    probs = transition_probabilities(hazards, STATES, from_time=180, splits=[200, 260, 330, 400, 500, 650, 800, 1000, 1300])
+    return probabilities_long(probs, ["Transplant", "Dead"], ["Non-responding", "Responding"], {"Dead": "Death"})
+
+
 @query("transition_cox_binary", _cox_sql(
     ["cp"], "SELECT 0 AS st, start_time AS a, end_time AS b, status2 AS d, sex AS x, id FROM ms WHERE trans = 1",
     "sex").replace("rw AS MATERIALIZED", _STATE_SQL.strip() + ",\nrw AS MATERIALIZED", 1))

@@ -164,8 +164,8 @@ def test_states_and_transition_rows(spark):
         (1, 0, 1), (1, 2, 4), (1, 5, 1), (1, 7, 6)]
 
 
-@pytest.mark.parametrize("splits", ["auto", [4, 6], [1, 100, 200, 900]])
-def test_probabilities(spark, splits):
+@pytest.mark.parametrize("splits, from_time", [("auto", 0), ([4, 6], 0), ([1, 100, 200, 900], 0), (list(range(20, 900, 30)), 150)])
+def test_probabilities(spark, splits, from_time):
     from survlake.plans import fixtures as fx
     cp = fx.cp(spark, "/root/testdata/sf0.001")
     state = F.when(F.col("marker") >= 1.5, "Non-responding").when(F.col("marker") < 1.5, "Responding")
@@ -173,10 +173,10 @@ def test_probabilities(spark, splits):
     rows = sv.expand_transitions(sv.assign_states(cp, state, "id", ["start_time"], end),
                                  sv.transition_matrix(spark, STATES))
     hz = sv.transition_hazards(rows).cache()
-    probs = sv.transition_probabilities(hz, STATES, splits=splits).toPandas()
+    probs = sv.transition_probabilities(hz, STATES, from_time, splits).toPandas()
     sums = probs.groupby(["time", "from"]).prob.sum()
     np.testing.assert_allclose(sums, 1, atol=1e-12)
-    h = hz.where("n_event > 0").toPandas()
+    h = hz.where(f"n_event > 0 AND time > {from_time}").toPandas()
     names, p = list(STATES), np.eye(4)
     want = {}
     for t in sorted(h.time.unique()):

@@ -24,25 +24,29 @@ LAST_TOKEN = r"^(.*)_([^_]+)$"        # visit after the last "_"
 def wide_to_long(df: DataFrame, id: Sequence[str], cols: Sequence[str],
                  pattern: str = LAST_TOKEN, measure: str = "variable",
                  visit: str = "visit", value: str = "value") -> DataFrame:
-    """``measure_visit`` columns to rows ``(id, measure, visit, value)``."""
-    long = df.select(*id, *cols).unpivot(list(id), list(cols), "_name", value)
-    return long.select(
-        *id,
-        F.regexp_extract("_name", pattern, 1).alias(measure),
-        F.regexp_extract("_name", pattern, 2).alias(visit),
-        value,
-    )
+    """``measure_visit`` columns to rows ``(id, measure, visit, value)``.
+
+    Each row gives its own rows, so they stay dealt by ``id`` where ``df`` was (an
+    unpivot forgets that); the names are taken apart once, not in every row.
+    """
+    kind = df.select(*id, *cols).unpivot(list(id), list(cols), "_name", value).schema[value].dataType
+    return df.select(*id, F.inline(F.array(*[
+        F.struct(F.regexp_extract(F.lit(c), pattern, 1).alias(measure), F.regexp_extract(F.lit(c), pattern, 2).alias(visit),
+                 F.col(c).cast(kind).alias(value)) for c in cols])))
 
 
 def long_to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str,
                  names: Sequence[str]) -> DataFrame:
     """One row per key, one column per listed name.
 
-    The names are given, so Spark needs no extra pass to discover them, and the
-    pivot is a hash aggregate that combines before the shuffle. ``(keys, name)``
-    should be unique; the largest value wins where it is not.
+    The names are given, so Spark needs no extra pass to discover them: one hash
+    aggregate with a column for each, which combines before the shuffle and needs
+    none where the rows lie by some of the keys already. A pivot would first group
+    by the keys and the name, so hold and shuffle a row for each single value.
+    ``(keys, name)`` should be unique; the largest value wins where it is not.
     """
-    return df.groupBy(*keys).pivot(name, list(names)).agg(F.max(value))
+    return df.groupBy(*keys).agg(*[
+        F.max(F.when(F.col(name).eqNullSafe(F.lit(n)), F.col(value))).alias(str(n)) for n in names])
 
 
 def visit_sequence(df: DataFrame, id: str, order: Sequence[str], visit: str, n: int,

@@ -16,6 +16,10 @@ from ..functions.columns import first_set
 from .scan import chunk_hot_keys, next_value
 
 
+#: A span of at most so many time bins is dealt over them as it is.
+NEAR_BINS = 64
+
+
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per duplicated key; empty when ``keys`` identify a row."""
     return df.groupBy(*keys).count().where(F.col("count") > 1)
@@ -104,30 +108,37 @@ def interval_join(points: DataFrame, spans: DataFrame, id: str, at: str, start:
 
     Both sides are cut into time bins of ``width`` days and joined on
     ``(id, bin)``: rows far apart in time never meet, and a hot ``id`` spreads
-    over as many keys as it has bins. Open sides of a span are clipped to the
-    subject's first and last point, so the bins of a span stay finite.
+    over as many keys as it has bins. A point goes to its bin and to the one before,
+    so a span goes to every second of its bins only, and each pair still meets once.
+    A span with an open side, or one of very many bins, is clipped to the
+    subject's first and last point, so its bins stay finite; the others need no
+    look at the points.
     """
     if open_end not in ("drop", "keep"):
         raise ValueError("open_end must be 'drop' or 'keep'")
     live = points.where(F.col(at).isNotNull())
     if open_end == "drop":
         spans = spans.where(F.col(end).isNotNull())
+    first, last = F.col(start), F.col(end)
+    # null with an open side
+    near = F.coalesce(_bin(last, width) - _bin(first, width) <= NEAR_BINS, F.lit(False))
     bounds = live.groupBy(id).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    clipped = (
-        spans.join(bounds, id)
-        .withColumn("_from", F.greatest(F.coalesce(F.col(start), F.col("_lo")), F.col("_lo")))
-        .withColumn("_to", F.least(F.coalesce(F.col(end), F.col("_hi")), F.col("_hi")))
-        .where(F.col("_from") <= F.col("_to"))
-    )
-    binned = clipped.withColumn("_bin", F.explode(F.sequence(
-        _bin(F.col("_from"), width), _bin(F.col("_to"), width))))
-    left = live.withColumn("_bin", _bin(F.col(at), width))
-    hits = left.join(binned, [id, "_bin"]).where(
-        (F.col(at) >= F.col("_from")) & (F.col(at) <= F.col("_to")))
+    low, high = F.col("_lo"), F.col("_hi")
+    far = deal_spans(spans.where(~near).join(bounds, id), F.greatest(F.coalesce(first, low), low), F.least(F.coalesce(last, high), high), width)
+    right = deal_spans(spans.where(near), first, last, width).unionByName(far.drop("_lo", "_hi"))
+    own = _bin(F.col(at), width)
+    left = live.withColumn("_bin", F.explode(F.array(own, own - 1)))
+    hits = left.join(right, [id, "_bin"]).where(
+        F.coalesce(first <= F.col(at), F.lit(True)) & F.coalesce(F.col(at) <= last, F.lit(True)))
     return hits.select(id, *[c for c in points.columns if c != id],
                        *[c for c in spans.columns if c != id])
 
 
+def deal_spans(spans: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
+    """A row for every second time bin (``_bin``) from ``low`` to ``high``: it stands for that bin and the next."""
+    return spans.where(low <= high).withColumn("_bin", F.explode(F.sequence(_bin(low, width), _bin(high, width), F.lit(2))))
+
+
 def _bin(date: Column, width: int) -> Column:
     return F.floor(F.unix_date(date) / F.lit(width)).cast("int")
 

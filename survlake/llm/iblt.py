@@ -7,7 +7,7 @@ pieces grows with the text. Each piece's 64-bit digest goes into three cells of
 each third; a cell holds how many, the XOR of the digests and the XOR of their check hashes,
 and cells that hold nothing are left out. Two sketches are compared by subtracting them cell by cell
 and peeling: a cell with one digest left gives it away, it is taken out of its other cells, and
-so on. The first try is as wide as the narrower of the two fingerprints; if
+so on. The first try subtracts the sketches of the two fingerprints, the wider one folded to the narrower; if
 cells are left, both sketches are built again with 6 to 12 places for each digest of both (empty ones cost nothing), at which peeling
 all but always ends after a few rounds, and then twice as wide each time until it does. Digests of two texts are never compared. What is recovered are the pieces that only one
 of the two has, so the likeness is the exact share of common pieces among all of both:
@@ -45,7 +45,8 @@ UNITS = r"(?s)\S{1,64}+(?:\s++|\z)|\s++|."  # words, or single characters where
 # Casts to these change nothing; they spare the analyzer from working out the types of nested expressions again and again.
 CELLS = "array<struct<at:int,n:int,key:bigint,check:bigint>>"
 DIFFERENCE = "struct<only_a:int,only_b:int,exponent:int>"
-STATE = f"struct<cells:{CELLS},only_a:int,only_b:int>"
+STATE = f"struct<cells:{CELLS},only_a:int,only_b:int,over:boolean>"
+SKETCH = f"struct<exponent:int,cells:{CELLS}>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,14 +81,19 @@ def power(least: Column) -> Column:
     return F.ceil(F.log2(F.greatest(least, F.lit(LEAST)).cast("double"))).cast("int")
 
 
-def _cells(entries: Column, exponent: Column, sign: Callable[[Column], Column], key: Callable[[Column], Column]) -> Column:
-    """The three cells of each entry."""
+def _cells(entries: Column, exponent: Column, third: Column, sign: Callable[[Column], Column], key: Callable[[Column], Column]) -> Column:
+    """The cell of each entry in one third."""
     width = F.call_function("shiftleft", F.lit(1), exponent)
 
-    def cell(x: Column, t: int) -> Column:
-        at = F.call_function("shiftright", key(x), F.lit(BITS * t)).bitwiseAND((width - 1).cast("long")).cast("int") + width * t
+    def cell(x: Column) -> Column:
+        at = F.call_function("shiftright", key(x), third * BITS).bitwiseAND((width - 1).cast("long")).cast("int") + width * third
         return F.struct(at.alias("at"), sign(x).alias("n"), key(x).alias("key"), F.xxhash64(key(x)).alias("check"))
-    return F.flatten(F.transform(entries, lambda x: F.array(*[cell(x, t) for t in range(3)]))).cast(CELLS)
+    return F.transform(entries, cell).cast(CELLS)
+
+
+def _thirds(cells: Callable[[Column], Column]) -> Column:
+    """What ``cells`` gives for each third, one after the other: in order if each is, as thirds follow each other."""
+    return F.flatten(F.transform(F.array(*[F.lit(t) for t in range(3)]), cells)).cast(CELLS)
 
 
 def fold(cells: Column) -> Column:
@@ -110,26 +116,49 @@ def fold(cells: Column) -> Column:
 
 def sketch(keys: Column, exponent: Column) -> Column:
     """The cells that hold something, by place, of three times 2**exponent."""
-    return fold(_cells(keys, exponent, lambda _: F.lit(1), lambda d: d))
+    return _thirds(lambda t: fold(_cells(keys, exponent, t, lambda _: F.lit(1), lambda d: d)))
 
 
 def subtract(a: Column, b: Column, exponent: Column) -> Column:
     """The sketch of ``a`` less that of ``b``: cells are sums, so both sides' entries are folded together."""
-    return fold(F.concat(*[_cells(keys, exponent, lambda _, n=n: F.lit(n), lambda d: d) for keys, n in ((a, 1), (b, -1))]))
+    return _thirds(lambda t: fold(F.concat(*[
+        _cells(keys, exponent, t, lambda _, n=n: F.lit(n), lambda d: d) for keys, n in ((a, 1), (b, -1))])))
+
+
+def own_sketch(keys: Column) -> Column:
+    """struct(exponent, cells): the sketch that the fingerprint holds."""
+    return let(width(keys), lambda e: F.struct(e.alias("exponent"), sketch(keys, e).alias("cells")).cast(SKETCH)).cast(SKETCH)
+
+
+def subtract_sketches(a: Column, b: Column, exponent: Column) -> Column:
+    """The sketch of ``a`` less that of ``b``, both first folded to a width that neither falls below."""
+    def narrowed(s: Column, sign: int) -> Column:
+        def cell(c: Column) -> Column:
+            third = F.call_function("shiftright", c["at"], s["exponent"])
+            at = c["at"].bitwiseAND(F.call_function("shiftleft", F.lit(1), exponent) - 1) + F.call_function("shiftleft", third, exponent)
+            return F.struct(at.alias("at"), (c["n"] * sign).alias("n"), c["key"].alias("key"), c["check"].alias("check"))
+        return F.transform(s["cells"], cell).cast(CELLS)
+    return fold(F.concat(narrowed(a, 1), narrowed(b, -1)))
 
 
 def peel(cells: Column, exponent: Column) -> Column:
-    """struct(cells, only_a, only_b): what is left, and how many digests of the first and the second were recovered."""
+    """struct(cells, only_a, only_b, over): what is left, and how many digests of the first and the second were recovered."""
     def step(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.transform(
             F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])),
             lambda c: F.struct(c["key"].alias("key"), c["n"].alias("sign")))).cast("array<struct<key:bigint,sign:int>>")
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(
-            fold(F.concat(state["cells"], _cells(p, exponent, lambda x: -x["sign"], lambda x: x["key"]))).alias("cells"),
-            (state["only_a"] + F.size(F.filter(p, lambda x: x["sign"] == 1))).alias("only_a"),
-            (state["only_b"] + F.size(F.filter(p, lambda x: x["sign"] == -1))).alias("only_b")).cast(STATE)).cast(STATE)).cast(STATE)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b"))
+        def without(p: Column) -> Column:
+            gone = _thirds(lambda t: _cells(p, exponent, t, lambda x: -x["sign"], lambda x: x["key"]))
+            return F.struct(
+                F.when(F.size(p) == 0, state["cells"]).otherwise(fold(F.concat(state["cells"], gone))).alias("cells"),
+                (state["only_a"] + F.size(F.filter(p, lambda x: x["sign"] == 1))).alias("only_a"),
+                (state["only_b"] + F.size(F.filter(p, lambda x: x["sign"] == -1))).alias("only_b"),
+                (F.size(p) == 0).alias("over")).cast(STATE)
+        # no later round finds what this one did not
+        return F.when(state["over"], state).otherwise(let(pure, without)).cast(STATE)
+
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b"), F.lit(False).alias("over"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start.cast(STATE), step).cast(STATE)
 
 
@@ -138,36 +167,44 @@ def width(keys: Column) -> Column:
     return F.least(power(F.size(keys) / 16), F.lit(BITS)).cast("int")
 
 
-def difference(a: Column, b: Column) -> Column:
-    """struct(only_a, only_b, exponent): numbers of digests that one side lacks, by ever larger sketches, and the width that gave them."""
-    def attempt(exponent: Column) -> Column:
+def difference(a: Column, b: Column, own_a: Column | None = None, own_b: Column | None = None) -> Column:
+    """struct(only_a, only_b, exponent): numbers of digests that one side lacks, by ever larger sketches, and the width that gave them.
+
+    ``own_a`` and ``own_b`` are the sketches of the two fingerprints, where they are at hand.
+    """
+    own_a, own_b = (own_sketch(keys) if own is None else own for keys, own in ((a, own_a), (b, own_b)))
+
+    def attempt(exponent: Column, written: Column) -> Column:
         def told(s: Column) -> Column:
             def left(sign: int) -> Column:
                 return F.ceil(F.aggregate(s["cells"], F.lit(0), lambda z, c: z + F.greatest(sign * c["n"], F.lit(0))) / 3)
             return F.when(F.size(s["cells"]) == 0, F.struct(s["only_a"].alias("only_a"), s["only_b"].alias("only_b"), exponent.alias("exponent"))).when(
                 exponent == BITS, F.struct((s["only_a"] + left(1)).cast("int").alias("only_a"),
                                            (s["only_b"] + left(-1)).cast("int").alias("only_b"), exponent.alias("exponent")))
-        return let(peel(subtract(a, b, exponent), exponent), lambda s: told(s).cast(DIFFERENCE)).cast(DIFFERENCE)
+        cells = F.when(written, subtract_sketches(own_a, own_b, exponent)).otherwise(subtract(a, b, exponent)).cast(CELLS)
+        return let(peel(cells, exponent), lambda s: told(s).cast(DIFFERENCE)).cast(DIFFERENCE)
     larger = F.sequence(F.least(power((F.size(a) + F.size(b)) * 2), F.lit(BITS)), F.lit(BITS))
-    return F.aggregate(F.concat(F.array(F.least(width(a), width(b))), larger).cast("array<int>"), F.lit(None).cast(DIFFERENCE),
-                       lambda done, exponent: F.coalesce(done, attempt(exponent)).cast(DIFFERENCE)).cast(DIFFERENCE)
+    tries = F.concat(F.array(F.least(width(a), width(b))), larger).cast("array<int>")
+    tries = F.transform(tries, lambda e, i: F.struct(e.alias("exponent"), (i == 0).alias("written"))).cast("array<struct<exponent:int,written:boolean>>")
+    return F.aggregate(tries, F.lit(None).cast(DIFFERENCE),
+                       lambda done, t: F.coalesce(done, attempt(t["exponent"], t["written"])).cast(DIFFERENCE)).cast(DIFFERENCE)
 
 
-def fingerprint(keys: Column) -> Column:
+def fingerprint(keys: Column, own: Column | None = None) -> Column:
     """A sketch as text: exponent of its width, number of digests, then the cells with their places."""
-    def written(exponent: Column) -> Column:
-        cells = F.transform(sketch(keys, exponent), lambda c: F.concat_ws(
+    def written(s: Column) -> Column:
+        cells = F.transform(s["cells"], lambda c: F.concat_ws(
             ":", c["at"].cast("string"), c["n"].cast("string"), F.hex(c["key"]), F.hex(c["check"].bitwiseAND(F.lit(0xFFFFFFFF)))))
-        return F.concat(exponent.cast("string"), F.lit("/"), F.size(keys).cast("string"), F.lit("/"), F.concat_ws(",", cells))
-    return let(width(keys), written)
+        return F.concat(s["exponent"].cast("string"), F.lit("/"), F.size(keys).cast("string"), F.lit("/"), F.concat_ws(",", cells))
+    return let(own_sketch(keys) if own is None else own, written)
 
 
-def _likeness(a: str, b: str) -> Column:
-    """The likeness of two arrays of digests."""
+def _likeness(a: str, b: str, own_a: str | None = None, own_b: str | None = None) -> Column:
+    """The likeness of two arrays of digests (with the sketches of their fingerprints, where at hand)."""
     def share(d: Column) -> Column:
         total = F.size(a) + d["only_b"]
         return F.when(total == 0, F.lit(1.0)).otherwise((F.size(a) - d["only_a"]) / total)
-    return let(difference(F.col(a), F.col(b)), share).cast("double")
+    return let(difference(F.col(a), F.col(b), *[None if own is None else F.col(own) for own in (own_a, own_b)]), share).cast("double")
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -213,6 +250,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = (rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)))
             .select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     digests(F.col("text")).alias("d"), digests(F.col("next.text")).alias("nd"), digests(F.col("edited")).alias("ed")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("d")).alias("fingerprint"),
-                       fingerprint(F.col("ed")).alias("edited_fingerprint"), _likeness("d", "ed").alias("near_edited"),
-                       _likeness("d", "nd").alias("near_next"))
+    rows = rows.select("*", *[own_sketch(F.col(c)).alias(f"{c}s") for c in ("d", "nd", "ed")])
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("d"), F.col("ds")).alias("fingerprint"),
+                       fingerprint(F.col("ed"), F.col("eds")).alias("edited_fingerprint"), _likeness("d", "ed", "ds", "eds").alias("near_edited"),
+                       _likeness("d", "nd", "ds", "nds").alias("near_next"))

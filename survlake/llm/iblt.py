@@ -50,8 +50,8 @@ SKETCH = f"struct<exponent:int,cells:{CELLS}>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` worked out once."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` with ``value`` worked out once, as the end of an aggregate of nothing: a transform would copy the result, however deep."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def _cut(piece: Column) -> Column:
@@ -81,53 +81,86 @@ def power(least: Column) -> Column:
     return F.ceil(F.log2(F.greatest(least, F.lit(LEAST)).cast("double"))).cast("int")
 
 
-def _cells(entries: Column, exponent: Column, third: Column, sign: Callable[[Column], Column], key: Callable[[Column], Column]) -> Column:
-    """The cell of each entry in one third."""
-    width = F.call_function("shiftleft", F.lit(1), exponent)
+def _word(place: Column, index: Column) -> Column:
+    """A place and what stands there in one long: such sort several times as fast as structs."""
+    return F.call_function("shiftleft", place, F.lit(32)).bitwiseOR(index.cast("long"))
+
+
+def _place(word: Column) -> Column:
+    return F.call_function("shiftright", word, F.lit(32)).cast("int")
+
+
+def _index(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
 
-    def cell(x: Column) -> Column:
-        at = F.call_function("shiftright", key(x), third * BITS).bitwiseAND((width - 1).cast("long")).cast("int") + width * third
-        return F.struct(at.alias("at"), sign(x).alias("n"), key(x).alias("key"), F.xxhash64(key(x)).alias("check"))
-    return F.transform(entries, cell).cast(CELLS)
+def _summed(words: Column, at: Callable[[Column], Column], alone: Callable[[Column, Column], Column], n: Callable[[Column], Column],
+            key: Callable[[Column], Column], check: Callable[[Column], Column], kept: Callable[[Column], Column] | None = None) -> Column:
+    """A cell for each place (of those ``kept``, by the least index there): the sums of ``n``, ``key`` and ``check`` of the indices; what comes to nothing is left out."""
+    def cells(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x.bitwiseXOR(F.get(w, i - 1)) > F.lit(0xFFFFFFFF)), i)), lambda i: i.isNotNull())
 
+        def cell(place: Column, values: list[Column]) -> Column:
+            return F.struct(place.alias("at"), *[v.alias(name) for v, name in zip(values, ("n", "key", "check"))])
 
-def _thirds(cells: Callable[[Column], Column]) -> Column:
-    """What ``cells`` gives for each third, one after the other: in order if each is, as thirds follow each other."""
-    return F.flatten(F.transform(F.array(*[F.lit(t) for t in range(3)]), cells)).cast(CELLS)
+        def of(s: Column, size: Column) -> Column:
+            first, second, place = _index(F.get(w, s)), _index(F.get(w, s + 1)), at(_place(F.get(w, s)))
+            pair = cell(place, [n(first) + n(second), key(first).bitwiseXOR(key(second)), check(first).bitwiseXOR(check(second))])
+
+            def many(r: Column) -> Column:
+                none = F.lit(0).cast("long")
+                return cell(place, [F.aggregate(r, F.lit(0), lambda z, i: z + n(i)), F.aggregate(r, none, lambda z, i: z.bitwiseXOR(key(i))),
+                                    F.aggregate(r, none, lambda z, i: z.bitwiseXOR(check(i)))])
+            made = F.when(size == 1, alone(first, place)).when(size == 2, pair).otherwise(
+                let(F.transform(F.sequence(s, s + size - 1), lambda p: _index(F.get(w, p))), many))  # slices cost more
+            return made if kept is None else F.when(kept(first), made)
+        return let(starts.cast("array<int>"), lambda f: F.transform(f, lambda s, k: of(s, F.coalesce(F.get(f, k + 1), F.size(w)) - s)))
+    return F.filter(let(F.sort_array(words), cells), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)).cast(CELLS)
 
 
 def fold(cells: Column) -> Column:
     """Cells of one place made one; what comes to nothing is left out."""
-    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+    def of(c: Column) -> Column:
+        return _summed(F.transform(c, lambda x, i: _word(x["at"].cast("long"), i)), lambda place: place, lambda i, _: F.get(c, i),
+                       *[lambda i, field=field: F.get(c, i)[field] for field in ("n", "key", "check")])
+    return let(cells, of)
 
-    def summed(c: Column, first: Column) -> Column:
-        def run(s: Column, k: Column) -> Column:
-            size = F.coalesce(F.get(first, k + 1), F.size(c)) - s
-            return F.when(size == 1, F.get(c, s)).otherwise(F.aggregate(F.slice(c, s + 1, size), zero, lambda acc, x: F.struct(
-                x["at"].alias("at"), (acc["n"] + x["n"]).alias("n"), acc["key"].bitwiseXOR(x["key"]).alias("key"),
-                acc["check"].bitwiseXOR(x["check"]).alias("check"))))
-        return F.transform(first, run)
 
-    def starts(c: Column) -> Column:
-        return F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (F.get(c, i - 1)["at"] != x["at"]), i)), lambda i: i.isNotNull())
-    whole = let(F.sort_array(cells), lambda c: let(starts(c).cast("array<int>"), lambda first: summed(c, first).cast(CELLS)).cast(CELLS)).cast(CELLS)
-    return F.filter(whole, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0)).cast(CELLS)
+def _thirds(exponent: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """What ``of`` gives for each third's shift, mask of places and first place, one after the other."""
+    width = F.call_function("shiftleft", F.lit(1), exponent)
+    thirds = F.array(*[F.struct(F.lit(t * BITS).alias("shift"), (width - 1).cast("long").alias("mask"), (width * t).alias("start")) for t in range(3)])
+    return F.flatten(F.transform(thirds, lambda t: of(t["shift"], t["mask"], t["start"])))
 
 
-def sketch(keys: Column, exponent: Column) -> Column:
-    """The cells that hold something, by place, of three times 2**exponent."""
-    return _thirds(lambda t: fold(_cells(keys, exponent, t, lambda _: F.lit(1), lambda d: d)))
+def _at(digest: Column, shift: Column, mask: Column) -> Column:
+    return F.call_function("shiftright", digest, shift).bitwiseAND(mask)
+
+
+def subtract(a: Column, b: Column | None, exponent: Column) -> Column:
+    """The sketch of ``a`` less that of ``b``: the sums of both sides' entries by place."""
+    def of(keys: Column) -> Column:
+        def sign(i: Column) -> Column:
+            return F.lit(1) if b is None else F.when(i < F.size(a), F.lit(1)).otherwise(F.lit(-1))
 
+        def alone(i: Column, at: Column) -> Column:
+            return F.struct(at.alias("at"), sign(i).alias("n"), F.get(keys, i).alias("key"), F.xxhash64(F.get(keys, i)).alias("check"))
 
-def subtract(a: Column, b: Column, exponent: Column) -> Column:
-    """The sketch of ``a`` less that of ``b``: cells are sums, so both sides' entries are folded together."""
-    return _thirds(lambda t: fold(F.concat(*[
-        _cells(keys, exponent, t, lambda _, n=n: F.lit(n), lambda d: d) for keys, n in ((a, 1), (b, -1))])))
+        def third(shift: Column, mask: Column, start: Column) -> Column:
+            return _summed(F.transform(keys, lambda d, i: _word(_at(d, shift, mask), i)), lambda place: place + start, alone,
+                           sign, lambda i: F.get(keys, i), lambda i: F.xxhash64(F.get(keys, i)))
+        return _thirds(exponent, third).cast(CELLS)
+    return of(a) if b is None else let(F.concat(a, b), of)
+
+
+def sketch(keys: Column, exponent: Column) -> Column:
+    """The cells that hold something, by place, of three times 2**exponent."""
+    return subtract(keys, None, exponent)
 
 
 def own_sketch(keys: Column) -> Column:
     """struct(exponent, cells): the sketch that the fingerprint holds."""
-    return let(width(keys), lambda e: F.struct(e.alias("exponent"), sketch(keys, e).alias("cells")).cast(SKETCH)).cast(SKETCH)
+    return F.struct(width(keys).alias("exponent"), sketch(keys, width(keys)).alias("cells")).cast(SKETCH)
 
 
 def subtract_sketches(a: Column, b: Column, exponent: Column) -> Column:
@@ -141,22 +174,43 @@ def subtract_sketches(a: Column, b: Column, exponent: Column) -> Column:
     return fold(F.concat(narrowed(a, 1), narrowed(b, -1)))
 
 
+def _without(cells: Column, of_a: Column, of_b: Column, exponent: Column) -> Column:
+    """The cells with these digests of the first and the second taken out; a place without a cell holds nothing any more."""
+    own = F.size(cells)
+
+    def of(keys: Column) -> Column:  # indices: of the cells, then of the digests
+        def either(cell: Callable[[Column], Column], digest: Callable[[Column], Column]) -> Callable[[Column], Column]:
+            return lambda i: F.when(i < own, cell(F.get(cells, i))).otherwise(digest(i - own))
+        gone = _thirds(exponent, lambda shift, mask, start: F.transform(keys, lambda d, i: _word(_at(d, shift, mask) + start, i + own)))
+        return _summed(F.concat(F.transform(cells, lambda c, i: _word(c["at"].cast("long"), i)), gone), lambda place: place, lambda i, _: F.get(cells, i),
+                       either(lambda c: c["n"], lambda i: F.when(i < F.size(of_a), F.lit(-1)).otherwise(F.lit(1))),
+                       either(lambda c: c["key"], lambda i: F.get(keys, i)), either(lambda c: c["check"], lambda i: F.xxhash64(F.get(keys, i))),
+                       lambda i: i < own)
+    return let(F.concat(of_a, of_b), of)
+
+
 def peel(cells: Column, exponent: Column) -> Column:
     """struct(cells, only_a, only_b, over): what is left, and how many digests of the first and the second were recovered."""
+    def pure(c: Column) -> Column:
+        return (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])
+
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(
-            F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"]) == c["check"])),
-            lambda c: F.struct(c["key"].alias("key"), c["n"].alias("sign")))).cast("array<struct<key:bigint,sign:int>>")
-
-        def without(p: Column) -> Column:
-            gone = _thirds(lambda t: _cells(p, exponent, t, lambda x: -x["sign"], lambda x: x["key"]))
-            return F.struct(
-                F.when(F.size(p) == 0, state["cells"]).otherwise(fold(F.concat(state["cells"], gone))).alias("cells"),
-                (state["only_a"] + F.size(F.filter(p, lambda x: x["sign"] == 1))).alias("only_a"),
-                (state["only_b"] + F.size(F.filter(p, lambda x: x["sign"] == -1))).alias("only_b"),
-                (F.size(p) == 0).alias("over")).cast(STATE)
-        # no later round finds what this one did not
-        return F.when(state["over"], state).otherwise(let(pure, without)).cast(STATE)
+        def given(found: Column, sign: int) -> Column:  # as plain longs: of structs, the distinct ones are found by comparing all with all
+            return F.array_distinct(F.transform(F.filter(found, lambda c: c["n"] == sign), lambda c: c["key"])).cast("array<bigint>")
+
+        def after(rest: Column, of_a: Column, of_b: Column) -> Column:
+            # a cell that gave away its only digest is empty; no later round finds anything where none is left
+            left = F.when(F.size(rest) == 0, rest).otherwise(_without(rest, of_a, of_b, exponent)).cast(CELLS)
+            return F.struct(left.alias("cells"), (state["only_a"] + F.size(of_a)).alias("only_a"),
+                            (state["only_b"] + F.size(of_b)).alias("only_b"), (F.size(rest) == 0).alias("over")).cast(STATE)
+
+        def told(found: Column) -> Column:
+            # no later round finds what this one did not
+            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["only_a"].alias("only_a"), state["only_b"].alias("only_b"),
+                                                       F.lit(True).alias("over")).cast(STATE)).otherwise(
+                let(F.struct(F.filter(state["cells"], lambda c: ~pure(c)).cast(CELLS).alias("rest"), given(found, 1).alias("of_a"), given(found, -1).alias("of_b")),
+                    lambda x: after(x["rest"], x["of_a"], x["of_b"])))
+        return F.when(state["over"], state).otherwise(let(F.filter(state["cells"], pure).cast(CELLS), told)).cast(STATE)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("only_a"), F.lit(0).alias("only_b"), F.lit(False).alias("over"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start.cast(STATE), step).cast(STATE)
@@ -207,12 +261,14 @@ def _likeness(a: str, b: str, own_a: str | None = None, own_b: str | None = None
     return let(difference(F.col(a), F.col(b), *[None if own is None else F.col(own) for own in (own_a, own_b)]), share).cast("double")
 
 
-def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = 16 << 20, made: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Each row with the ``columns`` of the next one in descending doc_id as ``next`` (after the last: the first).
 
-    Ranges of doc_id are cut at 64 quantiles, and evenly within those; within a range the next
+    ``made`` are further columns made of the text (then one of ``columns``), once for a row and for its being the next
+    one; they are made after the shuffle. Ranges of doc_id are cut at 64 quantiles, and evenly within those; within a range the next
     row is in the same window, at its end it is the head of the next range that has rows.
     """
+    made = made or {}
     _, size = text_bytes(docs)
     parts = max(1, -(-size // bucket_bytes))
     marks = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / 64 for i in range(65)], 2000)).first()[0] or []
@@ -230,27 +286,33 @@ def with_next(docs: DataFrame, columns: list[str], bucket_bytes: int = 16 << 20)
         bucket = F.lit(0)
     rows = docs.withColumn("_b", F.coalesce(bucket.cast("long"), F.lit(-1)))
     pack = F.struct(*columns)
-    order = Window.partitionBy("_b").orderBy(F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    rows = rows.withColumn("_next", F.lead(pack).over(order))
-    head = (rows.drop("_next").groupBy("_b").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "text", pack.alias("p"))).alias("h"))
+    head = (rows.groupBy("_b").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "text", pack.alias("p"))).alias("h"))
             .select(F.col("_b").alias("hb"), F.col("h.p").alias("_head")))
     turn = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b"))  # one row per range
     follow = (rows.select("_b").distinct().withColumn("nb", F.lead("_b").over(turn))
               .withColumn("nb", F.coalesce("nb", F.max("_b").over(Window.partitionBy(F.lit(0))))).withColumnRenamed("_b", "fb"))
     heads = follow.join(head, F.col("nb") == F.col("hb")).select("fb", "_head")
+    order = Window.partitionBy("_b").orderBy(F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    rows = rows.repartition("_b").select("*", *[of(F.col("text")).alias(name) for name, of in made.items()])
+    rows = rows.withColumn("_next", F.lead(F.struct(*columns, *made)).over(order))
+    first = F.struct(*[F.col(f"_head.{c}").alias(c) for c in columns], *[of(F.col("_head.text")).alias(name) for name, of in made.items()])
     return (rows.join(heads, F.col("_b") == F.col("fb"), "left")
-            .withColumn("next", F.coalesce("_next", "_head")).drop("_b", "fb", "_next", "_head"))
+            .withColumn("next", F.coalesce("_next", first)).drop("_b", "fb", "_next", "_head"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"])
+    def pieces(text: Column) -> Column:
+        return let(digests(text), lambda d: F.struct(d.alias("d"), own_sketch(d).alias("s")))
+
+    rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"], made={"own": pieces})
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     rows = (rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)))
             .select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                    digests(F.col("text")).alias("d"), digests(F.col("next.text")).alias("nd"), digests(F.col("edited")).alias("ed")))
-    rows = rows.select("*", *[own_sketch(F.col(c)).alias(f"{c}s") for c in ("d", "nd", "ed")])
+                    F.col("own.d").alias("d"), F.col("own.s").alias("ds"), F.col("next.own").alias("next"), pieces(F.col("edited")).alias("edited")))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "d", "ds", F.col("next.d").alias("nd"), F.col("next.s").alias("nds"),
+                       F.col("edited.d").alias("ed"), F.col("edited.s").alias("eds"))
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("d"), F.col("ds")).alias("fingerprint"),
                        fingerprint(F.col("ed"), F.col("eds")).alias("edited_fingerprint"), _likeness("d", "ed", "ds", "eds").alias("near_edited"),
                        _likeness("d", "nd", "ds", "nds").alias("near_next"))
